@@ -112,6 +112,7 @@ class Words:
 
     def __init__(self, buf: np.ndarray, bounds: np.ndarray, lower: bool):
         self.rows = len(bounds) - 1
+        self.raw = buf
         self.buf = buf = _LOWER[buf] if lower else buf
         word = ~_SPACE[buf]
         edge = np.zeros(len(buf) + 1, bool)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash
+from . import chunks, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +32,9 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chunks.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "dedup.repeated", "dedup.removed_chars", F.size("dedup.spans").alias("n_spans"), "text")
