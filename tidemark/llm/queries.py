@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, quality, simhash
+from . import chunks, quality, simhash, templates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +38,8 @@ def op9_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chunks.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "dedup.repeated", "dedup.removed_chars", F.size("dedup.spans").alias("n_spans"), "text")
+
+
+@query
+def op3_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
