@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, mixing, quality, simhash, templates, toxicity
+from . import chunks, language_model, mixing, quality, simhash, templates, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +55,8 @@ def op10_ordinal_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = toxicity.graded(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", F.transform("exceed", lambda p: F.round(p, 6)).alias("exceed"), F.round("expected_severity", 6).alias("expected_severity"), "toxic")
+
+
+@query
+def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(table(spark, sf_dir, "documents"))
