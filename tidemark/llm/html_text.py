@@ -106,7 +106,7 @@ def tokens(html: str) -> list[Token]:
         if name not in _INLINE:
             block += 1
         elif name == "br":
-            out.append(Token("tag:br", block, inside, " "))
+            out.append(Token("tag:br:plain", block, inside, " "))
             continue
         if slash:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
@@ -123,7 +123,9 @@ def tokens(html: str) -> list[Token]:
                     del stack[at:]
             if name not in _VOID and not attributes.rstrip().endswith("/"):
                 stack.append((name, zone_of(name, attributes)))
-        out.append(Token(f"tag:{'/' if slash else ''}{name}" if name in OPENS else f"tag:{name}", block, inside and any(n in OPENS for n, _ in stack)))
+        zone = next((z for _, z in reversed(stack) if z), None)
+        feature = f"tag:{'/' if slash else ''}{name}" if name in OPENS else f"tag:{name}:{zone or 'plain'}"
+        out.append(Token(feature, block, inside and any(n in OPENS for n, _ in stack)))
     return out
 
 
@@ -136,11 +138,13 @@ def weight(feature: str, inside: float, outside: float) -> float:
     kind, _, rest = feature.partition(":")
     if kind == "word":
         plain = rest.split(":")[0] == "plain"
-        before = (4.0, 1.0) if rest == "plain" else (2.0, 2.0) if plain else (0.2, 4.0)
-        return max(-MOST, min(MOST, math.log((inside + before[0]) / (outside + before[1]))))
+        before = (4.0, 1.0) if rest == "plain" else (3.0, 1.5) if plain else (0.2, 4.0)
+        odds = max(-MOST, min(MOST, math.log((inside + before[0]) / (outside + before[1]))))
+        # Marked-off words are left out wherever they stand; they only weigh against bridging them.
+        return odds if plain or odds > 0 else odds / 4
     if rest.lstrip("/") in OPENS:
         return -EDGE
-    return -0.1 - MOST * (outside + 0.5) / (inside + outside + 1)
+    return -0.1 - MOST * (outside + (0.5 if rest.startswith("a:") else 0.1)) / (inside + outside + 1)
 
 
 def best_stretch(scores: list[float]) -> tuple[int, int]:
