@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, html_text, language_model, mixing, quality, simhash, templates, toxicity
+from . import chunks, html_text, language_model, mixing, piecewise, quality, simhash, templates, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,8 @@ def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_scored_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_piecewise_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecewise.fingerprinted(table(spark, sf_dir, "documents"))
