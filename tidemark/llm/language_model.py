@@ -247,6 +247,7 @@ def scored(docs: DataFrame, seed: int = 2, block_bytes: int = BLOCK_BYTES, part_
     tokens, words, fit_tokens, fit_words = (int(x or 0) for x in totals)
     answers = answers.where("block is not null")
     tally = held_out_tally(base.where(F.col("kind") == DEV), answers.where(F.col("fitted").isNotNull())).toPandas()  # the grid bounds it
+    tally = tally.sort_values(["bucket", "bi", "uni"])  # the same sums in every run
     weights = em_weights(tally[["bucket", "bi", "uni", "n"]].to_numpy(float), fit_tokens, fit_words)
 
     def run(texts: pa.Table, answer: pa.Table) -> pa.Table:

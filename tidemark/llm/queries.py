@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, html_text, language_model, mixing, piecewise, quality, simhash, templates, toxicity
+from . import chat, chunks, html_text, language_model, mixing, piecewise, quality, simhash, templates, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +70,11 @@ def op4_scored_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_piecewise_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecewise.fingerprinted(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_prefix_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = turns.sparkSession.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    return chat.read_back(chat.packed(turns.unionByName(extra)))
