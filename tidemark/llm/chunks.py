@@ -20,7 +20,7 @@ WINDOW = 16
 #: Mean bytes between proposed cuts, and the fewest between a cut and the proposal before it: chunks have 25 bytes on average.
 MEAN_BYTES = 14
 LEAST_CHUNK = 8
-MAX_CHUNK = 1024
+MAX_CHUNK = 1024  # a place has 11 bits for it
 #: Repeated bytes in a row that make a passage: a passage of over 50 words leaves more than that when its ends, which cuts
 #: outside it may take, are taken off.
 LEAST_BYTES = 160
@@ -60,37 +60,43 @@ def digests(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+#: A chunk's place in a long: byte offset, size, whether its digest stood before in the text, a tag of the text.
+_AT, _SIZE, _AGAIN, _TAG = 28, 17, 16, 0
+
+
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """(id, row, digest, at, size): every chunk of every text (id, row, text), with its byte offset and bytes."""
+    """(id, digest, place): every chunk of every text (id, tag, text)."""
 
     def run(batch: pa.RecordBatch) -> pa.Table | None:
-        owner, digest, at, size = [], [], [], []
+        owner, digest, place = [], [], []
+        tags = batch.column("tag").to_numpy()
         for i, value in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
             if not value:
                 continue
             data = np.frombuffer(value, np.uint8)
             ends = cuts(data)
-            owner.append(np.full(len(ends), i))
+            at = np.concatenate([[0], ends[:-1]])
             digest.append(digests(data, ends).view(np.int64))
-            at.append(np.concatenate([[0], ends[:-1]]))
-            size.append(ends - at[-1])
+            again = np.ones(len(ends), np.int64)
+            again[np.unique(digest[-1], return_index=True)[1]] = 0
+            owner.append(np.full(len(ends), i))
+            place.append(at << _AT | (ends - at) << _SIZE | again << _AGAIN | tags[i])
         if not owner:
             return None
         owner = pa.array(np.concatenate(owner))
-        columns = [pa.array(np.concatenate(x).astype(t)) for x, t in ((digest, np.int64), (at, np.int32), (size, np.int32))]
-        return pa.Table.from_arrays([batch.column("id").take(owner), batch.column("row").take(owner), *columns], ["id", "row", "digest", "at", "size"])
+        return pa.Table.from_arrays([batch.column("id").take(owner), pa.array(np.concatenate(digest)), pa.array(np.concatenate(place))], ["id", "digest", "place"])
 
-    return map_arrow(docs.select("id", "row", "text"), run, "id long, row long, digest long, at int, size int")
+    return map_arrow(docs.select("id", "tag", "text"), run, "id long, digest long, place long")
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(of_id, of_row, chunks): of each text its chunks whose digest occurs more than once, with the smallest id that has it."""
+    """(of_id, chunks): of each document the places of its chunks whose digest occurs more than once, twice the place and 1 if no smaller id has it."""
     chunks = chunk_rows(docs)
     repeated = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1")
     repeated = repeated.select(F.col("digest").alias("known"), "first_id")
     met = chunks.join(repeated, F.col("digest") == F.col("known"))
-    listed = met.groupBy("id", "row").agg(F.collect_set(F.struct("at", "size", "digest", "first_id")).alias("chunks"))
-    return listed.select(F.col("id").alias("of_id"), F.col("row").alias("of_row"), "chunks")
+    place = F.shiftleft("place", 1).bitwiseOR((F.col("id") == F.col("first_id")).cast("long"))
+    return met.select("id", place.alias("place")).groupBy("id").agg(F.collect_set("place").alias("chunks")).withColumnRenamed("id", "of_id")
 
 
 def touching(at: np.ndarray, size: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -115,14 +121,13 @@ def whole_words(text: bytes, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
-def spans_to_cut(text: bytes, own: int, at: np.ndarray, size: np.ndarray, digest: np.ndarray, first: np.ndarray, least: int) -> tuple[bool, list[tuple[int, int]]]:
+def spans_to_cut(text: bytes, tag: int, chunks: np.ndarray, least: int) -> tuple[bool, list[tuple[int, int]]]:
     """Whether the text holds a repeated passage, and the byte spans of those that stand earlier: in a smaller id or before in this text."""
-    order = np.argsort(at)
-    at, size, digest, first = at[order], size[order], digest[order], first[order]
+    chunks = np.sort(chunks[(chunks >> 1 & 0xFFFF) == tag])
+    first, place = chunks & 1, chunks >> 1
+    at, size, again = place >> _AT, place >> _SIZE & 0x7FF, place >> _AGAIN & 1
     passages = touching(at, size, least)
-    stays = np.zeros(len(at), bool)
-    stays[np.unique(digest, return_index=True)[1]] = True
-    gone = ~(stays & (first == own))
+    gone = (again == 1) | (first == 0)
     spans = [whole_words(text, a, b) for a, b in touching(at[gone], size[gone], least)]
     return bool(passages), [s for s in spans if s[0] < s[1]]
 
@@ -138,22 +143,20 @@ def dedup(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     rest = [c for c in docs.columns if c != "text"]
     base = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), text_or_empty().alias("text"), F.col("text").isNull().alias("void"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")
-    ).withColumn("row", row_hash("text"))
+    ).withColumn("tag", row_hash("text").bitwiseAND(0xFFFF))
     found = repeated_chunks(base)
-    both = base.join(found, (base["id"] == found["of_id"]) & (base["row"] == found["of_row"]), "left").select("id", "text", "void", "rest", "chunks")
+    both = base.join(found, base["id"] == found["of_id"], "left").select("tag", "text", "void", "rest", "chunks")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, flags, spans, removed = [], [], [], []
         lists = batch.column("chunks")
-        flat, offsets = lists.values, lists.offsets.to_numpy()
-        at, size, digest, first = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-        ids, valid = batch.column("id").to_numpy(zero_copy_only=False), lists.is_valid().to_numpy(zero_copy_only=False)
+        flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+        tags, valid = batch.column("tag").to_numpy(), lists.is_valid().to_numpy(zero_copy_only=False)
         for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
             gone: list[tuple[int, int]] = []
             flag = False
             if valid[i]:
-                part = slice(offsets[i], offsets[i + 1])
-                flag, gone = spans_to_cut(text, ids[i], at[part], size[part], digest[part], first[part], least_bytes)
+                flag, gone = spans_to_cut(text, tags[i], flat[offsets[i] : offsets[i + 1]], least_bytes)
             kept, last, n = [], 0, 0
             for a, b in gone:
                 kept.append(text[last:a])
@@ -170,6 +173,6 @@ def dedup(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
         )
 
     kind = base.schema["rest"].dataType.simpleString()
-    out = map_arrow(both.select("text", "void", "rest", "id", "chunks"), run, f"text string, void boolean, rest {kind}, repeated boolean, spans array<struct<start:int,end:int>>, removed_chars long")
+    out = map_arrow(both.select("text", "void", "rest", "tag", "chunks"), run, f"text string, void boolean, rest {kind}, repeated boolean, spans array<struct<start:int,end:int>>, removed_chars long")
     kept = {"text": F.when(~F.col("void"), F.col("text")).alias("text")}
     return out.select(*[kept.get(c, F.col(f"rest.`{c}`").alias(c)) for c in docs.columns], F.struct("repeated", "spans", "removed_chars").alias("dedup"))
