@@ -16,8 +16,12 @@ from .common import map_arrow, mix, row_hash, words_of, written
 
 N_BUCKETS = 10_000
 N_GRAM = 2
-#: At most so many labelled rows choose the target and the cut.
+#: At most so many labelled rows are used: three of four for the target, the others, which it has not seen, for the cut.
 MAX_LABELLED = 20_000
+#: What losing all good rows costs, in terms of keeping all bad ones.
+WORTH = 3.0
+#: Raw n-grams per bucket that smooth the target.
+PRIOR = 10.0
 
 
 def features(words, n_gram: int = N_GRAM, n_buckets: int = N_BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -47,14 +51,15 @@ def bucket_counts(docs: DataFrame, n_gram: int, n_buckets: int) -> np.ndarray:
     return out
 
 
-def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """log p_target - log p_raw of each bucket, add-one smoothed."""
-    return np.log((target + 1) / (target.sum() + len(target))) - np.log((raw + 1) / (raw.sum() + len(raw)))
+def log_ratio(target: np.ndarray, raw: np.ndarray, prior: float = PRIOR) -> np.ndarray:
+    """log p_target - log p_raw of each bucket; the target is smoothed by ``prior`` raw n-grams per bucket, so that a small one claims little."""
+    p_raw = (raw + 1) / (raw.sum() + len(raw))
+    more = prior * len(raw)
+    return np.log((target + more * p_raw) / (target.sum() + more)) - np.log(p_raw)
 
 
-def with_weights(docs: DataFrame, ratio: np.ndarray, n_gram: int, seed: int) -> DataFrame:
-    """``docs`` (with ``text`` and ``noise_hash``) plus ``log_weight`` and ``sample_key``, the log weight with Gumbel noise."""
-    names = docs.columns
+def with_weights(docs: DataFrame, ratio: np.ndarray, n_gram: int, seed: int, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (with ``text`` and ``noise_hash``), ``log_weight`` and ``sample_key``, the log weight with Gumbel noise."""
 
     def scored(batch: pa.RecordBatch) -> pa.RecordBatch:
         weight = np.zeros(batch.num_rows)
@@ -64,10 +69,10 @@ def with_weights(docs: DataFrame, ratio: np.ndarray, n_gram: int, seed: int) ->
         h = mix(batch.column("noise_hash").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) + np.uint64(seed))
         uniform = ((h >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
         key = weight - np.log(-np.log(uniform))
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(weight), pa.array(key)], [*names, "log_weight", "sample_key"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(weight), pa.array(key)], [*keep, "log_weight", "sample_key"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_arrow(docs, scored, f"{schema}, log_weight double, sample_key double")
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return map_arrow(docs.select(*dict.fromkeys([*keep, "text", "noise_hash"])), scored, f"{schema}, log_weight double, sample_key double")
 
 
 def kth_largest(keys: DataFrame, column: str, k: int, bins: int = 4096) -> float:
@@ -96,14 +101,17 @@ def kth_largest(keys: DataFrame, column: str, k: int, bins: int = 4096) -> float
     return lo
 
 
-def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
-    """The log weight that parts labelled good rows from bad ones with the fewest balanced errors; half way between the two rows about it."""
+def best_cut(weights: np.ndarray, good: np.ndarray, worth: float = WORTH) -> float:
+    """The log weight that parts labelled good rows from bad ones at the least cost; half way between the two rows about it.
+
+    The cost is the share of bad rows above it plus ``worth`` times the share of good rows below.
+    """
     order = np.argsort(weights, kind="stable")
     w, g = weights[order], good[order].astype(bool)
     lost = np.concatenate([[0], np.cumsum(g)]) / max(1, g.sum())
     caught = np.concatenate([[0], np.cumsum(~g)]) / max(1, (~g).sum())
     valid = np.concatenate([[True], w[1:] > w[:-1], [True]])  # equal weights stay together
-    i = int(np.argmax(np.where(valid, caught - lost, -np.inf)))
+    i = int(np.argmax(np.where(valid, caught - worth * lost, -np.inf)))
     if i == 0:
         return float("-inf")
     return float("inf") if i == len(w) else float((w[i - 1] + w[i]) / 2)
@@ -116,31 +124,46 @@ def label_sample(labels: DataFrame, max_labelled: int, seed: int) -> DataFrame:
     return clean.orderBy(row_hash("doc_id", seed=seed), "doc_id").limit(max_labelled)
 
 
+def fitted(docs: DataFrame, labels: DataFrame, k: int | None, n_gram: int, n_buckets: int, max_labelled: int, seed: int) -> tuple[np.ndarray, DataFrame, float]:
+    """(log ratios of the buckets, (doc_id, log_weight, sample_key) of all rows, the k-th largest key)."""
+    sample = label_sample(labels, max_labelled, seed).collect()  # at most max_labelled pairs of numbers
+    pairs = [(int(r["doc_id"]), int(r["quality"]), k % 4 == 0) for k, r in enumerate(sample)]
+    ids = docs.sparkSession.createDataFrame(pairs, "labelled_id long, quality int, unseen boolean")
+    labelled = docs.join(F.broadcast(ids), docs["doc_id"] == ids["labelled_id"])
+    raw = bucket_counts(docs, n_gram, n_buckets)
+    target = bucket_counts(labelled.where("quality > 0 and not unseen"), n_gram, n_buckets)
+    ratio = log_ratio(target, raw) if target.any() else np.zeros(n_buckets)
+    scored = written(with_weights(docs, ratio, n_gram, seed, ["doc_id"]), "weights")
+    if k is None:
+        both = scored.join(F.broadcast(ids), scored["doc_id"] == ids["labelled_id"]).where("unseen").select("log_weight", "quality").limit(2 * max_labelled).collect()
+        good = np.array([r["quality"] > 0 for r in both], bool)
+        cut = best_cut(np.array([r["log_weight"] for r in both]), good) if good.any() and not good.all() else float("-inf")
+        k = scored.where(F.col("log_weight") > cut).count()
+    return ratio, scored, kth_largest(scored, "sample_key", k)
+
+
+def noised(docs: DataFrame, seed: int) -> DataFrame:
+    """(doc_id, text, noise_hash, whole): whole holds all columns."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), whole.alias("whole")).withColumn("noise_hash", row_hash("doc_id", "text", seed=seed))
+
+
 def resample(
     docs: DataFrame, labels: DataFrame, k: int | None = None, n_gram: int = N_GRAM, n_buckets: int = N_BUCKETS, max_labelled: int = MAX_LABELLED, seed: int = 1
 ) -> DataFrame:
-    """All rows of ``docs`` (doc_id, text) with ``log_weight``, ``sample_key`` and ``keep``.
+    """(doc_id, log_weight, sample_key, keep) for every row of ``docs`` (doc_id, text).
 
     k: how many to keep; without it, as many as have a log weight above the cut that best parts the labelled rows.
     A null or empty text has log weight 0. Equal rows draw the same noise and share a decision; ties at the k-th key all
     stay, so more than k rows can. Without labelled good rows the target is the raw corpus, all weights are 0, and with
     no k all rows stay. Rows with a null doc_id are weighed like any other and are never labelled.
     """
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("noise_hash", row_hash("doc_id", "text", seed=seed))
-    sample = label_sample(labels, max_labelled, seed).collect()  # at most max_labelled pairs of numbers
-    quality = {r["doc_id"]: r["quality"] for r in sample}
-    spark = docs.sparkSession
-    ids = spark.createDataFrame([(int(i), int(q)) for i, q in quality.items()], "labelled_id long, quality int")
-    labelled = docs.join(F.broadcast(ids), docs["doc_id"] == ids["labelled_id"])
-    raw = bucket_counts(docs, n_gram, n_buckets)
-    target = bucket_counts(labelled.where("quality > 0"), n_gram, n_buckets)
-    ratio = log_ratio(target, raw) if target.any() else np.zeros(n_buckets)
-    scored = written(with_weights(docs, ratio, n_gram, seed).drop("text", "noise_hash"), "weights")
-    if k is None:
-        both = scored.join(F.broadcast(ids), scored["doc_id"] == ids["labelled_id"]).select("log_weight", "quality").limit(2 * max_labelled).collect()
-        good = np.array([r["quality"] > 0 for r in both], bool)
-        cut = best_cut(np.array([r["log_weight"] for r in both]), good) if good.any() and not good.all() else float("-inf")
-        k = scored.where(F.col("log_weight") > cut).count()
-    least = kth_largest(scored, "sample_key", k)
+    _, scored, least = fitted(noised(docs, seed).drop("whole"), labels, k, n_gram, n_buckets, max_labelled, seed)
     return scored.withColumn("keep", F.col("sample_key") >= least)
+
+
+def kept(docs: DataFrame, labels: DataFrame, k: int | None = None, n_gram: int = N_GRAM, n_buckets: int = N_BUCKETS, max_labelled: int = MAX_LABELLED, seed: int = 1) -> DataFrame:
+    """The rows of ``docs`` that ``resample`` keeps, whatever their columns: weighed again where they lie, without a join."""
+    rows = noised(docs, seed)
+    ratio, _, least = fitted(rows.drop("whole"), labels, k, n_gram, n_buckets, max_labelled, seed)
+    return with_weights(rows, ratio, n_gram, seed, ["whole"]).where(F.col("sample_key") >= least).select("whole.*")

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import map_arrow, shuffle_parts, text_bytes, written
@@ -199,6 +200,27 @@ def links_within(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, buc
         rows = full.select(F.col("u").alias("fp"), "mask").join(F.broadcast(table), "mask").select("fp", F.col("finer").alias("mask"))
 
 
+def roots_of(fps: DataFrame, radius: int = RADIUS, **options) -> DataFrame:
+    """(known_fp, root) of every distinct ``fp`` of ``fps`` (written): root is the smallest one of its component."""
+    distinct = written(fps.select("fp").distinct(), "distinct")
+    roots = connected_components(links_within(distinct, radius, **options)).select(F.col("node").alias("linked"), "root")
+    return distinct.join(roots, distinct["fp"] == roots["linked"], "left").select(F.col("fp").alias("known_fp"), F.coalesce("root", "fp").alias("root"))
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, **options) -> DataFrame:
+    """The rows of ``docs``, whatever their columns, that come first in their component: by doc_id, nulls last, then by a hash of the row."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    base = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), whole.alias("whole")).withColumn("row", F.xxhash64("whole"))
+    fps = written(with_fingerprints(base, ["id", "row"]), "fingerprints")
+    roots = roots_of(fps, radius, **options)
+    first = F.min(F.struct(F.col("id").isNull().alias("void"), "id", "row"))
+    firsts = fps.join(roots, fps["fp"] == roots["known_fp"]).groupBy("root").agg(first.alias("first"))
+    firsts = firsts.select(F.col("first.id").alias("first_id"), F.col("first.row").alias("first_row")).distinct()
+    met = base.select("id", "row", "whole").join(firsts, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("row") == F.col("first_row")), "left_semi")
+    place = F.row_number().over(W.partitionBy("id", "row").orderBy("row"))  # equal rows stay once
+    return met.withColumn("place", place).where("place = 1").select("whole.*")
+
+
 def components_of(fps: DataFrame, radius: int = RADIUS, **options) -> DataFrame:
     """``fps`` (doc_id, fp; written) to (doc_id, fp, component_id)."""
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
