@@ -1,5 +1,6 @@
 """All registered queries: importing the modules registers them."""
 
+from . import series_queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "series_queries"]
