@@ -162,10 +162,10 @@ def rebuild_grid(flat: DataFrame, keys: list[str]) -> DataFrame:
     Cells meet their columns by key and position, an equi join; cells without a column raise as they are computed.
     """
     part = lambda pattern, k=1: F.regexp_extract("field", pattern, k)
-    model = flat.where(F.col("field").rlike(r"colModels\[\d+\]\.name$")).select(*keys, part(r"colModels\[(\d+)\]").cast("int").alias("c"), F.col("value_raw").alias("column_name"))
-    names = flat.where(F.col("field").rlike(r"colNames\[\d+\]$")).select(*keys, part(r"colNames\[(\d+)\]").cast("int").alias("c"), F.col("value_raw").alias("label"))
+    model = flat.where(F.col("field").rlike(r"colModels\[\d+\]\.name$")).select(*keys, part(r"colModels\[(\d+)\]").try_cast("int").alias("c"), F.col("value_raw").alias("column_name"))
+    names = flat.where(F.col("field").rlike(r"colNames\[\d+\]$")).select(*keys, part(r"colNames\[(\d+)\]").try_cast("int").alias("c"), F.col("value_raw").alias("label"))
     pattern = r"data\.rows\[(\d+)\]\.cell\[(\d+)\]$"
-    cells = flat.where(F.col("field").rlike(pattern)).select(*keys, part(pattern, 1).cast("int").alias("row"), part(pattern, 2).cast("int").alias("c"), "value_raw")
+    cells = flat.where(F.col("field").rlike(pattern)).select(*keys, part(pattern, 1).try_cast("int").alias("row"), part(pattern, 2).try_cast("int").alias("c"), "value_raw")
     out = cells.join(model.join(names, [*keys, "c"], "left"), [*keys, "c"], "left")
     fail = F.raise_error(F.lit("a grid's cell has no column")).cast("string")
     return out.select(*keys, "row", F.coalesce("column_name", fail).alias("column_name"), "label", "value_raw")
