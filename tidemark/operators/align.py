@@ -10,6 +10,7 @@ from ..functions import dates as T
 from ..functions import dims as D
 from ..functions.nature import alignment_method
 from ..schema import ContractError
+from ..sources.scratch import written
 from .contracts import duplicate_keys, require_columns
 
 RANK = {"D": 0, "W": 1, "M": 2, "Q": 3, "Y": 4}
@@ -72,6 +73,7 @@ def monthly(obs: DataFrame, meta: DataFrame, quarterly: str = "sparse") -> DataF
     quarters = rows.where("freq = 'Q'")
     parts = [to_month_end(days), native_month(rows.where("freq = 'M'")), native_month(quarters, "quarter_end_sparse") if quarterly == "sparse" else quarter_fill(quarters)]
     out = parts[0].unionByName(parts[1]).unionByName(parts[2]).select(*_OUT)
+    out = written(out, "aligned")  # the layer is a table; the check below reads what was written
     if duplicate_keys(out, ["series_id", "date", "dims"]).first():
         raise ContractError("duplicate_key", "aligned rows repeat a series, date and dims")
     return out

@@ -1,6 +1,6 @@
 """All registered queries: importing the modules registers them."""
 
-from . import series_queries, text_queries
+from . import lakehouse_queries, series_queries, text_queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "series_queries", "text_queries"]
+__all__ = ["ORACLES", "QUERIES", "lakehouse_queries", "series_queries", "text_queries"]
