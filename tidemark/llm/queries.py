@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from . import chat, chunks, html_text, language_model, mixing, piecewise, quality, simhash, templates, toxicity
 
+_SAID = "</s>[INST] ok [/INST]"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -75,6 +78,20 @@ def op7_piecewise_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_prefix_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    said = "</s>[INST] ok [/INST]"
+    said = _SAID
     extra = turns.sparkSession.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
     return chat.read_back(chat.packed(turns.unionByName(extra)))
+
+
+_CONTROL = "|".join(f"{re.escape(c[0])}\\\\*{re.escape(c[1:])}" for c in chat.CONTROL)
+#: Roles hold no backslash or line feed. A control string takes one character more when it is escaped.
+ORACLES["op8_prefix_tree_chat"] = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{_SAID}' UNION ALL SELECT -1, 1, 'assistant', '{_SAID}'
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn, r, x)) AS turns_sha256,
+  CAST(coalesce(sum(length(x)) FILTER (WHERE r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(x, '' ORDER BY turn, r, x) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len(chat.BEGIN) + len(chat.END) + 2} + length(r) + length(x) + len(regexp_extract_all(x, '{_CONTROL}')) + len(regexp_extract_all(r, '{_CONTROL}'))) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id"""
