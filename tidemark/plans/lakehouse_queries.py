@@ -9,6 +9,7 @@ from ..functions import nature as NA
 from ..operators import align, change, gold, lakehouse
 from ..operators import search as S
 from ..sources import catalog
+from ..sources.scratch import written
 from . import fixtures as X
 from .registry import query
 from .series_queries import _CHANGE, _MDIFF, rounded
@@ -81,6 +82,7 @@ def silver_regional(spark, d):
 def _layers(spark, d):
     """Canonical facts and series of the derived tables."""
     rows = X.flow_d(spark, d).unionByName(X.price_d(spark, d)).unionByName(X.geo_rows(spark, d)).unionByName(X.flow_m(spark, d))
+    rows = written(rows, "source_silver")
     facts = rows.withColumns({"period_start": F.col("date"), "period_end": F.col("date"), "source_file": F.lit("orders")})
     meta = X.metadata(spark).join(rows.select("series_id", "source").distinct(), "series_id")
     return lakehouse.canonical([facts], [meta])
