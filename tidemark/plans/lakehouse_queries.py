@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dims as D
 from ..functions import nature as NA
-from ..operators import align, change, gold, lakehouse
+from ..operators import align, change, gold, health, lakehouse
 from ..operators import search as S
-from ..sources import catalog
+from ..sources import catalog, readers
 from ..sources.scratch import written
 from . import fixtures as X
 from .registry import query
@@ -152,3 +152,36 @@ def loaded_series(spark, d):
     layers = {"facts": rows, "series": X.metadata(spark), "aligned": align.monthly(rows, meta)}
     out, _ = lakehouse.load_series(rows.where(D.get(F.col("dims"), "region") != "ASIA"), meta, layers)
     return out["aligned"].groupBy("dims").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey::VARCHAR AS series_id, c_mktsegment AS group_code, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN 'M' ELSE 'D' END AS freq, CASE WHEN c_custkey % 2 = 0 THEN 'tl' ELSE 'usd' END AS unit, CASE WHEN c_custkey % 2 = 0 THEN ['a', 'b'] ELSE [] END AS tags FROM customer")
+def metadata_sync(spark, d):
+    c = X.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("series_id"), F.col("c_mktsegment").alias("group_code"), F.col("c_name").alias("name"))
+    groups = c.select("group_code").distinct().select("group_code", F.lit("g").alias("group_name"), F.lit("D").alias("freq"), F.lit("usd").alias("unit"))
+    own = c.where("cast(series_id AS long) % 2 = 0").select("series_id", F.lit(None).cast("string").alias("name"), F.lit("M").alias("freq"), F.lit("tl").alias("unit"), F.lit("a, ,b").alias("tags"))
+    return readers.synced_metadata(c, groups, own)
+
+
+@query(X.sql("SELECT series_id, count(*) AS n_obs, min(date) AS first_date, round(arg_min(value, date), 2) AS first_value, max(date) AS last_date, round(arg_max(value, date), 2) AS last_value FROM (SELECT series_id || dims AS series_id, date, value FROM gap_m) GROUP BY 1", "gap_m"))
+def series_summary(spark, d):
+    return rounded(health.series_summary(X.gap_m(spark, d).withColumn("series_id", F.concat("series_id", "dims"))), 2)
+
+
+@query("SELECT 'o_totalprice' AS column_name, count(o_totalprice)::DOUBLE AS n, round(min(o_totalprice), 2) AS min, round(max(o_totalprice), 2) AS max, round(avg(o_totalprice), 2) AS mean FROM orders UNION ALL SELECT 'o_custkey', count(o_custkey)::DOUBLE, min(o_custkey)::DOUBLE, max(o_custkey)::DOUBLE, round(avg(o_custkey), 2) FROM orders")
+def numeric_summary(spark, d):
+    return rounded(health.numeric_summary(X.table(spark, d, "orders"), ["o_totalprice", "o_custkey"]), 2)
+
+
+@query(X.sql("WITH g AS (SELECT json_extract_string(dims, '$.province') AS province, max(CASE WHEN series_id = 'GEO:bad' THEN value END) / (max(CASE WHEN series_id = 'GEO:good' THEN value END) + max(CASE WHEN series_id = 'GEO:bad' THEN value END)) AS r FROM geo_rows WHERE date = DATE '2000-12-31' GROUP BY 1) (SELECT 'worst' AS kind, province, round(r, 6) AS bad_ratio FROM g ORDER BY r DESC LIMIT 1) UNION ALL (SELECT 'best', province, round(r, 6) FROM g ORDER BY r LIMIT 1)", "geo_rows"))
+def geo_extremes(spark, d):
+    g = gold.geo_quality(X.geo_rows(spark, d), {"province": "province"}, "GEO:good", "GEO:bad").where("date = date'2000-12-31'")
+    pick = lambda kind, order: g.orderBy(order).limit(1).select(F.lit(kind).alias("kind"), "province", "bad_ratio")
+    return rounded(pick("worst", F.desc("bad_ratio")).unionByName(pick("best", F.asc("bad_ratio"))), 6)
+
+
+@query("SELECT p_partkey, p_brand || ':' || p_size AS code, 'Size ' || p_size AS name, p_brand AS category, replace(p_brand, '#', '#') || ' - Size ' || p_size || ' (period value)' AS description FROM (SELECT p_partkey, p_brand, p_size FROM part)")
+def id_metadata(spark, d):
+    p = X.table(spark, d, "part")
+    made = lakehouse.id_metadata(F.concat_ws(":", F.lit("PART"), "p_brand", F.concat(F.lit("size_"), F.col("p_size").cast("string"), F.lit("_periodic"))))
+    out = p.select("p_partkey", "p_brand", "p_size", *[c.alias(n) for n, c in made.items()])
+    return out.select("p_partkey", F.concat_ws(":", "p_brand", "p_size").alias("code"), "name", "category", "description")

@@ -197,5 +197,5 @@ def synced_metadata(catalog: DataFrame, groups: DataFrame, series: DataFrame) ->
     g = groups.select(F.col("group_code").alias("_g"), F.col("group_name").alias("_gn"), F.col("freq").alias("_gf"), F.col("unit").alias("_gu"))
     s = series.select(F.col("series_id").alias("_s"), F.col("name").alias("_sn"), F.col("freq").alias("_sf"), F.col("unit").alias("_su"), F.col("tags").alias("_st"))
     out = catalog.join(g, F.col("group_code") == F.col("_g"), "left").join(s, F.col("series_id") == F.col("_s"), "left")
-    tags = F.filter(F.transform(F.split(F.coalesce("_st", F.lit("")), ","), F.trim), lambda t: t != "")
+    tags = F.filter(F.transform(F.split(F.coalesce("_st", F.lit("")), ","), lambda t: F.trim(t)), lambda t: t != "")
     return out.select("series_id", "group_code", F.coalesce("_sn", "name", "_gn").alias("name"), F.coalesce("_sf", "_gf").alias("freq"), F.coalesce("_su", "_gu").alias("unit"), tags.alias("tags"))
