@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,17 +29,18 @@ BEGIN, END = "<|im_start|>", "<|im_end|>"
 CONTROL = [BEGIN, END, "<|im_sep|>", "<|endoftext|>", "<|startoftext|>", "<|system|>", "<|user|>", "<|assistant|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_IN_TEXT = re.compile("|".join(f"({re.escape(c[0])})(\\\\*)({re.escape(c[1:])})" for c in CONTROL))
+# Each alternative starts with a plain character, which lets the search skip to it.
+_IN_TEXT = re.compile("|".join(f"{re.escape(c[0])}\\\\*{re.escape(c[1:])}" for c in CONTROL))
 
 
 def escape(text: str) -> str:
     """A backslash more after the first character of every control string, however many it has there already."""
-    return _IN_TEXT.sub(lambda m: (lambda g: f"{g[0]}\\{g[1]}{g[2]}")([x for x in m.groups() if x is not None]), text)
+    return _IN_TEXT.sub(lambda m: f"{m[0][0]}\\{m[0][1:]}", text)
 
 
 def unescape(text: str) -> str:
     """The text that ``escape`` was given."""
-    return _IN_TEXT.sub(lambda m: (lambda g: f"{g[0]}{g[1][1:]}{g[2]}")([x for x in m.groups() if x is not None]), text)
+    return _IN_TEXT.sub(lambda m: m[0][0] + m[0][2:] if m[0][1] == "\\" else m[0], text)
 
 
 class Tokens:
@@ -52,22 +54,24 @@ class Tokens:
         self.coder = tiktoken.Encoding("chat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.begin = max(ranks.values()) + 2  # one id after the vocabulary stays free for an end of text
         self.end = self.begin + 1
+        self.tail = np.concatenate([[self.end], self.encode("\n")]).astype(np.int32)
 
-    def encode(self, text: str) -> list[int]:
-        return self.coder.encode_ordinary(text)
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.coder.encode_ordinary(text), np.int32)
 
-    def decode(self, ids: list[int]) -> str:
+    @lru_cache(maxsize=1000)  # noqa: B019  a table has few roles
+    def head(self, role: str) -> np.ndarray:
+        """The mark and the role's line, in which line feeds and backslashes are written out."""
+        line = escape(role.replace("\\", "\\\\").replace("\n", "\\n")) + "\n"
+        return np.concatenate([[self.begin], self.encode(line)]).astype(np.int32)
+
+    def decode(self, ids: np.ndarray) -> str:
         """The text of ``ids``, marks included."""
-        out, run = [], []
-        for i in [*ids, None]:
-            if i is None or i >= self.begin:
-                out.append(self.coder.decode_bytes(run))
-                run = []
-                if i is not None:
-                    out.append((BEGIN if i == self.begin else END).encode())
-            else:
-                run.append(i)
-        return b"".join(out).decode()
+        out, last = [], 0
+        for at in np.flatnonzero(ids >= self.begin).tolist():
+            out += [self.coder.decode_bytes(ids[last:at].tolist()), (BEGIN if ids[at] == self.begin else END).encode()]
+            last = at + 1
+        return b"".join([*out, self.coder.decode_bytes(ids[last:].tolist())]).decode()
 
 
 @lru_cache(maxsize=2)
@@ -75,11 +79,10 @@ def tokens_of(path: str) -> Tokens:
     return Tokens(path)
 
 
-def format_turn(coder: Tokens, role: str, text: str) -> tuple[list[int], int, int]:
+def format_turn(coder: Tokens, role: str, text: str) -> tuple[np.ndarray, int, int]:
     """Token ids of a turn, and where those of its text begin and end: mark, role, line feed, text, mark, line feed."""
-    head = [coder.begin, *coder.encode(escape(role.replace("\\", "\\\\").replace("\n", "\\n")) + "\n")]
-    body = coder.encode(escape(text))
-    return [*head, *body, coder.end, *coder.encode("\n")], len(head), len(head) + len(body)
+    head, body = coder.head(role), coder.encode(escape(text))
+    return np.concatenate([head, body, coder.tail]), len(head), len(head) + len(body)
 
 
 def read_turn(formatted: str) -> tuple[str, str]:
@@ -94,8 +97,9 @@ class Pack:
 
     def __init__(self, coder: Tokens):
         self.coder = coder
-        self.ids: list[int] = []
-        self.positions: list[int] = []
+        self.ids: list[np.ndarray] = []
+        self.positions: list[np.ndarray] = []
+        self.size = 0
         self.loss: list[list[int]] = []
         self.nodes: list[dict] = []
         self.leaves: list[dict] = []
@@ -109,10 +113,11 @@ class Pack:
         del self.path[shared:]
         for role, text in turns[shared:]:
             ids, lo, hi = format_turn(self.coder, role, text)
-            at, parent = len(self.ids), self.path[-1][1] if self.path else None
+            at, parent = self.size, self.path[-1][1] if self.path else None
             before = 0 if parent is None else self.nodes[parent]["last"] + 1
-            self.ids += ids
-            self.positions += range(before, before + len(ids))
+            self.ids.append(ids)
+            self.positions.append(np.arange(before, before + len(ids), dtype=np.int32))
+            self.size += len(ids)
             if role == "assistant":
                 self.loss.append([at + lo, at + hi])
             seen = [] if parent is None else [list(x) for x in self.nodes[parent]["attends"]]
@@ -166,14 +171,15 @@ def packed(turns: DataFrame, tokenizer: str = TOKENIZER, pack_tokens: int = PACK
 
         def row() -> pa.RecordBatch:
             leaf = pa.struct([("conv_id", id_type), ("node", pa.int32())])
-            values = [[pack.ids], [pack.positions], [pack.loss], [pack.nodes], [pack.leaves]]
-            kinds = [*PACK_TYPE.types, pa.list_(leaf)]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds)], [*PACK_TYPE.names, "leaves"])
+            flat = (np.concatenate(x) if x else np.empty(0, np.int32) for x in (pack.ids, pack.positions))
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in flat]
+            lists += [pa.array([v], t) for v, t in zip((pack.loss, pack.nodes, pack.leaves), [*PACK_TYPE.types[2:], pa.list_(leaf)])]
+            return pa.RecordBatch.from_arrays(lists, [*PACK_TYPE.names, "leaves"])
 
         for batch in batches:
             id_type = batch.column("conv_id").type
             for conv_id, said in zip(batch.column("conv_id").to_pylist(), batch.column("turns").to_pylist()):
-                if pack is not None and len(pack.ids) >= pack_tokens:
+                if pack is not None and pack.size >= pack_tokens:
                     yield row()
                     pack = None
                 pack = pack or Pack(coder)
@@ -196,8 +202,10 @@ def read_back(packs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         for batch in batches:
             rows, kinds = [], [batch.schema.field("leaves").type.value_type.field("conv_id").type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             for k in range(batch.num_rows):
-                ids, losses, nodes, leaves = (batch.column(c)[k].as_py() for c in ("input_ids", "loss_spans", "nodes", "leaves"))
+                ids = batch.column("input_ids")[k].values.to_numpy()
+                losses, nodes, leaves = (batch.column(c)[k].as_py() for c in ("loss_spans", "nodes", "leaves"))
                 texts = [coder.decode(ids[n["start"] : n["end"]]) for n in nodes]
+                turns_of = [read_turn(t) for t in texts]
                 starts = {n["start"]: i for i, n in enumerate(nodes)}
                 owner = {i: unescape(coder.decode(ids[lo:hi])) for (lo, hi) in losses for i in [_node_of(nodes, lo)]}
                 for leaf in leaves:
@@ -207,7 +215,7 @@ def read_back(packs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
                             while lo < hi:
                                 path.append(starts[lo])
                                 lo = nodes[path[-1]]["end"]
-                    turns = [read_turn(texts[i]) for i in path]
+                    turns = [turns_of[i] for i in path]
                     loss = "".join(owner[i] for i in path if i in owner)
                     said = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
                     rows.append((leaf["conv_id"], len(turns), said, len(loss), hashlib.sha256(loss.encode()).hexdigest(), sum(len(texts[i]) for i in path)))
