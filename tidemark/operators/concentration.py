@@ -14,7 +14,7 @@ def at_month(df: DataFrame, month: str | None, date: str = "date") -> DataFrame:
     if month:
         start = F.lit(f"{month}-01").cast("date")
         return df.where((F.col(date) >= start) & (F.col(date) < F.add_months(start, 1)))
-    return df.join(F.broadcast(df.agg(F.max(date).alias("_last"))), F.col(date) == F.col("_last")).drop("_last")  # one row
+    return df.where(F.col(date) == df.agg(F.max(date)).scalar())
 
 
 def entity_sums(df: DataFrame, entity: Column, metric: str) -> DataFrame:
@@ -42,6 +42,6 @@ def indices(sums: DataFrame) -> DataFrame:
 
 def inline_items(rows: DataFrame, entity: str, value: str) -> DataFrame:
     """(entity, value) of a user's text columns: numbers read by the column's notation, what is not positive left out, equal entities summed."""
-    share = rows.agg(dot_tail_share(F.col(value)).alias("_share"))
-    read = rows.crossJoin(F.broadcast(share)).select(F.trim(entity).alias("entity"), inline_number(F.col(value), F.col("_share")).alias("value"))  # one row
+    share = rows.agg(dot_tail_share(F.col(value))).scalar()
+    read = rows.select(F.trim(entity).alias("entity"), inline_number(F.col(value), share).alias("value"))
     return read.where("entity <> '' and value > 0").groupBy("entity").agg(F.sum("value").alias("value"))

@@ -132,7 +132,7 @@ def regional_silver(cells: DataFrame, source: str, units: DataFrame) -> DataFram
     """Quarterly observations of rebuilt grids (year, month, table_no, sehir, grup, metric, value, source_file); units: table_no, metric (null: any), unit."""
     quarter = F.when(F.col("month").isin(3, 6, 9, 12), F.last_day(F.make_date("year", "month", F.lit(1)))).otherwise(F.raise_error(F.lit("not a quarter's month")).cast("date"))
     u = units.select(F.col("table_no").alias("_t"), F.col("metric").alias("_m"), F.col("unit").alias("_u"))
-    rows = cells.withColumn("date", quarter).join(F.broadcast(u), (F.col("table_no") == F.col("_t")) & (F.col("_m").isNull() | (F.col("metric") == F.col("_m"))), "left")  # a code-sized table
+    rows = cells.withColumn("date", quarter).join(u, (F.col("table_no") == F.col("_t")) & (F.col("_m").isNull() | (F.col("metric") == F.col("_m"))), "left")
     unit = F.coalesce("_u", F.raise_error(F.concat(F.lit("no unit for table "), F.col("table_no").cast("string"))).cast("string"))
     return rows.select(
         TX.series_id(source, F.concat(F.lit("t"), F.col("table_no").cast("string")), TX.slug(F.col("metric"))).alias("series_id"), F.lit(source).alias("source"), "date", F.trunc("date", "QUARTER").alias("period_start"), F.col("date").alias("period_end"),

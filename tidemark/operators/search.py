@@ -34,12 +34,22 @@ def cosine_top(catalog: DataFrame, query: list[float], k: int = 5, threshold: fl
     return scored.where(F.col("similarity") >= threshold).orderBy(F.desc("similarity"), catalog.columns[0]).limit(k)
 
 
+#: Queries that are sent to all tasks at once.
+QUERY_BLOCK = 4096
+
+
 def cosine_top_each(catalog: DataFrame, queries: DataFrame, key: str, query_key: str, k: int = 5, embedding: str = "embedding") -> DataFrame:
-    """(query_key, key, similarity, rank): the nearest ``k`` rows to each of a stated set of queries."""
+    """(query_key, key, similarity, rank): the nearest ``k`` rows to each of a stated set of queries, which go over the rows in blocks of bounded size."""
     q = queries.select(F.col(key).alias(query_key), F.col(embedding).alias("_query"))
-    scored = catalog.select(key, embedding).join(F.broadcast(q), F.col(key) != F.col(query_key)).select(query_key, key, cosine(F.col(embedding), F.col("_query")).alias("similarity"))
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
     order = W.partitionBy(query_key).orderBy(F.desc("similarity"), key)
-    return scored.where("similarity is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    out = None
+    for b in range(blocks):
+        block = F.broadcast(q.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b))  # about QUERY_BLOCK rows
+        scored = catalog.select(key, embedding).join(block, F.col(key) != F.col(query_key)).select(query_key, key, cosine(F.col(embedding), F.col("_query")).alias("similarity"))
+        top = scored.where("similarity is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        out = top if out is None else out.unionByName(top)
+    return out
 
 
 def lexical_score(text: Column, query: str) -> Column:

@@ -51,9 +51,8 @@ def paired(a: DataFrame, b: DataFrame, least: int = 2) -> DataFrame:
     monthly = lambda df, name: df.where("value is not null").groupBy(F.last_day("date").alias("date")).agg(F.max_by("value", "date").alias(name))
     exact = named(a, "a").join(named(b, "b"), "date").withColumn("grain", F.lit("D"))
     months = monthly(a, "a").join(monthly(b, "b"), "date").withColumn("grain", F.lit("M"))
-    n = exact.agg(F.count("*").alias("_n"))
-    both = exact.unionByName(months).crossJoin(F.broadcast(n))  # one row
-    return both.where((F.col("grain") == "D") == (F.col("_n") >= least)).drop("_n")
+    n = exact.agg(F.count("*")).scalar()
+    return exact.where(n >= least).unionByName(months.where(n < least))
 
 
 def correlation(pairs: DataFrame) -> DataFrame:
