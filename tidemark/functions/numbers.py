@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +17,18 @@ DOT_THOUSANDS = 0.70
 NUMERIC_COLUMN = 0.60
 
 
-def finite(x: Column) -> Column:
-    """``x`` unless it is NaN or infinite."""
-    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+#: How a finite number is written once its signs are plain.
+PLAIN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,2})?$"
+
+
+def bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with ``x`` evaluated once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(x), lambda v: use(v)), F.lit(0))
+
+
+def number(text: Column) -> Column:
+    """A double from plain notation, null for anything else; what is no number is never cast."""
+    return bound(text, lambda t: F.when(t.rlike(PLAIN), t.try_cast("double")))
 
 
 def _dots(t: Column) -> Column:
@@ -33,20 +44,19 @@ def tr_number(text: Column, mode: str = "mixed") -> Column:
 
     mode: ``mixed`` takes dots for thousands if there is a comma or more than one dot; ``strict`` always does.
     """
-    raw = F.trim(text)
-    t = F.regexp_replace(F.replace(raw, F.lit("%"), F.lit("")), "[  ]", "")
+    return bound(F.trim(text), lambda raw: F.when(~F.lower(raw).isin(NULL_TOKENS), bound(F.regexp_replace(raw, "[ \u00a0%]", ""), lambda t: _read(t, mode))))
+
+
+def _read(t: Column, mode: str) -> Column:
     plain = F.replace(t, F.lit("."), F.lit(""))
     if mode == "strict":
-        out = _commas(t)
-    else:
-        out = F.when(F.contains(t, F.lit(",")), _commas(t)).when(_dots(t) > 1, plain).otherwise(t)
-    return F.when(~F.lower(raw).isin(NULL_TOKENS) & (t != ""), finite(out.try_cast("double")))
+        return number(_commas(t))
+    return number(F.when(F.contains(t, F.lit(",")), _commas(t)).when(t.rlike(r"\..*\."), plain).otherwise(t))
 
 
 def source_number(text: Column) -> Column:
     """A double from a source's field: null tokens give null, a comma stands for the decimal point."""
-    t = F.trim(text)
-    return F.when(~t.isin(SOURCE_NULLS), finite(F.replace(t, F.lit(","), F.lit(".")).try_cast("double")))
+    return bound(F.trim(text), lambda t: F.when(~t.isin(SOURCE_NULLS), number(F.replace(t, F.lit(","), F.lit(".")))))
 
 
 def value_or_parsed(value: Column, raw: Column) -> Column:
@@ -55,7 +65,7 @@ def value_or_parsed(value: Column, raw: Column) -> Column:
 
 
 def _bare(text: Column) -> Column:
-    return F.regexp_replace(text, "[\\s %]", "")
+    return F.regexp_replace(text, "[\\s\u00a0%]", "")
 
 
 def dot_tail_share(text: Column) -> Column:
@@ -67,15 +77,13 @@ def dot_tail_share(text: Column) -> Column:
 
 def inline_number(text: Column, share: Column) -> Column:
     """A double from a user's column, ``share`` being its ``dot_tail_share``: where most dots part thousands, all that can do."""
-    t = _bare(text)
-    plain = F.replace(t, F.lit("."), F.lit(""))
-    out = (
-        F.when(F.contains(t, F.lit(",")), _commas(t))
-        .when(_dots(t) > 1, plain)
-        .when((F.coalesce(share, F.lit(0.0)) >= DOT_THOUSANDS) & t.rlike(r"^[^.]*\.\d{3}$"), plain)
-        .otherwise(t)
-    )
-    return finite(out.try_cast("double"))
+    thousands = F.coalesce(share, F.lit(0.0)) >= DOT_THOUSANDS
+
+    def read(t: Column) -> Column:
+        plain = F.replace(t, F.lit("."), F.lit(""))
+        return number(F.when(F.contains(t, F.lit(",")), _commas(t)).when(t.rlike(r"\..*\."), plain).when(thousands & t.rlike(r"^[^.]*\.\d{3}$"), plain).otherwise(t))
+
+    return bound(_bare(text), read)
 
 
 def is_numeric_cell(text: Column) -> Column:
@@ -93,5 +101,4 @@ def coerce_columns(df: DataFrame, columns: list[str], least: float = NUMERIC_COL
 
 def tolerance(x: Column) -> Column:
     """How far a quoted number may lie from the true one, by its size."""
-    a = F.abs(x)
-    return F.when(a < 1, F.lit(0.005)).when(a < 100, F.lit(0.05)).otherwise(F.greatest(F.lit(0.5), a * 0.001))
+    return bound(F.abs(x), lambda a: F.when(a < 1, F.lit(0.005)).when(a < 100, F.lit(0.05)).otherwise(F.greatest(F.lit(0.5), a * 0.001)))

@@ -43,5 +43,5 @@ def indices(sums: DataFrame) -> DataFrame:
 def inline_items(rows: DataFrame, entity: str, value: str) -> DataFrame:
     """(entity, value) of a user's text columns: numbers read by the column's notation, what is not positive left out, equal entities summed."""
     share = rows.agg(dot_tail_share(F.col(value))).scalar()
-    read = rows.select(F.trim(entity).alias("entity"), inline_number(F.col(value), share).alias("value"))
+    read = rows.withColumn("_share", share).select(F.trim(entity).alias("entity"), inline_number(F.col(value), F.col("_share")).alias("value"))
     return read.where("entity <> '' and value > 0").groupBy("entity").agg(F.sum("value").alias("value"))

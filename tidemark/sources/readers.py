@@ -58,7 +58,7 @@ def inline_series(rows: DataFrame, least: int = 3, least_share: float = 0.5, wit
         raise ContractError("missing_columns", f"no date or value among {rows.columns}")
     base = rows.select(F.col(d).cast("string").alias("d"), F.col(v).cast("string").alias("v"), F.monotonically_increasing_id().alias("n"))
     share = base.agg(N.dot_tail_share(F.col("v"))).scalar()
-    read = base.select(T.parse_inline_date(F.col("d")).alias("date"), N.inline_number(F.col("v"), share).alias("value"), "n")
+    read = base.withColumn("share", share).select(T.parse_inline_date(F.col("d")).alias("date"), N.inline_number(F.col("v"), F.col("share")).alias("value"), "n")
     good = read.where("date is not null and value is not null")
     total, n = base.count(), good.count()
     if n < least or n < least_share * total:
