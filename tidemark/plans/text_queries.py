@@ -45,12 +45,12 @@ def cosine_topk(spark, d):
 
 
 @query(
-    """WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id < 20), s AS (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) AS c FROM embeddings, q WHERE vec_id <> query_id)
+    """WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) AS c FROM embeddings, q WHERE vec_id <> query_id)
  SELECT query_id, vec_id, round(c, 5) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS rank FROM s QUALIFY rank <= 5"""
 )
 def cosine_topk_batch(spark, d):
     e = X.table(spark, d, "embeddings")
-    out = search.cosine_top_each(e, e.where("vec_id < 20"), "vec_id", "query_id", 5)
+    out = search.cosine_top_each(e, e.where("vec_id % 20 = 0"), "vec_id", "query_id", 5)
     return rounded(out.withColumn("rank", F.col("rank").cast("long")), 5)
 
 
@@ -188,12 +188,12 @@ def official_nature(spark, d):
     return out.withColumn("method", NA.method_of(F.col("nature"), F.lit(None).cast("string")))
 
 
-@query("SELECT r_name AS query, 'R:' || r_name AS series_id, 'silver' AS layer FROM region WHERE r_regionkey > 0 UNION ALL SELECT r_name, 'G:' || r_name, 'gold' FROM region WHERE r_regionkey = 0")
+@query("SELECT c_name AS query, CASE WHEN c_custkey % 7 = 0 THEN 'G:' || c_name ELSE 'R:' || c_name END AS series_id, CASE WHEN c_custkey % 7 = 0 THEN 'gold' ELSE 'silver' END AS layer FROM customer")
 def series_resolve(spark, d):
-    r = X.table(spark, d, "region")
-    ids = r.select(F.concat(F.lit("R:"), "r_name").alias("series_id"), F.lit("silver").alias("layer"), F.lit(2).alias("layer_rank"))
-    ids = ids.unionByName(r.where("r_regionkey = 0").select(F.concat(F.lit("G:"), "r_name").alias("series_id"), F.lit("gold").alias("layer"), F.lit(1).alias("layer_rank")))
-    return lookup.resolve_series(ids, r.select(F.col("r_name").alias("query")))
+    c = X.table(spark, d, "customer")
+    ids = c.select(F.concat(F.lit("R:"), "c_name").alias("series_id"), F.lit("silver").alias("layer"), F.lit(2).alias("layer_rank"))
+    ids = ids.unionByName(c.where("c_custkey % 7 = 0").select(F.concat(F.lit("G:"), "c_name").alias("series_id"), F.lit("gold").alias("layer"), F.lit(1).alias("layer_rank")))
+    return lookup.resolve_series(ids, c.select(F.col("c_name").alias("query")))
 
 
 @query(X.sql("SELECT series_id, CAST(NULL AS VARCHAR) AS choice, count(DISTINCT json_extract_string(dims, '$.none')) AS n_values FROM flow_m GROUP BY 1 UNION ALL SELECT series_id, 'A', count(DISTINCT json_extract_string(dims, '$.flag')) FROM price_d GROUP BY 1", "flow_m", "price_d"))
@@ -202,10 +202,10 @@ def dimension_choice(spark, d):
     return none.unionByName(lookup.choose_dimension(X.price_d(spark, d), "flag", "A"))
 
 
-@query()
+@query("SELECT 'gold_revenue' AS gold_table, replace(lower(s_name), '#', '_') AS gold_column, 'ORDERS:by_supplier' AS source_series, 'supplier = ' || s_name AS source_filter, 'slice' AS transformation, 'usd' AS unit FROM supplier")
 def lineage_rows(spark, d):
-    regions = [r["r_name"] for r in X.table(spark, d, "region").select("r_name").orderBy("r_name").collect()]
-    return gold.lineage(spark, "gold_revenue", {r.lower().replace(" ", "_"): gold.Slice("ORDERS:revenue_m", "region", r, "usd") for r in regions})
+    names = [r["s_name"] for r in X.table(spark, d, "supplier").select("s_name").distinct().orderBy("s_name").collect()]  # a spec names its columns
+    return gold.lineage(spark, "gold_revenue", {n.lower().replace("#", "_"): gold.Slice("ORDERS:by_supplier", "supplier", n, "usd") for n in names})
 
 
 @query()
@@ -238,10 +238,13 @@ def html_links(spark, d):
     return html.page_links(X.table(spark, d, "pages"))
 
 
-@query()
+@query("SELECT c_custkey AS page_id, 0::BIGINT AS row_index, c_name AS item, 'TL' AS variable, round(c_acctbal, 2) AS value, DATE '2021-01-08' AS report_date, c_custkey % 2 = 1 AS date_mismatch FROM customer")
 def html_tables(spark, d):
-    n = X.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("page_id"), F.lit("http://x.example").alias("url"), F.concat(F.lit("<p>8 Ocak 2021</p><table><tr><th>Item</th><th>TL</th></tr><tr><td>"), "n_name", F.lit("</td><td>1.234,5</td></tr></table>")).alias("html"))
-    return html.bulletin_tables(n, "2021-01-08")
+    day = F.lit("<p>8 Ocak 2021</p><table><tr><th>Item</th><th>TL</th></tr><tr><td>")
+    page = F.concat(day, "c_name", F.lit("</td><td>"), F.translate(F.format_number("c_acctbal", 2), ",.", ".,"), F.lit("</td></tr></table>"))
+    pages = X.table(spark, d, "customer").select(F.col("c_custkey").alias("page_id"), F.lit("http://x.example").alias("url"), page.alias("html"))
+    even, odd = html.bulletin_tables(pages.where("page_id % 2 = 0"), "2021-01-08"), html.bulletin_tables(pages.where("page_id % 2 = 1"), "2021-01-15")
+    return rounded(even.unionByName(odd).select("page_id", "row_index", "item", "variable", "value", "report_date", "date_mismatch"), 2)
 
 
 @query("SELECT o_orderstatus AS file_status, count(*) AS n_rows, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
@@ -283,11 +286,11 @@ def flatten_json(spark, d):
     return readers.flatten_json(e, "event_id", "doc", depth=3)
 
 
-@query("SELECT n_regionkey AS page, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS row, n_name AS Sehir, 'total' AS metric, CAST(n_nationkey AS DOUBLE) AS value FROM nation")
+@query("SELECT c_nationkey AS page, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS INTEGER) AS row, c_name AS Sehir, 'total' AS metric, CAST(c_custkey AS DOUBLE) AS value FROM customer")
 def jqgrid_rebuild(spark, d):
-    n = X.table(spark, d, "nation")
-    grid = n.groupBy(F.col("n_regionkey").alias("page")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("r"))
-    cells = F.transform("r", lambda x: F.struct(F.array(x["n_name"], x["n_nationkey"].cast("string")).alias("cell")))
+    c = X.table(spark, d, "customer")
+    grid = c.groupBy(F.col("c_nationkey").alias("page")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("r"))
+    cells = F.transform("r", lambda x: F.struct(F.array(x["c_name"], x["c_custkey"].cast("string")).alias("cell")))
     doc = F.to_json(F.struct(F.array(F.struct(F.lit("Sehir").alias("name")), F.struct(F.lit("total").alias("name"))).alias("colModels"), F.array(F.lit("City"), F.lit("Total")).alias("colNames"), F.struct(cells.alias("rows")).alias("data")))
     flat = readers.flatten_json(grid.select("page", doc.alias("doc")), "page", "doc", depth=6)
     return readers.grid_series(readers.rebuild_grid(flat, ["page"]), ["page"], ["Sehir"])
