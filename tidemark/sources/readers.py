@@ -139,20 +139,18 @@ def _join_path(path: Column, key: Column, index: Column) -> Column:
 def flatten_json(docs: DataFrame, key: str, json: str, root: str = "Json", depth: int = 8) -> DataFrame:
     """(key, field, value_raw, value) of every leaf of a JSON text, up to ``depth`` levels; ``field`` is its path like ``Json.a.b[0]``.
 
-    A level is one explode of what is still nested, so the plan is as long as the depth and no row runs in Python.
+    A level is one explode that leaves scalars as they are, so the work is one pass, as long as the depth. Empty objects and
+    arrays have no leaves; what is nested deeper stays as JSON text.
     """
     level = docs.select(F.col(key), F.lit(root).alias("field"), F.try_parse_json(F.col(json)).alias("v")).where("v is not null")
-    leaves = None
-    for k in range(depth + 1):
-        kind = F.schema_of_variant("v")
-        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        leaf = level.where(~nested if k < depth else F.lit(True)).select(key, "field", F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v")).alias("value_raw"))
-        leaves = leaf if leaves is None else leaves.unionByName(leaf)
-        if k < depth:
-            inner = level.where(nested)
-            inner.createOrReplaceTempView("_nested")
-            level = inner.sparkSession.sql(f"SELECT n.`{key}`, n.field AS path, e.pos, e.key AS k, e.value AS v FROM _nested n, LATERAL variant_explode(n.v) e")
-            level = level.select(key, _join_path(F.col("path"), F.col("k"), F.col("pos")).alias("field"), "v")
+    for _ in range(depth):
+        level.createOrReplaceTempView("_nested")
+        level = level.sparkSession.sql(f"SELECT n.`{key}`, n.field AS path, n.v AS whole, e.pos, e.key AS k, e.value AS part FROM _nested n, LATERAL variant_explode_outer(n.v) e")
+        leaf = F.col("pos").isNull()
+        level = level.select(key, F.when(leaf, F.col("path")).otherwise(_join_path(F.col("path"), F.col("k"), F.col("pos"))).alias("field"), F.when(leaf, F.col("whole")).otherwise(F.col("part")).alias("v"))
+    docs.sparkSession.catalog.dropTempView("_nested")
+    raw = F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v"))
+    leaves = level.select(key, "field", raw.alias("value_raw")).where("value_raw is null or value_raw not in ('{}', '[]')")
     return leaves.withColumn("value", N.source_number(F.col("value_raw")))
 
 
