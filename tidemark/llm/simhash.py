@@ -207,12 +207,8 @@ def roots_of(fps: DataFrame, radius: int = RADIUS, **options) -> DataFrame:
     return distinct.join(roots, distinct["fp"] == roots["linked"], "left").select(F.col("fp").alias("known_fp"), F.coalesce("root", "fp").alias("root"))
 
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS, **options) -> DataFrame:
-    """The rows of ``docs``, whatever their columns, that come first in their component: by doc_id, nulls last, then by a hash of the row."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    base = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), whole.alias("whole")).withColumn("row", F.xxhash64("whole"))
-    fps = written(with_fingerprints(base, ["id", "row"]), "fingerprints")
-    roots = roots_of(fps, radius, **options)
+def first_rows(base: DataFrame, fps: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows ``whole`` of ``base`` (id, row, whole) that come first in their component; fps: (id, row, fp), roots: (known_fp, root)."""
     first = F.min(F.struct(F.col("id").isNull().alias("void"), "id", "row"))
     firsts = fps.join(roots, fps["fp"] == roots["known_fp"]).groupBy("root").agg(first.alias("first"))
     firsts = firsts.select(F.col("first.id").alias("first_id"), F.col("first.row").alias("first_row")).distinct()
@@ -221,6 +217,15 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, **options) -> DataFrame:
     return met.withColumn("place", place).where("place = 1").select("whole.*")
 
 
+def one_of_each(docs: DataFrame, radius: int = RADIUS, **options) -> DataFrame:
+    """The rows of ``docs``, whatever their columns, that come first in their component: by doc_id, nulls last, then by a hash of the row."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    base = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), whole.alias("whole")).withColumn("row", F.xxhash64("whole"))
+    fps = written(with_fingerprints(base, ["id", "row"]), "fingerprints")
+    roots = roots_of(fps, radius, **options)
+    return first_rows(base, fps, roots)
+
+
 def components_of(fps: DataFrame, radius: int = RADIUS, **options) -> DataFrame:
     """``fps`` (doc_id, fp; written) to (doc_id, fp, component_id)."""
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
