@@ -73,3 +73,30 @@ def test_repeats_inside_one_text(spark):
     p, mid = text(rng, 60), text(rng, 60)
     out = chunks.dedup(spark.createDataFrame([(1, f"{p} {mid} {p}")], "doc_id long, text string")).first()
     assert out["text"].startswith(p) and out["dedup"]["removed_chars"] > 0.6 * len(p) and mid in out["text"]
+
+
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    rng = random.Random(8)
+    passages = [text(rng, 70) for _ in range(3)]
+    rows, original = [], []
+    for i in range(1200):  # of 1,200 texts, about ten pairs agree in 16 bits of a hash
+        t = f"{text(rng, 5 + i % 90)} {passages[i % 3]} {text(rng, 20)}"
+        rows.append((None, t, i))
+        original.append(t)
+    rows += [((1 << 63) - 1, f"{passages[0]} end", 1200), (7, f"{text(rng, 9)} {passages[1]}", 1201)]
+    out = {r["n"]: r for r in chunks.dedup(spark.createDataFrame(rows, "doc_id long, text string, n long")).collect()}
+    middle = [p[len(p) // 3 : 2 * len(p) // 3] for p in passages]
+    assert middle[0] in out[1200]["text"] and middle[1] in out[1201]["text"]
+    assert [sum(m in out[i]["text"] for i in range(1200)) for m in middle] == [0, 0, 1]
+    for i in range(1200):
+        start = original[i].index(passages[i % 3])
+        for s in out[i]["dedup"]["spans"]:
+            assert start - 70 <= s["start"] < s["end"] <= start + len(passages[i % 3].encode()) + len(original[i].encode()) - len(original[i]) + 70
+
+
+def test_a_group_is_one_text(spark):
+    rng = random.Random(9)
+    p = text(rng, 70)
+    docs = spark.createDataFrame([(k, f"{p} {text(rng, 30)}") for k in (None, None, None, 4, 4)], "id long, text string").selectExpr("id", "xxhash64(text) AS key", "text")
+    found = chunks.repeated_chunks(docs)
+    assert found.count() == 5 and found.where("size(chunks) > 60").count() == 0

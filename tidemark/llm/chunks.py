@@ -26,7 +26,6 @@ MAX_CHUNK = 1024  # a place has 11 bits for it
 LEAST_BYTES = 160
 
 _GEAR = np.random.default_rng(1009).integers(0, 1 << 32, 256, dtype=np.uint32)
-_LAST = (1 << 63) - 1
 
 
 def cuts(data: np.ndarray) -> np.ndarray:
@@ -60,16 +59,15 @@ def digests(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-#: A chunk's place in a long: byte offset, size, whether its digest stood before in the text, a tag of the text.
-_AT, _SIZE, _AGAIN, _TAG = 28, 17, 16, 0
+#: A chunk's place in a long: byte offset, size, whether its digest stood before in the text.
+_AT, _SIZE, _AGAIN = 12, 1, 0
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """(id, digest, place): every chunk of every text (id, tag, text)."""
+    """(id, key, digest, place): every chunk of every text (id, key, text)."""
 
     def run(batch: pa.RecordBatch) -> pa.Table | None:
         owner, digest, place = [], [], []
-        tags = batch.column("tag").to_numpy()
         for i, value in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
             if not value:
                 continue
@@ -80,23 +78,30 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
             again = np.ones(len(ends), np.int64)
             again[np.unique(digest[-1], return_index=True)[1]] = 0
             owner.append(np.full(len(ends), i))
-            place.append(at << _AT | (ends - at) << _SIZE | again << _AGAIN | tags[i])
+            place.append(at << _AT | (ends - at) << _SIZE | again << _AGAIN)
         if not owner:
             return None
         owner = pa.array(np.concatenate(owner))
-        return pa.Table.from_arrays([batch.column("id").take(owner), pa.array(np.concatenate(digest)), pa.array(np.concatenate(place))], ["id", "digest", "place"])
+        return pa.Table.from_arrays(
+            [batch.column("id").take(owner), batch.column("key").take(owner), pa.array(np.concatenate(digest)), pa.array(np.concatenate(place))], ["id", "key", "digest", "place"]
+        )
 
-    return map_arrow(docs.select("id", "tag", "text"), run, "id long, digest long, place long")
+    return map_arrow(docs.select("id", "key", "text"), run, "id long, key long, digest long, place long")
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(of_id, chunks): of each document the places of its chunks whose digest occurs more than once, twice the place and 1 if no smaller id has it."""
+    """(of_id, of_key, chunks): of each text the places of its chunks whose digest occurs more than once, twice the place and 1 if no earlier document has it.
+
+    Documents with an id come first, by it; those without are told apart, and ordered, by their text's hash.
+    """
     chunks = chunk_rows(docs)
-    repeated = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1")
-    repeated = repeated.select(F.col("digest").alias("known"), "first_id")
+    least = [F.count("*").alias("n"), F.min("id").alias("first_id"), F.min(F.when(F.col("id").isNull(), F.col("key"))).alias("first_key")]
+    repeated = chunks.groupBy("digest").agg(*least).where("n > 1").select(F.col("digest").alias("known"), "first_id", "first_key")
     met = chunks.join(repeated, F.col("digest") == F.col("known"))
-    place = F.shiftleft("place", 1).bitwiseOR((F.col("id") == F.col("first_id")).cast("long"))
-    return met.select("id", place.alias("place")).groupBy("id").agg(F.collect_set("place").alias("chunks")).withColumnRenamed("id", "of_id")
+    first = F.when(F.col("first_id").isNull(), F.col("key") == F.col("first_key")).otherwise(F.coalesce(F.col("id") == F.col("first_id"), F.lit(False)))
+    place = F.shiftleft("place", 1).bitwiseOR(first.cast("long"))
+    texts = met.select("id", "key", place.alias("place")).groupBy("id", "key").agg(F.collect_set("place").alias("chunks"))
+    return texts.withColumnRenamed("id", "of_id").withColumnRenamed("key", "of_key")
 
 
 def touching(at: np.ndarray, size: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -121,9 +126,9 @@ def whole_words(text: bytes, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
-def spans_to_cut(text: bytes, tag: int, chunks: np.ndarray, least: int) -> tuple[bool, list[tuple[int, int]]]:
-    """Whether the text holds a repeated passage, and the byte spans of those that stand earlier: in a smaller id or before in this text."""
-    chunks = np.sort(chunks[(chunks >> 1 & 0xFFFF) == tag])
+def spans_to_cut(text: bytes, chunks: np.ndarray, least: int) -> tuple[bool, list[tuple[int, int]]]:
+    """Whether the text holds a repeated passage, and the byte spans of those that stand earlier: in an earlier document or before in this text."""
+    chunks = np.sort(chunks)
     first, place = chunks & 1, chunks >> 1
     at, size, again = place >> _AT, place >> _SIZE & 0x7FF, place >> _AGAIN & 1
     passages = touching(at, size, least)
@@ -137,26 +142,26 @@ def dedup(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
 
     dedup: repeated (the text holds a passage that also stands elsewhere, or twice), spans (start and end of each part
     taken out, in bytes of the UTF-8 text) and removed_chars. A null text counts as empty and stays null; nothing of an
-    empty one can go. Rows of one doc_id count as one document, so neither of two loses what both have; rows with a null
-    doc_id come after all others. Columns of any other name pass through.
+    empty one can go. Rows of one doc_id count as one document, so neither of two loses what both have. Rows with a null
+    doc_id come after all others, and only equal texts among them count as one document. Columns of any other name pass through.
     """
     rest = [c for c in docs.columns if c != "text"]
     base = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), text_or_empty().alias("text"), F.col("text").isNull().alias("void"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")
-    ).withColumn("tag", row_hash("text").bitwiseAND(0xFFFF))
+        F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text"), F.col("text").isNull().alias("void"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")
+    ).withColumn("key", row_hash("text"))
     found = repeated_chunks(base)
-    both = base.join(found, base["id"] == found["of_id"], "left").select("tag", "text", "void", "rest", "chunks")
+    both = base.join(found, base["id"].eqNullSafe(found["of_id"]) & (base["key"] == found["of_key"]), "left").select("text", "void", "rest", "chunks")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, flags, spans, removed = [], [], [], []
         lists = batch.column("chunks")
         flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-        tags, valid = batch.column("tag").to_numpy(), lists.is_valid().to_numpy(zero_copy_only=False)
+        valid = lists.is_valid().to_numpy(zero_copy_only=False)
         for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
             gone: list[tuple[int, int]] = []
             flag = False
             if valid[i]:
-                flag, gone = spans_to_cut(text, tags[i], flat[offsets[i] : offsets[i + 1]], least_bytes)
+                flag, gone = spans_to_cut(text, flat[offsets[i] : offsets[i + 1]], least_bytes)
             kept, last, n = [], 0, 0
             for a, b in gone:
                 kept.append(text[last:a])
@@ -173,6 +178,6 @@ def dedup(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
         )
 
     kind = base.schema["rest"].dataType.simpleString()
-    out = map_arrow(both.select("text", "void", "rest", "tag", "chunks"), run, f"text string, void boolean, rest {kind}, repeated boolean, spans array<struct<start:int,end:int>>, removed_chars long")
+    out = map_arrow(both.select("text", "void", "rest", "chunks"), run, f"text string, void boolean, rest {kind}, repeated boolean, spans array<struct<start:int,end:int>>, removed_chars long")
     kept = {"text": F.when(~F.col("void"), F.col("text")).alias("text")}
     return out.select(*[kept.get(c, F.col(f"rest.`{c}`").alias(c)) for c in docs.columns], F.struct("repeated", "spans", "removed_chars").alias("dedup"))
