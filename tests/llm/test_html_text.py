@@ -1,8 +1,10 @@
 import re
+import time
 from html import unescape
 
 from tidemark.llm import html_text as H
 
+PRIOR = H.Weights({})
 PAGE = """<html><head><title>x</title></head><body><header><h1>Site</h1><nav><a href=/>Home</a> <a>News</a></nav></header>
 <div class="cookie-notice">We use cookies to improve your visit, accept them all please.</div>
 <div id="content"><h2>Title of it</h2><p>First paragraph &amp; more words here to read, with a <a href="x">link inside</a> it.<div class="ad-slot">Buy now! Cheap things for all of you out there.</div>
@@ -13,13 +15,13 @@ PAGE = """<html><head><title>x</title></head><body><header><h1>Site</h1><nav><a
 
 def test_content_without_any_label():
     want = "Title of it\n\nFirst paragraph & more words here to read, with a link inside it.\n\nSecond paragraph goes on after a break.\n\none item\n\ntwo item"
-    assert H.content(PAGE, {}) == want
+    assert H.content(PAGE, PRIOR) == want
 
 
 def test_small_pages():
-    assert H.content("", {}) == "" and H.content("plain &lt;text&gt; only", {}) == "plain <text> only"
-    assert H.content("<p>a<b>c</p><p>d<script>var x='<p>no</p>'</script>", {}) == "ac\n\nd"
-    assert H.content("<!-- <p>no</p> --><p>yes <img alt='a > b'> so", {}) == "yes so"
+    assert H.content("", PRIOR) == "" and H.content("plain &lt;text&gt; only", PRIOR) == "plain <text> only"
+    assert H.content("<p>a<b>c</p><p>d<script>var x='<p>no</p>'</script>", PRIOR) == "ac\n\nd"
+    assert H.content("<!-- <p>no</p> --><p>yes <img alt='a > b'> so", PRIOR) == "yes so"
 
 
 def test_the_scan_finds_the_best_stretch():
@@ -51,10 +53,56 @@ def test_weights_learned_on_named_articles_carry_over_to_pages_without(spark, sf
     rows = pages.collect()
     for r in rows:
         bare = re.sub(r"</?article>", "", r["html"])
-        good += H.content(bare, dict(weights)) == H.content(r["html"], dict(weights))
+        good += H.content(bare, weights) == H.content(r["html"], weights)
     assert good >= 0.9 * len(rows)
 
 
 def test_odd_rows(spark):
     pages = spark.createDataFrame([(1, "u", None), (1, "u", None), (None, None, ""), (2, "u", "<p>" * 5000 + "x"), (3, "u", "<<<>>>&#0;&bogus;")], "page_id long, url string, html string")
     assert H.extracted(pages).count() == 5 and H.extracted(pages.limit(0)).count() == 0
+
+
+PARTS = "<p>First paragraph of the article has some words here.</p><p>Second paragraph also has some words to read.</p>"
+TEXT = "First paragraph of the article has some words here.\n\nSecond paragraph also has some words to read."
+
+
+def test_an_ancestors_class_or_form_never_empties_a_page():
+    for open_, close in [('<div class="page has-sidebar">', "</div>"), ('<div id="form-page">', "</div>"), ('<form id="aspnetForm">', "</form>"), ('<div class="sidebar">', "</div>")]:
+        for inner in (f"<article><h1>T</h1>{PARTS}</article>", f"<h1>T</h1>{PARTS}"):
+            assert H.content(f"{open_}<nav><a href=x>Home</a></nav>{inner}{close}", PRIOR) == f"T\n\n{TEXT}", (open_, inner)
+
+
+def test_boxes_are_bridged_and_several_articles_kept():
+    box = f'<div class="related">{"Some related stories to click on. " * 20}</div>'
+    for page in (f"<article>{PARTS}{box}<p>The whole article stands here.</p></article>", f"{PARTS}{box}<p>The whole article stands here.</p>"):
+        assert H.content(page, PRIOR) == f"{TEXT}\n\nThe whole article stands here."
+    assert H.content(f"<main><p>Intro.</p><article><h2>A</h2>{PARTS}</article><article>{PARTS}</article></main>", PRIOR) == f"Intro.\n\nA\n\n{TEXT}\n\n{TEXT}"
+    kept = '<h2 id="social-impact">Impact</h2><p>Text.</p><section id="related-work"><p>Work that others did.</p></section><p>Let <math><mi>x</mi></math> be.</p>'
+    assert H.content(f"<article>{kept}</article>", PRIOR) == "Impact\n\nText.\n\nWork that others did.\n\nLet x be."
+
+
+def test_a_quote_that_never_closes_leaks_no_markup():
+    assert H.content('<article><p>so <a href="foo>broken link</p><p>and <b class="x">more</b></p></article>', PRIOR) == "so broken link\n\nand more"
+    assert H.content("<p title='a > b' lang=en>one <i>two</i></p>", PRIOR) == "one two"
+
+
+def test_broken_pages_take_linear_time():
+    for part in ("<div>x", '<a href="x ', '<a href="x> ', "<p>x", "<b>x", "</div>x", "<script>", "<!-- ", '<div class="a">x', "<ul><li>x", "<svg>", "<a b='>", "<", "&amp", "<a b=\"'>"):
+        for n in (100_000, 400_000):  # a quadratic reader takes minutes for the second
+            began = time.process_time()
+            H.content(part * (n // len(part)), PRIOR)
+            assert time.process_time() - began < 8 * n / 400_000 + 1, part
+
+
+def test_learned_names_decide_where_no_page_names_its_content(spark, sf):
+    """Advert and footer under names that no list holds, and no article element: the weights find the article, the pseudo-counts do not."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").withColumn("html", H.F.expr("replace(replace(replace(html, 'class=\"ad\"', 'class=\"zq7\"'), '<footer>', '<div class=\"k3\">'), '</footer>', '</div>')"))
+    weights = H.fit(pages)
+    rows = pages.collect()
+    learned = plain = 0
+    for r in rows:
+        want = H.content(r["html"], weights)
+        bare = re.sub(r"</?article>", "", r["html"])
+        learned += H.content(bare, weights) == want
+        plain += H.content(bare, PRIOR) == want
+    assert learned >= 0.95 * len(rows) and plain <= 0.1 * len(rows)

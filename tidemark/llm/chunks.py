@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE_VALUE, _powers, map_arrow, mix, row_hash, text_or_empty
+from .common import map_arrow, row_hash, span_hashes, text_or_empty
 
 #: Bytes that the gear hash sees.
 WINDOW = 16
@@ -52,11 +52,7 @@ def cuts(data: np.ndarray) -> np.ndarray:
 
 def digests(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit digest of each chunk's bytes."""
-    powers, inverse = _powers(max(16, len(data).bit_length()))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE[data] * powers[: len(data)], out=sums[1:])
-    starts = np.concatenate([[0], ends[:-1]])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    return span_hashes(data, np.concatenate([[0], ends[:-1]]), ends) if len(ends) else np.empty(0, np.uint64)
 
 
 #: A chunk's place in a long: byte offset, size, whether its digest stood before in the text.

@@ -1,8 +1,14 @@
 """HTML extraction by maximum-scoring subsequence.
 
-A page is a sequence of words and tags. Words score by where they stand (plain text, links, lists, marked-off zones such as
-menus or adverts), tags cost, and a linear scan finds the contiguous stretch with the largest sum: the content. The weights
-come from labelled pages: those whose markup itself names its content, an ``article`` or ``main`` element.
+A page is a sequence of words and tags. Words score by where they stand, tags cost, and a linear scan finds the contiguous
+stretch with the largest sum: the content. All scores come from labelled pages, those whose markup itself names its content
+(an ``article`` or ``main`` element): how often words under an element name, class, id or role stand inside the content and
+how often outside, and the same for words by kind of block and link density where no such mark decides. Names that no
+labelled page holds fall back on a few pseudo-counts.
+
+An element whose words score negative is one token of the sequence, like a tag: it costs a bounded amount, so that the scan
+bridges an advert inside an article, and it adds no text. An element that holds the content itself is never such a token,
+whatever its class says.
 """
 
 from __future__ import annotations
@@ -12,139 +18,309 @@ import re
 from collections import Counter
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, row_hash
 
-#: About so many labelled pages are counted.
+#: About so many labelled pages are counted, and so many features kept at most, the most frequent ones.
 MAX_LABELLED = 2000
-#: What crossing the edge of an article or main element costs, and the largest weight of a word or tag.
-EDGE, MOST = 40.0, 3.0
-
-# Element names and the words in class, id and role that mark a zone off.
-RAW = "script style noscript template iframe svg math title textarea object video audio canvas".split()
-VOID = "area base br col embed hr img input link meta param source track wbr".split()
-INLINE = (
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
-).split()
-ZONES = {
-    "nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "button": "form", "select": "form", "fieldset": "form", "dialog": "notice", "menu": "nav", "head": "head",
-}
-HINTS = {
-    "nav": "nav navbar navigation navigate menu menubar breadcrumb breadcrumbs pagination pager toolbar tabs skip",
-    "header": "header masthead topbar banner",
-    "footer": "footer contentinfo copyright colophon",
-    "aside": "sidebar aside complementary related recommended recommendations widget widgets teaser trending popular",
-    "ad": "ad ads adv advert adverts advertisement advertising advertorial sponsor sponsored promo promotion promoted dfp adsense adslot",
-    "notice": "cookie cookies consent gdpr notice notices popup modal overlay alert dialog newsletter subscribe subscription paywall disclaimer",
-    "comments": "comment comments commentlist disqus replies reply respond reviews",
-    "form": "form login signup signin register search searchbox",
-    "share": "share sharing social follow",
-    "hidden": "hidden",
-}
-ZONE_OF = {word: zone for zone, words in HINTS.items() for word in words.split()}
-OPENS = frozenset(("article", "main"))
-
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(%s)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<" % "|".join(RAW), re.S | re.I
+MAX_FEATURES = 50_000
+#: The largest weight of a word, the weight under which an element is a token of its own, and what such a token costs at most.
+MOST, BOX, BRIDGE = 3.0, -0.7, 4.0
+
+# Element names.
+RAW = frozenset("script style noscript template iframe svg title textarea object video audio canvas".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark math meter mfrac mi mn mo mrow msub msup nobr output q rp rt ruby s samp small span strike "
+    "strong sub sup time tt u var wbr".split()
 )
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_NAME = re.compile(r"[a-z]+")
+BOXES = frozenset("nav header footer aside form button select dialog menu".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CLOSE_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+CONTENT = frozenset(("article", "main"))
+#: Words of a class, id or role that mark an element off wherever they stand in it, and those that do only on their own.
+MARKS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adslot adsense sponsor sponsored navbar navigation breadcrumb breadcrumbs pagination sidebar cookie cookies consent gdpr newsletter "
+    "comment comments commentlist disqus masthead colophon contentinfo paywall hidden".split()
+)
+LONE_MARKS = frozenset(
+    "nav menu header footer aside related recommended widget teaser trending popular promo promotion notice popup modal overlay banner complementary form login signup search searchbox share "
+    "sharing social toolbar tabs copyright subscribe subscription dialog replies".split()
+)
+NOT_A_MARK = frozenset(("has", "no", "with", "without", "is", "not"))
+
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>\"']|$)", re.I)
+_NONE_SHOWN = re.compile(r"display\s*:\s*none", re.I)
+_PARTS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_INLINE, _VOID = frozenset(INLINE), frozenset(VOID)
-_CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+_AFTER_QUOTE = re.compile(r"[<>]")
+_SPECIAL = re.compile(r"[>\"']")
+
+
+class Finder:
+    """``find`` over one page that remembers what it did not find, so that many failing searches cost one."""
+
+    def __init__(self, html: str):
+        self.html, self.folded, self.none_from, self.quotes_fail = html, None, {}, False
+
+    def find(self, what: str, at: int) -> int:
+        if self.none_from.get(what, len(self.html) + 1) <= at:
+            return -1
+        found = self.html.find(what, at)
+        if found < 0:
+            self.none_from[what] = min(at, self.none_from.get(what, at))
+        return found
+
+    def closing(self, name: str, at: int) -> int:
+        """Where ``</name`` stands next, in any case."""
+        if self.folded is None:
+            self.folded = Finder(self.html.translate({c: c + 32 for c in range(65, 91)}))
+        return self.folded.find(f"</{name}", at)
+
+
+def tag_end(page: Finder, at: int) -> int:
+    """Where the tag ends whose name ends at ``at``: its ``>``, or the page's end. A quote that never closes, or closes in a later tag, is none."""
+    html = page.html
+    gt = page.find(">", at)
+    if gt < 0 or page.quotes_fail:
+        return gt
+    while True:
+        special = _SPECIAL.search(html, at)
+        if special is None:
+            page.quotes_fail = True  # quotes swallow the rest of the page: from here on they are none
+            return gt
+        i = special.start()
+        if html[i] == ">":
+            return i
+        before = i - 1
+        while before > 0 and html[before].isspace():
+            before -= 1
+        if html[before] != "=":
+            at = i + 1
+            continue
+        close = page.find(html[i], i + 1)
+        if close < 0:
+            at = i + 1
+            continue
+        angle = _AFTER_QUOTE.search(html, i + 1, close)
+        if angle is not None and angle.group() == ">" and html.find("<", angle.end(), close) >= 0:
+            return angle.start()
+        at = close + 1
 
 
-def zone_of(name: str, attributes: str) -> str | None:
-    """The zone that an element opens, if any."""
-    zone = ZONES.get(name)
-    if zone or not attributes or name in ("html", "body", "article", "main"):
-        return zone
+def marks(name: str, attributes: str) -> list[str]:
+    """The names by which an element may be told: its element name if that parts a page, and its class, id and role."""
+    out = [f"tag:{name}"] if name in BOXES else []
+    if not attributes or name in CONTENT or name in HEADINGS or name in ("html", "body", "p"):
+        return out
     for kind, *values in _ATTRIBUTE.findall(attributes):
         value, kind = "".join(values), kind.lower()
-        if kind == "hidden" or (kind == "aria-hidden" and value.lower() == "true") or (kind == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-            return "hidden"
-        if kind in ("class", "id", "role"):
-            for word in _NAME.findall(_CAMEL.sub(" ", value).lower()):
-                if word in ZONE_OF:
-                    return ZONE_OF[word]
-    return None
+        if kind == "hidden" or (kind == "aria-hidden" and value.lower() == "true") or (kind == "style" and _NONE_SHOWN.search(value)):
+            out.append("hidden")
+        elif kind in ("class", "id", "role"):
+            out += [f"name:{x.lower()}" for x in _CAMEL.sub("-", value).split()[:16]]
+    return out
 
 
-class Token:
-    """A stretch of text (words > 0) or a tag, with its feature, its block and whether labels put it inside the content."""
+def pseudo(feature: str) -> tuple[float, float]:
+    """Words inside and outside the content that a feature is taken to have had before any page was seen."""
+    kind, _, rest = feature.partition(":")
+    if kind in ("tag", "hidden"):
+        return 0.2, 4.0
+    if kind == "name":
+        parts = _PARTS.findall(rest)
+        if rest in LONE_MARKS or any(p in MARKS and (not i or parts[i - 1] not in NOT_A_MARK) for i, p in enumerate(parts)):
+            return 0.5, 4.0
+        return 2.0, 2.0
+    if kind == "word":
+        return (1.0, 2.0) if rest.endswith(":2") else (3.0, 1.5) if rest.startswith(("item", "cell")) else (4.0, 1.0)
+    return 0.5, 0.1  # a tag's cost
 
-    __slots__ = ("block", "feature", "inside", "text", "words", "zone")
 
-    def __init__(self, feature: str, block: int, inside: bool, text: str = "", words: int = 0, zone: str | None = None):
-        self.feature, self.block, self.inside, self.text, self.words, self.zone = feature, block, inside, text, words, zone
+class Page:
+    """A page as a tree and a sequence of texts and tags.
 
+    Nodes are numbered in page order: parent, names (``marks``), content (inside an article or main element), kind and link
+    of the block that their words belong to. Events are (node, block, words, text): words < 0 for a tag, whose name stands
+    in ``text``.
+    """
 
-def tokens(html: str) -> list[Token]:
-    """One pass over the page; unclosed and stray tags end or open what a browser would, roughly."""
-    out: list[Token] = []
-    stack: list[tuple[str, str | None]] = []
-    block = 0
-    for match in _TOKEN.finditer(html):
-        raw, slash, name, attributes = match.groups()
-        token = match.group()
+    def __init__(self, html: str):
+        self.parent, self.names, self.tag, self.kind, self.link, self.content = [-1], [[]], [""], ["plain"], [False], [False]
+        self.events: list[tuple[int, int, int, str]] = []
+        self.block = 0
+        self._stack, self._blocks, self._items, self._open = [0], [0], [], Counter()
+        self._read(Finder(html))
+
+    def _read(self, page: Finder) -> None:
+        html, at, n = page.html, 0, len(page.html)
+        while at < n:
+            lt = page.find("<", at)
+            stop = n if lt < 0 else lt
+            while 0 <= lt < n - 1 and not (html[lt + 1].isalpha() and html[lt + 1].isascii() or html[lt + 1] in "/!?"):
+                lt = page.find("<", lt + 1)  # a sign, not a tag
+                stop = n if lt < 0 else lt
+            if lt == n - 1:
+                stop = n
+            if stop > at:
+                self._text(html[at:stop])
+            if stop == n:
+                return
+            at = self._markup(page, stop)
+
+    def _markup(self, page: Finder, at: int) -> int:
+        """Read what begins with ``<`` at ``at``; the place after it."""
+        html = page.html
+        if html.startswith("<!--", at):
+            end = page.find("-->", at + 2)
+            if end >= 0:
+                return end + 3
+        if html[at + 1] in "!?" or (html[at + 1] == "/" and not html[at + 2 : at + 3].isalpha()):
+            end = page.find(">", at)
+            return len(html) if end < 0 else end + 1
+        slash = html[at + 1] == "/"
+        name = _NAME.match(html, at + 1 + slash)
         if name is None:
-            if raw is not None or (token.startswith("<") and len(token) > 1):
-                continue
-            words = len(unescape(token).split())
-            zone = next((z for _, z in reversed(stack) if z), None)
-            if zone == "header" and any(n in OPENS for n, _ in stack):
-                zone = None  # an article's own header holds its title
-            names = {n for n, _ in stack}
-            feature = f"word:{zone or 'plain'}" + (":a" if "a" in names else "") + (":li" if "li" in names else "")
-            out.append(Token(feature, block, bool(names & OPENS), token, words, zone))
-            continue
-        name = name.lower()
-        inside = any(n in OPENS for n, _ in stack)
-        if name not in _INLINE:
-            block += 1
-        elif name == "br":
-            out.append(Token("tag:br:plain", block, inside, " "))
-            continue
+            end = page.find(">", at)
+            return len(html) if end < 0 else end + 1
+        end = tag_end(page, name.end())
+        if end < 0:  # no tag ends here: only its name is markup
+            end = name.end() - 1
+        attributes, name = html[name.end() : end], name.group().lower()
         if slash:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if at is not None:
-                del stack[at:]
-        else:
-            if name in _CLOSES_P:
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-                if at is not None and all(n in _INLINE for n, _ in stack[at + 1 :]):
-                    del stack[at:]
-            if name == "li" and stack:
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("li", "ul", "ol")), None)
-                if at is not None and stack[at][0] == "li":
-                    del stack[at:]
-            if name not in _VOID and not attributes.rstrip().endswith("/"):
-                stack.append((name, zone_of(name, attributes)))
-        zone = next((z for _, z in reversed(stack) if z), None)
-        feature = f"tag:{'/' if slash else ''}{name}" if name in OPENS else f"tag:{name}:{zone or 'plain'}"
-        out.append(Token(feature, block, inside and any(n in OPENS for n, _ in stack)))
-    return out
-
-
-def weight(feature: str, inside: float, outside: float) -> float:
-    """The weight of a feature that labelled pages hold so often inside and outside their content.
-
-    Words: the log odds of the two, each raised by what is known beforehand: marked-off zones are hardly ever content and
-    plain text mostly is. Tags: a cost that grows with the share of them outside.
-    """
-    kind, _, rest = feature.partition(":")
-    if kind == "word":
-        plain = rest.split(":")[0] == "plain"
-        before = (4.0, 1.0) if rest == "plain" else (3.0, 1.5) if plain else (0.2, 4.0)
-        odds = max(-MOST, min(MOST, math.log((inside + before[0]) / (outside + before[1]))))
-        # Marked-off words are left out wherever they stand; they only weigh against bridging them.
-        return odds if plain or odds > 0 else odds / 4
-    if rest.lstrip("/") in OPENS:
-        return -EDGE
-    return -0.1 - MOST * (outside + (0.5 if rest.startswith("a:") else 0.1)) / (inside + outside + 1)
+            self._close(name)
+            return end + 1
+        if name in RAW and not attributes.endswith("/"):
+            close = page.closing(name, end + 1)
+            if close >= 0:
+                gt = page.find(">", close)
+                if name not in INLINE:
+                    self.block += 1
+                return len(html) if gt < 0 else gt + 1
+            return len(html) if name in ("script", "style") else end + 1
+        self._open_element(name, attributes)
+        return end + 1
+
+    def _text(self, raw: str) -> None:
+        text = unescape(raw) if "&" in raw else raw
+        self.events.append((self._stack[-1], self.block, len(text.split()), text))
+
+    def _pop_to(self, depth: int) -> None:
+        while len(self._stack) > depth:
+            node = self._stack.pop()
+            self._open[self.tag[node]] -= 1
+            if self._blocks[-1] == node:
+                self._blocks.pop()
+            if self._items and self._items[-1] == node:
+                self._items.pop()
+
+    def _close(self, name: str) -> None:
+        if name not in INLINE:
+            self.block += 1
+        if self._open[name] > 0:
+            depth = len(self._stack) - 1
+            while self.tag[self._stack[depth]] != name:
+                depth -= 1
+            self.events.append((self.parent[self._stack[depth]], self.block, -1, name))
+            self._pop_to(depth)
+
+    def _depth_of(self, node: int) -> int:
+        depth = len(self._stack) - 1
+        while self._stack[depth] != node:
+            depth -= 1
+        return depth
+
+    def _open_element(self, name: str, attributes: str) -> None:
+        if name not in INLINE:
+            self.block += 1
+        if name == "br":
+            self.events.append((self._stack[-1], self.block, 0, " "))
+        if name in CLOSE_P and self.tag[self._blocks[-1]] == "p":
+            self._pop_to(self._depth_of(self._blocks[-1]))
+        if name == "li" and self._items and self.tag[self._items[-1]] == "li":
+            self._pop_to(self._depth_of(self._items[-1]))
+        top = self._stack[-1]
+        if name in VOID or attributes.endswith("/"):
+            self.events.append((top, self.block, -1, name))
+            return
+        node = len(self.parent)
+        self.parent.append(top)
+        self.tag.append(name)
+        inner = self.content[top]
+        found = marks(name, attributes)
+        if found and found[0] == "tag:header" and inner:
+            found = found[1:]  # an article's own header holds its title
+        self.names.append(found)
+        self.content.append(inner or name in CONTENT)
+        kind = "heading" if name in HEADINGS else "item" if name in ("li", "dd", "dt") else "cell" if name in ("td", "th") else "p" if name in ("p", "pre", "blockquote") else None
+        self.kind.append(kind or self.kind[top])
+        self.link.append(self.link[top] or name == "a")
+        self.events.append((node, self.block, -1, name))
+        self._stack.append(node)
+        self._open[name] += 1
+        if name not in INLINE:
+            self._blocks.append(node)
+        if name in ("li", "ul", "ol"):
+            self._items.append(node)
+
+    def words_below(self, inside: bool | None = None) -> list[int]:
+        """Words under each node; those inside or outside the content only, if asked."""
+        total = [0] * len(self.parent)
+        for node, _, words, _ in self.events:
+            if words > 0 and (inside is None or self.content[node] == inside):
+                total[node] += words
+        for node in range(len(total) - 1, 0, -1):
+            total[self.parent[node]] += total[node]
+        return total
+
+    def word_features(self) -> list[str]:
+        """For each event with words, by the kind of its block and how much of the block is links."""
+        words, links = Counter(), Counter()
+        for node, block, n, _ in self.events:
+            if n > 0:
+                words[block] += n
+                links[block] += n if self.link[node] else 0
+        return [f"word:{self.kind[node]}:{0 if not links[block] else 1 if 2 * links[block] < words[block] else 2}" if n > 0 else "" for node, block, n, _ in self.events]
+
+    def kept_open(self) -> set[int]:
+        """Nodes that hold the content and are never tokens of their own: those about the main element, or else the longest article."""
+        below = self.words_below()
+        tops = [i for i in range(len(self.parent)) if self.tag[i] in CONTENT and not self.content[self.parent[i]] and below[i]]
+        mains = [i for i in tops if self.tag[i] == "main"]
+        best = max(mains or tops, key=lambda i: below[i], default=None)
+        out: set[int] = set()
+        while best is not None and best >= 0:
+            out.add(best)
+            best = self.parent[best]
+        return out
+
+
+def weight(counts: dict[str, tuple[float, float]], feature: str) -> float:
+    """Log odds of content against the rest under ``feature``; for tags a cost that grows with their share outside."""
+    inside, outside = counts.get(feature, (0.0, 0.0))
+    a, b = pseudo(feature)
+    if feature.startswith("cost:"):
+        return -0.1 - (outside + b) / (inside + outside + a + b)
+    return max(-MOST, min(MOST, math.log((inside + a) / (outside + b))))
+
+
+class Weights(dict):
+    """Weights by feature, from counts of words inside and outside the content; features that were not counted have their pseudo-counts."""
+
+    def __init__(self, counts: dict[str, tuple[float, float]]):
+        super().__init__()
+        self.counts = counts
+
+    def __missing__(self, feature: str) -> float:
+        w = weight(self.counts, feature)
+        if len(self) < 4 * MAX_FEATURES:
+            self[feature] = w
+        return w
 
 
 def best_stretch(scores: list[float]) -> tuple[int, int]:
@@ -159,59 +335,148 @@ def best_stretch(scores: list[float]) -> tuple[int, int]:
     return found
 
 
+def boxes(page: Page, weights: dict[str, float], about: set[int]) -> list[int]:
+    """For each node the outermost element about it that is a token of its own, -1 if none; nodes in ``about`` never are."""
+    out = [-1] * len(page.parent)
+    for node in range(1, len(out)):
+        up = out[page.parent[node]]
+        if up >= 0:
+            out[node] = up
+        elif node not in about and page.names[node] and min(weights[x] for x in page.names[node]) < BOX:
+            out[node] = node
+    return out
+
+
+def page_boxes(page: Page, weights: dict[str, float]) -> list[int]:
+    """``boxes``, with wrappers told: without a named content, the element that holds its words, or its title and most words, is a wrapper."""
+    about = page.kept_open()
+    box = boxes(page, weights, about)
+    if about:
+        return box
+    below = page.words_below()
+    total = below[0]
+    titles = {i for i in range(len(page.tag)) if page.tag[i] == "h1"}
+    while True:
+        left = sum(n for node, _, n, _ in page.events if n > 0 and box[node] < 0)
+        titled = {box[i] for i in titles}
+        wrappers = {b for b in set(box) - {-1} if 2 * below[b] > total and page.tag[b] not in ("nav", "footer") and (b in titled or 10 * left < total)}
+        if not wrappers:
+            return box
+        about |= wrappers
+        box = boxes(page, weights, about)
+
+
 def content(html: str, weights: dict[str, float]) -> str:
-    """The text of the page's content: blocks joined by two newlines, marked-off zones left out wherever they stand."""
-    seq = tokens(html)
-    scores = []
-    for t in seq:
-        w = weights.get(t.feature)
-        if w is None:
-            w = weights[t.feature] = weight(t.feature, 0, 0)
-        scores.append(w * t.words if t.feature.startswith("word") else w)
+    """The text of the page's content: blocks joined by two newlines.
+
+    White space inside a block becomes one space. A page without words, or whose words all score negative, gives an empty text.
+    """
+    page = Page(html)
+    box = page_boxes(page, weights)
+    features = page.word_features()
+    named = sum(n for node, _, n, _ in page.events if n > 0 and box[node] < 0 and page.content[node])
+    plain = sum(n for node, _, n, _ in page.events if n > 0 and box[node] < 0)
+    named = 4 * named >= plain > 0 and named > 0  # the markup names the content, and not just a part of it
+    scores, texts, boxed = [], [], {}
+    for (node, block, n, text), feature in zip(page.events, features):
+        b = box[node]
+        inner = named and page.content[b if b >= 0 else node]
+        if b >= 0:
+            if b not in boxed:
+                boxed[b] = len(scores)
+                scores.append(0.0)
+                texts.append(None)
+            if n > 0:
+                scores[boxed[b]] = max(-0.1 if inner else -BRIDGE, scores[boxed[b]] - MOST * n)
+        elif n < 0:
+            scores.append(-0.01 if inner else weights["cost:" + text])
+            texts.append(None)
+        else:
+            scores.append(n * (MOST if inner else -MOST if named else weights[feature]))
+            texts.append((block, text))
     start, end = best_stretch(scores)
     blocks: dict[int, list[str]] = {}
-    for t in seq[start:end]:
-        if t.text and t.zone is None:
-            blocks.setdefault(t.block, []).append(t.text)
-    joined = (" ".join(unescape("".join(parts)).split()) for parts in blocks.values())
+    for item in texts[start:end]:
+        if item is not None:
+            blocks.setdefault(item[0], []).append(item[1])
+    joined = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n\n".join(x for x in joined if x)
 
 
-def fit(pages: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = 4) -> dict[str, float]:
-    """Weights by feature from about ``max_labelled`` labelled pages, drawn by the hash of their html."""
-    labelled = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]")).select("html")
-    n = labelled.count()
-    share = min(1.0, max_labelled / n) if n else 1.0
-    drawn = labelled.where(F.pmod(row_hash("html", seed=seed), F.lit(1 << 20)) < int(share * (1 << 20)))
-
-    def counted(batch: pa.RecordBatch) -> pa.Table:
+def mark_counts(html: str) -> tuple[Counter, Counter]:
+    """Words inside and outside a labelled page's content under each name, and tags inside and outside."""
+    page = Page(html)
+    inside, outside, about = page.words_below(True), page.words_below(False), page.kept_open()
+    a, b = Counter(), Counter()
+    for node, names in enumerate(page.names):
+        if names and node not in about:
+            for x in set(names):
+                a[x] += inside[node]
+                b[x] += outside[node]
+    for node, _, n, text in page.events:
+        if n < 0 and text not in CONTENT:
+            (a if page.content[node] else b)["cost:" + text] += 1
+    return a, b
+
+
+def word_counts(html: str, weights: dict[str, float]) -> tuple[Counter, Counter]:
+    """Words inside and outside a labelled page's content by kind of block, where no name has decided."""
+    page = Page(html)
+    box = boxes(page, weights, page.kept_open())
+    a, b = Counter(), Counter()
+    for (node, _, n, _), feature in zip(page.events, page.word_features()):
+        if n > 0 and box[node] < 0:
+            (a if page.content[node] else b)[feature] += n
+    return a, b
+
+
+def _counted(pages: DataFrame, count, max_features: int) -> dict[str, tuple[float, float]]:
+    """(inside, outside) by feature over ``pages``: the most frequent features, at most ``max_features``."""
+
+    def run(batch: pa.RecordBatch) -> pa.Table:
         inside, outside = Counter(), Counter()
         for html in batch.column("html").to_pylist():
-            for t in tokens(html or ""):
-                (inside if t.inside else outside)[t.feature] += t.words if t.feature.startswith("word") else 1
+            a, b = count(html or "")
+            inside.update(a)
+            outside.update(b)
         names = sorted({*inside, *outside})
         return pa.table({"feature": pa.array(names, pa.string()), "inside": pa.array([inside[x] for x in names], pa.int64()), "outside": pa.array([outside[x] for x in names], pa.int64())})
 
-    rows = map_arrow(drawn, counted, "feature string, inside long, outside long").groupBy("feature").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-    # Element names bound the features; odd ones are few, and the rarest need no row.
-    top = rows.orderBy(F.desc(F.col("inside") + F.col("outside")), "feature").limit(1000).collect()
-    return {r["feature"]: weight(r["feature"], r["inside"], r["outside"]) for r in top}
+    rows = map_arrow(pages, run, "feature string, inside long, outside long").groupBy("feature").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
+    top = rows.orderBy(F.desc(F.col("inside") + F.col("outside")), "feature").limit(max_features).collect()
+    return {r["feature"]: (r["inside"], r["outside"]) for r in top}
+
+
+def fit(pages: DataFrame, max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES, seed: int = 4) -> Weights:
+    """Weights from about ``max_labelled`` labelled pages, drawn by the hash of their html.
+
+    First names and tags are counted, then the words that no name marks off. At most ``max_features`` features of either
+    kind reach the driver.
+    """
+    labelled = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]")).select("html")
+    n = labelled.count()
+    share = min(1.0, max_labelled / n) if n else 1.0
+    drawn = labelled.where(F.pmod(row_hash("html", seed=seed), F.lit(1 << 20)) < int(share * (1 << 20)))
+    counts = _counted(drawn, mark_counts, max_features)
+    return Weights(counts | _counted(drawn, lambda html: word_counts(html, Weights(counts)), max_features))
 
 
 def extracted(pages: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages`` (page_id, url, html); n_chars: code points of text.
 
-    A null, empty or textless html gives an empty text. Without labelled pages the weights are the ones known beforehand.
+    A null, empty or textless html gives an empty text. Repeated rows, and rows with a null page_id or url, give a row each;
+    no row depends on another's place, so there are no ties. Columns of other names are not read. A page is parsed in
+    time and memory linear in its length, however broken its markup. An empty table gives an empty table; without labelled
+    pages the weights are those of the pseudo-counts.
     """
-    weights = fit(pages, max_labelled)
+    counts = fit(pages, max_labelled).counts
     base = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known = dict(weights)
+        known = Weights(counts)
         texts = [content(html or "", known) for html in batch.column("html").to_pylist()]
-        return pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"]
-        )
+        sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
+        return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(sizes)], ["page_id", "url", "text", "n_chars"])
 
     kinds = {c: base.schema[c].dataType.simpleString() for c in ("page_id", "url")}
     return map_arrow(base, run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

@@ -54,6 +54,8 @@ def block_tokens(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.nda
             before = np.empty_like(token)
             before[1:] = token[:-1]
             before[np.flatnonzero(np.diff(row, prepend=-1))] = _BEGIN
+            if words.before and len(token):  # a later piece of a long text goes on after the last one's words
+                before[0] = words.hashes[words.lead - 1]
             rows.append(row + (base + lo))
             tokens.append(token)
             befores.append(before)
@@ -64,7 +66,11 @@ def block_tokens(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def with_ends(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(row, token) of the words with an end token after each row's."""
+    """(row, token) of the words with an end token after each row's; a text in pieces ends with its last one."""
+    if words.lead or words.more:
+        token = words.hashes[words.fresh]
+        token = token if words.more else np.append(token, _END)
+        return np.zeros(len(token), np.int64), token
     n = len(words.hashes)
     token, row = np.empty(n + words.rows, np.uint64), np.empty(n + words.rows, np.int64)
     at = np.arange(n) + words.row

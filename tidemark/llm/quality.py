@@ -26,7 +26,7 @@ PRIOR = 10.0
 
 def features(words, n_gram: int = N_GRAM, n_buckets: int = N_BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """(row, bucket) of each n-gram of 1 to ``n_gram`` words."""
-    rows, buckets = [words.row], [words.hashes % np.uint64(n_buckets)]
+    rows, buckets = [words.row[words.fresh]], [words.hashes[words.fresh] % np.uint64(n_buckets)]
     for n in range(2, n_gram + 1):
         at, h = words.ngrams(n)
         rows.append(words.row[at])
@@ -65,7 +65,7 @@ def with_weights(docs: DataFrame, ratio: np.ndarray, n_gram: int, seed: int, kee
         weight = np.zeros(batch.num_rows)
         for lo, words in words_of(batch.column("text")):
             row, bucket = features(words, n_gram, len(ratio))
-            weight[lo : lo + words.rows] = np.bincount(row, weights=ratio[bucket], minlength=words.rows)
+            weight[lo : lo + words.rows] += np.bincount(row, weights=ratio[bucket], minlength=words.rows)
         h = mix(batch.column("noise_hash").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) + np.uint64(seed))
         uniform = ((h >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
         key = weight - np.log(-np.log(uniform))

@@ -24,6 +24,8 @@ from .common import map_arrow, shuffle_parts, text_bytes, written
 from .components import connected_components
 
 RADIUS = 3
+#: Bytes of a text whose words stand in memory at once.
+PIECE = 1 << 20
 BLOCKS = 6
 N_PIVOTS = 32
 #: Rows of a bucket that are compared with each other; a bucket with more goes to finer buckets.
@@ -34,22 +36,28 @@ LEAST_BITS = 14
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     """The 64-bit majority of the shingles' XXH64, words split at ASCII white space and A-Z lowered; 0 without words."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = [0, *ends[:-1].tolist()]
-    ends = (ends - 1).tolist()
+    ones, total, seam, at = np.zeros(64, np.int64), 0, [], 0
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :])), np.uint64, len(words) - shingle + 1)
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(h), 1 << 16):
-        part = h[k : k + (1 << 16)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+    while at < len(text):
+        cut = at + PIECE
+        while cut < len(text) and text[cut] not in b" \t\n\v\f\r":
+            cut += 1
+        words = seam + text[at:cut].lower().split()
+        at = cut
+        if len(words) >= shingle:
+            joined = b" ".join(words)
+            ends = np.cumsum([len(w) + 1 for w in words])
+            starts = [0, *ends[:-1].tolist()]
+            ends = (ends - 1).tolist()
+            h = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :])), np.uint64, len(words) - shingle + 1)
+            for k in range(0, len(h), 1 << 16):
+                part = h[k : k + (1 << 16)]
+                ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            total += len(h)
+        seam = words[1 - shingle :] if shingle > 1 else []
+    if not total:
+        return digest(b" ".join(seam), seed) if seam else 0
+    return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
 
 
 def with_fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:

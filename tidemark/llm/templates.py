@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, map_arrow, mix, ngram_hashes, row_hash, text_or_empty, words_of
+from .common import Words, map_arrow, mix, row_hash, text_or_empty, words_of
 
 #: Words of a window, and how many of them at least are not placeholders.
 WINDOW = 5
@@ -67,8 +67,8 @@ def canonical(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     capital &= (ends - starts > 1) & ~((second >= 65) & (second <= 90))
     inside = np.zeros(len(starts), bool)
     inside[1:] = (words.row[1:] == words.row[:-1]) & ~_STOP[words.raw[words.ends[:-1] - 1]]
-    breaks = np.cumsum(words.raw == 10)
-    inside[1:] &= breaks[words.starts[1:]] == breaks[words.starts[:-1]]
+    breaks = np.searchsorted(np.flatnonzero(words.raw == 10), words.starts)
+    inside[1:] &= breaks[1:] == breaks[:-1]
     name = capital & inside & ~number
     after = np.zeros(len(starts), bool)
     after[1:] = number[:-1] & (words.row[1:] == words.row[:-1])
@@ -81,7 +81,7 @@ def canonical(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def window_hashes(words: Words, window: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(index of the first word, hash) of the windows with enough literals; and kind and value of all words."""
     kind, h, value = canonical(words)
-    at, hashes = ngram_hashes(h, words.row, window)
+    at, hashes = words.ngrams(window, h)
     literal = np.concatenate([[0], np.cumsum(kind == 0)])
     good = literal[at + window] - literal[at] >= least
     return at[good], hashes[good], kind, value
@@ -104,7 +104,7 @@ def windows(texts: DataFrame, window: int = WINDOW, least: int = LEAST_LITERALS,
                 at, h = at[hit], h[hit]
             owner.append(words.row[at] + lo)
             hashes.append(h)
-            pos.append(at - words.first[words.row[at]])
+            pos.append(at - words.first[words.row[at]] + (words.before - words.lead))
             filled = np.concatenate([[0], np.cumsum(kind > 0)])
             some = filled[at + window] > filled[at]
             signed = value.view(np.int64)

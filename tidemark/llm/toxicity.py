@@ -7,6 +7,8 @@ probabilities. Weights and thresholds are fitted with an L1 penalty on a bounded
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,8 +28,9 @@ L1 = 2e-4
 
 def feature_hashes(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of each word and of its beginnings; a word as short as a beginning is not one."""
-    rows, hashes = [words.row], [words.hashes]
+    rows, hashes = [words.row[words.fresh]], [words.hashes[words.fresh]]
     size = words.ends - words.starts
+    size[: words.lead] = 0
     for n in PREFIXES:
         at = np.flatnonzero(size > n)
         rows.append(words.row[at])
@@ -35,6 +38,20 @@ def feature_hashes(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(hashes)
 
 
+def features_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, row, hash) of some rows after another; of a long text each feature once."""
+    held: list[np.ndarray] = []
+    for lo, words in words_of(column):
+        row, h = feature_hashes(words)
+        if words.lead or words.more:
+            held.append(np.unique(h))
+            if words.more:
+                continue
+            h = np.unique(np.concatenate(held))
+            row, held = np.zeros(len(h), np.int64), []
+        yield lo, row, h
+
+
 class Selected:
     """Look-up of feature hashes among the selected ones."""
 
@@ -43,6 +60,19 @@ class Selected:
         self.seen = np.zeros(1 << 16, bool)
         self.seen[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
 
+    def in_rows(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, rows, row, feature number), each pair once; a long text's pieces come as one row."""
+        held: list[np.ndarray] = []
+        for lo, words in words_of(column):
+            row, at = self.present(words)
+            if words.lead or words.more:
+                held.append(at)
+                if words.more:
+                    continue
+                at = np.unique(np.concatenate(held))
+                row, held = np.zeros(len(at), np.int64), []
+            yield lo, words.rows, row, at
+
     def present(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(row, feature number), each pair once."""
         row, h = feature_hashes(words)
@@ -74,8 +104,7 @@ def select_features(sample: DataFrame, n_features: int, least_docs: int) -> np.n
     def counted(batch: pa.RecordBatch) -> pa.Table:
         out = {0: [], 1: []}
         toxic = batch.column("toxic").to_numpy()
-        for lo, words in words_of(batch.column("text")):
-            row, h = feature_hashes(words)
+        for lo, row, h in features_of(batch.column("text")):
             order = np.lexsort((h, row))
             row, h = row[order], h[order]
             new = np.ones(len(h), bool)
@@ -156,10 +185,9 @@ class Model:
     def __init__(self, selected: Selected, weights: np.ndarray, cuts: np.ndarray):
         self.selected, self.weights, self.cuts = selected, weights, cuts
 
-    def exceed(self, words: Words) -> np.ndarray:
-        """P(grade > k) of each row, one column for each threshold."""
-        row, at = self.selected.present(words)
-        score = np.bincount(row, weights=self.weights[at], minlength=words.rows)
+    def exceed(self, rows: int, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """P(grade > k) of each of ``rows`` rows from its features (row, feature number), one column for each threshold."""
+        score = np.bincount(row, weights=self.weights[at], minlength=rows)
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - score[:, None], -50, 50)))
 
 
@@ -174,9 +202,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS, n_fe
 
     def listed(batch: pa.RecordBatch) -> pa.Table:
         parts = []
-        for lo, words in words_of(batch.column("text")):
-            row, at = selected.present(words)
-            start = np.searchsorted(row, np.arange(words.rows + 1))
+        for lo, rows, row, at in selected.in_rows(batch.column("text")):
+            start = np.searchsorted(row, np.arange(rows + 1))
             parts.append(pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(at.astype(np.int32))))
         lists = pa.chunked_array(parts, pa.list_(pa.int32()))
         return pa.Table.from_arrays([batch.column("doc_id"), batch.column("toxic"), lists], ["doc_id", "toxic", "features"])
@@ -210,8 +237,8 @@ def graded(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFram
         n_cuts = 0 if model is None else len(model.cuts)
         p = np.zeros((batch.num_rows, n_cuts))
         if model is not None:
-            for lo, words in words_of(batch.column("text")):
-                p[lo : lo + words.rows] = model.exceed(words)
+            for lo, rows, row, at in model.selected.in_rows(batch.column("text")):
+                p[lo : lo + rows] = model.exceed(rows, row, at)
         exceed = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * n_cuts, pa.int32()), pa.array(p.ravel()))
         toxic = p[:, 0] >= least if n_cuts else np.zeros(batch.num_rows, bool)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), exceed, pa.array(p.sum(axis=1)), pa.array(toxic)], ["doc_id", "exceed", "expected_severity", "toxic"])
