@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -38,7 +38,8 @@ def connected_components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     now = written(now, "links")
     digest = None
     for _ in range(max_rounds):
-        now = written(_star(_star(now, True), False), "links")
+        last, now = now, written(_star(_star(now, True), False), "links")
+        forget(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == digest:
             nodes = now.select(F.col("u").alias("node"), F.col("v").alias("root"))

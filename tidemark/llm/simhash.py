@@ -1,17 +1,19 @@
 """SimHash near-duplicates found through pivot distance tables.
 
 Each distinct fingerprint gets a table row: its Hamming distances to many reference fingerprints. By the triangle
-inequality two fingerprints within ``radius`` differ by at most ``radius`` in every coordinate, so a pair with a larger
-coordinate difference is discarded unseen and only the survivors are compared. Which pairs come before the table at all
-follows from the pigeonhole principle: of ``BLOCKS`` bit blocks, ``radius`` differing bits leave ``BLOCKS - radius``
-blocks equal, so fingerprints meet in the buckets of those blocks. A bucket that fills up is not compared pair by pair:
-its rows go to finer buckets, by a quarter of their remaining bits, until a bucket is small or its remaining bits bound it.
+inequality two fingerprints within ``radius`` differ by at most ``radius`` in every coordinate. Ranges of a few coordinates
+make cells, and only rows of one cell can be a pair; within a cell, rows are sorted by a coordinate, those further apart in
+it are never paired, pairs with another coordinate too far apart are discarded, and only the survivors are compared.
+
+Cells are coarse, as distances to any reference crowd about 32 bits. A cell that fills up is not compared pair by pair: its
+rows go to buckets by one of ``radius + 1`` runs of bits, one of which is equal in any pair, and a full bucket's rows to
+finer ones, by a run of their remaining bits, until a bucket is small or its remaining bits bound it. Buckets are searched
+through the pivot table as cells are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,9 @@ from .components import connected_components
 RADIUS = 3
 #: Bytes of a text whose words stand in memory at once.
 PIECE = 1 << 20
-BLOCKS = 6
 N_PIVOTS = 32
+#: Pivots whose distances, in ranges of ``CELL``, make a cell.
+CELL_PIVOTS, CELL = 4, 8
 #: Rows of a bucket that are compared with each other; a bucket with more goes to finer buckets.
 BUCKET_ROWS = 512
 #: Buckets that share all but so many bits are compared whatever they hold: 2**14 distinct fingerprints at most.
@@ -86,16 +89,18 @@ def bucket_links(bucket: np.ndarray, fp: np.ndarray, refs: np.ndarray, radius: i
     bucket: sorted; fp: distinct within a bucket.
     """
     table = pivot_table(fp, refs)
+    order = np.lexsort((table[:, 0], bucket))  # by the first coordinate: what lies further on than the radius is never paired
+    bucket, fp, table = bucket[order], fp[order], table[order]
     label = np.arange(len(fp))
     left, right = [], []
     at, step = np.arange(len(fp)), 1
     while True:
         at = at[at + step < len(fp)]
-        at = at[bucket[at] == bucket[at + step]]
+        at = at[(bucket[at] == bucket[at + step]) & (table[at + step, 0] - table[at, 0] <= radius)]
         if not len(at):
             break
         i, j = at, at + step
-        for c in range(0, table.shape[1], 8):  # a pair falls at its first coordinate group that is too far
+        for c in range(1, table.shape[1], 8):  # a pair falls at its first coordinates that are too far apart
             near = np.abs(table[i, c : c + 8] - table[j, c : c + 8]).max(axis=1) <= radius
             i, j = i[near], j[near]
         near = np.bitwise_count(fp[i] ^ fp[j]) <= radius
@@ -122,15 +127,30 @@ def bit_blocks(bits: list[int], n: int) -> list[int]:
     return [sum(1 << int(b) for b in run) for run in np.array_split(np.array(bits), n)]
 
 
-def level_masks(radius: int, blocks: int) -> list[int]:
-    """Masks of the first level: every choice of ``blocks - radius`` blocks."""
-    runs = bit_blocks(list(range(64)), blocks)
-    return [sum(c) for c in combinations(runs, blocks - radius)]
+def cell_rows(fps: DataFrame, radius: int, n_pivots: int) -> DataFrame:
+    """(mask, key, fp): the cells of each ``fp``, all with mask 0.
+
+    A cell is a range of ``CELL`` distances to each of the first ``CELL_PIVOTS`` pivots. A row whose distance lies within
+    ``radius`` above a range's beginning also stands in the range before, so that any two rows within ``radius`` bits meet.
+    """
+    refs = pivots(n_pivots)[:CELL_PIVOTS]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fp = batch.column("fp").to_numpy().astype(np.int64).view(np.uint64)
+        owner, key = np.arange(len(fp)), np.zeros(len(fp), np.int64)
+        for distance in pivot_table(fp, refs).T.astype(np.int64):
+            own = distance[owner]
+            edge = (own % CELL < radius) & (own >= CELL)
+            key = key * 64 + own // CELL
+            owner, key = np.concatenate([owner, owner[edge]]), np.concatenate([key, key[edge] - 1])
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(owner), np.int64)), pa.array(key), pa.array(fp[owner].view(np.int64))], ["mask", "key", "fp"])
+
+    return map_arrow(fps.select("fp"), run, "mask long, key long, fp long")
 
 
 def finer_masks(mask: int, radius: int) -> list[int]:
     """``mask`` and one of ``radius + 1`` runs of its remaining bits: one of these runs is equal in any pair."""
-    rest = [b for b in range(64) if not mask >> b & 1]
+    rest = [b for b in range(64) if not mask >> b & 1]  # of mask 0, a cell's, all bits
     return [mask | run for run in bit_blocks(rest, radius + 1)]
 
 
@@ -149,7 +169,7 @@ def _compare(keyed: DataFrame, radius: int, bucket_rows: int, n_pivots: int) ->
             new = np.concatenate([[True], (m[1:] != m[:-1]) | (k[1:] != k[:-1])])
             bucket = np.cumsum(new) - 1
             size = np.bincount(bucket)
-            bounded = np.bitwise_count(~m) <= LEAST_BITS
+            bounded = (m != 0) & (np.bitwise_count(~m) <= LEAST_BITS)
             small = (size[bucket] <= bucket_rows) | bounded
             u, v = bucket_links(bucket[small], f[small], refs, radius)
             yield out(u, v, None)
@@ -186,15 +206,11 @@ def _compare(keyed: DataFrame, radius: int, bucket_rows: int, n_pivots: int) ->
     return keyed.mapInArrow(run, "u long, v long, mask long")
 
 
-def links_within(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, bucket_rows: int = BUCKET_ROWS, n_pivots: int = N_PIVOTS) -> DataFrame:
+def links_within(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS, n_pivots: int = N_PIVOTS) -> DataFrame:
     """(u, v) links over the distinct ``fp`` of ``fps`` whose components are those of all pairs within ``radius`` bits."""
-    masks = level_masks(radius, blocks)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    choices = F.array(*[F.lit(signed(m)).cast("long") for m in masks])
-    rows = fps.select("fp", F.explode(choices).alias("mask"))
-    links = None
+    keyed, links = cell_rows(fps, radius, n_pivots), None
     while True:
-        keyed = rows.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("key"), "fp")
         keyed = keyed.repartition(shuffle_parts(fps.sparkSession), "mask", "key").sortWithinPartitions("mask", "key")
         found = written(_compare(keyed, radius, bucket_rows, n_pivots), "pairs")
         here = found.where("mask is null").select("u", "v")
@@ -205,7 +221,8 @@ def links_within(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, buc
             return links
         finer = {m: [signed(x) for x in finer_masks(m % (1 << 64), radius)] for m in used}
         table = fps.sparkSession.createDataFrame([(m, x) for m, xs in finer.items() for x in xs], "mask long, finer long")
-        rows = full.select(F.col("u").alias("fp"), "mask").join(F.broadcast(table), "mask").select("fp", F.col("finer").alias("mask"))
+        rows = full.select(F.col("u").alias("fp"), "mask").distinct().join(F.broadcast(table), "mask").select("fp", F.col("finer").alias("mask"))
+        keyed = rows.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("key"), "fp")
 
 
 def roots_of(fps: DataFrame, radius: int = RADIUS, **options) -> DataFrame:
@@ -218,7 +235,8 @@ def roots_of(fps: DataFrame, radius: int = RADIUS, **options) -> DataFrame:
 def first_rows(base: DataFrame, fps: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows ``whole`` of ``base`` (id, row, whole) that come first in their component; fps: (id, row, fp), roots: (known_fp, root)."""
     first = F.min(F.struct(F.col("id").isNull().alias("void"), "id", "row"))
-    firsts = fps.join(roots, fps["fp"] == roots["known_fp"]).groupBy("root").agg(first.alias("first"))
+    one = fps.groupBy("fp").agg(first.alias("one"))  # a large group of copies is one row from here on
+    firsts = one.join(roots, one["fp"] == roots["known_fp"]).groupBy("root").agg(F.min("one").alias("first"))
     firsts = firsts.select(F.col("first.id").alias("first_id"), F.col("first.row").alias("first_row")).distinct()
     met = base.select("id", "row", "whole").join(firsts, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("row") == F.col("first_row")), "left_semi")
     place = F.row_number().over(W.partitionBy("id", "row").orderBy("row"))  # equal rows stay once
