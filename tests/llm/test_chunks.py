@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tidemark.llm import chunks
 
@@ -58,14 +59,16 @@ def test_brute_force_on_whole_copies(spark):
 
 
 def test_odd_rows(odd, none):
-    out = chunks.dedup(odd.drop("dedup")).collect()
+    with pytest.raises(ValueError):
+        chunks.dedup(odd)
+    out = chunks.dedup(odd, named="cut").collect()
     assert len(out) == odd.count()
     by = {}
     for r in out:
         by.setdefault(r["doc_id"], []).append(r["text"])
     assert by[2] == [None] and by[3] == [""] and by[1] == ["a b c", "a b c"]
-    assert chunks.dedup(none.drop("dedup")).count() == 0
-    assert [c for c in chunks.dedup(odd.drop("dedup")).columns if c != "dedup"] == odd.drop("dedup").columns
+    assert chunks.dedup(none, named="cut").count() == 0
+    assert chunks.dedup(odd, named="cut").columns == [*odd.columns, "cut"]
 
 
 def test_repeats_inside_one_text(spark):
@@ -100,3 +103,41 @@ def test_a_group_is_one_text(spark):
     docs = spark.createDataFrame([(k, f"{p} {text(rng, 30)}") for k in (None, None, None, 4, 4)], "id long, text string").selectExpr("id", "xxhash64(text) AS key", "text")
     found = chunks.repeated_chunks(docs)
     assert found.count() == 5 and found.where("size(chunks) > 60").count() == 0
+
+
+def shared_windows(rows, n=51):
+    """Ids of the rows that hold a window of ``n`` words, over five of them different, which stands elsewhere too."""
+    where = {}
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - n + 1):
+            if len(set(w[k : k + n])) > 5:
+                where.setdefault(" ".join(w[k : k + n]), []).append(i)
+    return {i for ids in where.values() if len(ids) > 1 for i in ids}
+
+
+def test_words_decide_what_a_passage_is_in_any_script(spark):
+    """Against all windows of 51 words; passages of 30 and 40 words are none, whatever bytes a word has."""
+    rng = random.Random(11)
+    kinds = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщ", "digits": "0123456789"}
+    most = {"latin": 9, "cyrillic": 7, "digits": 4}
+    rows, long, short = [], set(), set()
+    for kind, letters in kinds.items():
+        said = lambda n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, most[kind]))) for _ in range(n))  # noqa: B023, E731
+        for n, ids in ((56, long), (30, short), (35, short)):
+            for _ in range(25):
+                p = said(n)
+                for _ in range(3):
+                    rows.append((len(rows), f"{said(50)} {p} {said(50)}"))
+                    ids.add(len(rows) - 1)
+        rows += [(len(rows) + k, said(150)) for k in range(50)]
+    want = shared_windows(rows)
+    got = {r["doc_id"] for r in chunks.dedup(spark.createDataFrame(rows, "doc_id long, text string")).where("dedup.repeated").collect()}
+    assert want == long and len(got & want) >= 0.98 * len(want) and len(got & short) <= 0.03 * len(short) and not got - long - short
+
+
+def test_whole_table_as_all_windows(spark, sf, texts):
+    """Every text with a window of 51 words that stands elsewhere is found, but for windows of one phrase over and over."""
+    want = shared_windows(texts.items())
+    got = {r["doc_id"] for r in chunks.dedup(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")).where("dedup.repeated").collect()}
+    assert len(want & got) >= 0.99 * len(want) and len(got - shared_windows(texts.items(), 40)) <= 0.01 * len(texts)

@@ -3,7 +3,7 @@
 A gear hash rolls over the bytes of each text and proposes a cut where it is small; a proposal with another one closely
 before it is passed over. Cuts so depend on the bytes just before them alone, and an insertion moves none but its own.
 Chunks are deduplicated by digest: those of the document with the smallest id stay, later ones go where they stand in a run
-of at least ``least_bytes`` repeated bytes, which leaves chance repeats of phrases and single lines alone.
+of ``least_words`` repeated words, which leaves chance repeats of phrases and single lines alone.
 """
 
 from __future__ import annotations
@@ -21,9 +21,12 @@ WINDOW = 16
 MEAN_BYTES = 14
 LEAST_CHUNK = 8
 MAX_CHUNK = 1024  # a place has 11 bits for it
-#: Repeated bytes in a row that make a passage: a passage of over 50 words leaves more than that when its ends, which cuts
-#: outside it may take, are taken off.
-LEAST_BYTES = 160
+#: Words of a passage. Cuts outside a passage take its ends off the run of chunks that it leaves, ``END_BYTES`` on either side
+#: as a rule, so a run is measured with as many bytes about it.
+LEAST_WORDS = 47
+END_BYTES = 22
+#: A unit is a word, or so many bytes of a longer one: in scripts that part no words, units stand in for words.
+UNIT_BYTES = 12
 
 _GEAR = np.random.default_rng(1009).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -100,14 +103,27 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     return texts.withColumnRenamed("id", "of_id").withColumnRenamed("key", "of_key")
 
 
-def touching(at: np.ndarray, size: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """(start, end) of runs of touching spans, sorted by start, of at least ``least`` bytes."""
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\v\f\r")] = True
+
+
+def units_in(text: bytes, start: int, end: int) -> int:
+    """Words of a byte span, those over ``UNIT_BYTES`` bytes counted by their length."""
+    blank = np.concatenate([[-1], np.flatnonzero(_SPACE[np.frombuffer(text, np.uint8)[start:end]]), [end - start]])
+    sizes = np.diff(blank) - 1
+    return int((-(-sizes // UNIT_BYTES))[sizes > UNIT_BYTES * 2].sum() + ((sizes > 0) & (sizes <= UNIT_BYTES * 2)).sum())
+
+
+def touching(text: bytes, at: np.ndarray, size: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """(start, end) of runs of touching spans, sorted by start, that have ``least`` words with ``END_BYTES`` on either side."""
     if not len(at):
         return []
     breaks = np.flatnonzero(at[1:] != at[:-1] + size[:-1]) + 1
     starts = at[np.concatenate([[0], breaks])]
     last = np.concatenate([breaks - 1, [len(at) - 1]])
-    return [(int(a), int(b)) for a, b in zip(starts, at[last] + size[last]) if b - a >= least]
+    runs = ((int(a), int(b)) for a, b in zip(starts, at[last] + size[last]))
+    # A word takes a letter and a space, or more.
+    return [(a, b) for a, b in runs if b - a >= 2 * (least - END_BYTES) and units_in(text, max(0, a - END_BYTES), min(len(text), b + END_BYTES)) >= least]
 
 
 _BLANK = frozenset(b" \t\n\v\f\r")
@@ -127,20 +143,24 @@ def spans_to_cut(text: bytes, chunks: np.ndarray, least: int) -> tuple[bool, lis
     chunks = np.sort(chunks)
     first, place = chunks & 1, chunks >> 1
     at, size, again = place >> _AT, place >> _SIZE & 0x7FF, place >> _AGAIN & 1
-    passages = touching(at, size, least)
+    passages = touching(text, at, size, least)
     gone = (again == 1) | (first == 0)
-    spans = [whole_words(text, a, b) for a, b in touching(at[gone], size[gone], least)]
+    spans = [whole_words(text, a, b) for a, b in touching(text, at[gone], size[gone], least)]
     return bool(passages), [s for s in spans if s[0] < s[1]]
 
 
-def dedup(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """The rows of ``docs`` with ``text`` rid of repeated passages, plus a struct ``dedup``.
+def dedup(docs: DataFrame, least_words: int = LEAST_WORDS, named: str = "dedup") -> DataFrame:
+    """The rows of ``docs`` with ``text`` rid of repeated passages, plus a struct ``named``, which no column of ``docs`` may be called.
 
-    dedup: repeated (the text holds a passage that also stands elsewhere, or twice), spans (start and end of each part
+    The struct: repeated (the text holds a passage that also stands elsewhere, or twice), spans (start and end of each part
     taken out, in bytes of the UTF-8 text) and removed_chars. A null text counts as empty and stays null; nothing of an
     empty one can go. Rows of one doc_id count as one document, so neither of two loses what both have. Rows with a null
-    doc_id come after all others, and only equal texts among them count as one document. Columns of any other name pass through.
+    doc_id come after all others, and only equal texts among them count as one document. Columns of any other name pass
+    through. doc_id: any integer type, or a string of a number. A text's chunks, eight bytes for some 25, are held together
+    in one task; an empty table gives an empty one. A chunk that two documents have is the first one's, so there are no ties.
     """
+    if named in docs.columns:
+        raise ValueError(f"docs has a column {named!r}: give the struct another name")
     rest = [c for c in docs.columns if c != "text"]
     base = docs.select(
         F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text"), F.col("text").isNull().alias("void"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")
@@ -157,7 +177,7 @@ def dedup(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
             gone: list[tuple[int, int]] = []
             flag = False
             if valid[i]:
-                flag, gone = spans_to_cut(text, flat[offsets[i] : offsets[i + 1]], least_bytes)
+                flag, gone = spans_to_cut(text, flat[offsets[i] : offsets[i + 1]], least_words)
             kept, last, n = [], 0, 0
             for a, b in gone:
                 kept.append(text[last:a])
@@ -176,4 +196,4 @@ def dedup(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     kind = base.schema["rest"].dataType.simpleString()
     out = map_arrow(both.select("text", "void", "rest", "chunks"), run, f"text string, void boolean, rest {kind}, repeated boolean, spans array<struct<start:int,end:int>>, removed_chars long")
     kept = {"text": F.when(~F.col("void"), F.col("text")).alias("text")}
-    return out.select(*[kept.get(c, F.col(f"rest.`{c}`").alias(c)) for c in docs.columns], F.struct("repeated", "spans", "removed_chars").alias("dedup"))
+    return out.select(*[kept.get(c, F.col(f"rest.`{c}`").alias(c)) for c in docs.columns], F.struct("repeated", "spans", "removed_chars").alias(named))

@@ -26,10 +26,11 @@ FITTED = 8192
 ORDERED = 1024
 
 
-def sized(docs: DataFrame, seed: int) -> DataFrame:
-    """(doc_id, source, size, draw): words of each text and its place in the seeded order."""
-    out = docs.select("doc_id", F.col("source").cast("string").alias("source"), text_or_empty().alias("text"))
-    return out.select("doc_id", "source", F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).cast("long").alias("size"), row_hash("doc_id", "source", "text", seed=seed).alias("draw"))
+def sized(docs: DataFrame, seed: int, carry: str | None = None) -> DataFrame:
+    """(doc_id, source, size, draw): words of each text and its place in the seeded order; and the column ``carry``."""
+    more = [carry] if carry else []
+    out = docs.select("doc_id", F.col("source").cast("string").alias("source"), text_or_empty().alias("text"), *more)
+    return out.select(*more, "doc_id", "source", F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).cast("long").alias("size"), row_hash("doc_id", "source", "text", seed=seed).alias("draw"))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_copies: int = MAX_COPIES) -> DataFrame:
@@ -116,8 +117,8 @@ def plan(sizes: DataFrame, goal: DataFrame, fitted: int = FITTED) -> DataFrame:
     return both.groupBy("source").applyInPandas(fit, "source string, size long, n long, whole long, extra long")
 
 
-def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_copies: int = MAX_COPIES, seed: int = 5) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies, source) for every row of ``docs`` (doc_id, source, text).
+def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_copies: int = MAX_COPIES, seed: int = 5, carry: str | None = None) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, copies, source) for every row of ``docs`` (doc_id, source, text), and its column ``carry``.
 
     copies: how often the mix takes the document; taken: its words in the mix. A null text has size 0 and is not taken; a
     null source is a source, the last one. Sources without words have target 0. Equal rows are interchangeable. The same
@@ -125,7 +126,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_copies: in
     """
     if max_copies < share:
         raise ValueError("sources cannot hold the mix: max_copies is below share")
-    every = written(sized(docs, seed), "sized")
+    every = written(sized(docs, seed, carry), "sized")
     goal = targets(every.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_copies)
     goal = written(goal, "targets")
     named = goal.withColumnRenamed("source", "goal_source")
@@ -140,4 +141,4 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_copies: in
     rows = rows.join(parts, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("size") == F.col("of_size")) & (F.col("part") == F.col("of_part")))
     place = F.row_number().over(W.partitionBy("source", "size", "part").orderBy("draw", "doc_id"))
     copies = F.col("whole") + ((F.col("before") + place) <= F.col("extra")).cast("long")
-    return rows.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source")
+    return rows.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source", *([carry] if carry else []))

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, map_arrow, mix, row_hash, text_or_empty, words_of
+from .common import Words, map_arrow, mix, row_hash, text_or_empty, words_of, written
 
 #: Words of a window, and how many of them at least are not placeholders.
 WINDOW = 5
@@ -39,6 +40,7 @@ _STOP[list(b".!?:")] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[ord("0") : ord("9") + 1] = True
 NUMBER, NAME, UNIT = 1, 2, 3
+_VERBATIM = np.uint64(0x9AE16A3B2F90404F)
 
 
 def _unit_hashes() -> np.ndarray:
@@ -49,8 +51,11 @@ def _unit_hashes() -> np.ndarray:
 _UNITS = _unit_hashes()
 
 
-def canonical(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(kind, hash, value) of each word: kind 0 for a literal; hash: of the word without outer punctuation, or of its kind; value: of the word itself."""
+def canonical(words: Words, quoted: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(kind, hash, value) of each word: kind 0 for a literal; hash: of the word without outer punctuation, or of its kind; value: of the word itself.
+
+    quoted: read a text's first word as it would be read inside a sentence, where a capital letter makes it a name.
+    """
     starts, ends = words.starts.copy(), words.ends.copy()
     for _ in range(3):
         ends = ends - ((ends - starts > 1) & _PUNCTUATION[words.buf[ends - 1]])
@@ -65,10 +70,10 @@ def canonical(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     capital = ((b0 >= 65) & (b0 <= 90)) | ((b0 == 0xC3) & (b1 >= 0x80) & (b1 <= 0x9E)) | ((b0 == 0xCE) & (b1 >= 0x91) & (b1 <= 0xA9)) | ((b0 == 0xD0) & (b1 >= 0x80) & (b1 <= 0xAF))
     second = words.raw[np.minimum(starts + 1 + (b0 >= 0x80), ends - 1)]
     capital &= (ends - starts > 1) & ~((second >= 65) & (second <= 90))
-    inside = np.zeros(len(starts), bool)
-    inside[1:] = (words.row[1:] == words.row[:-1]) & ~_STOP[words.raw[words.ends[:-1] - 1]]
+    inside = np.full(len(starts), quoted)
+    inside[1:] = quoted & (words.row[1:] != words.row[:-1]) | (words.row[1:] == words.row[:-1]) & ~_STOP[words.raw[words.ends[:-1] - 1]]
     breaks = np.searchsorted(np.flatnonzero(words.raw == 10), words.starts)
-    inside[1:] &= breaks[1:] == breaks[:-1]
+    inside[1:] &= (breaks[1:] == breaks[:-1]) | (words.row[1:] != words.row[:-1])
     name = capital & inside & ~number
     after = np.zeros(len(starts), bool)
     after[1:] = number[:-1] & (words.row[1:] == words.row[:-1])
@@ -78,16 +83,18 @@ def canonical(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return kind, np.where(kind > 0, mix(kind.astype(np.uint64)), value), value
 
 
-def window_hashes(words: Words, window: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(index of the first word, hash) of the windows with enough literals; and kind and value of all words."""
-    kind, h, value = canonical(words)
+def window_hashes(words: Words, window: int, least: int, quoted: bool = False, verbatim: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the first word, hash) of the windows with enough literals; and kind and value of all words. verbatim: placeholders stand for themselves, so that any window is one."""
+    kind, h, value = canonical(words, quoted)
+    if verbatim:
+        kind, h = np.zeros_like(kind), value ^ _VERBATIM
     at, hashes = words.ngrams(window, h)
     literal = np.concatenate([[0], np.cumsum(kind == 0)])
     good = literal[at + window] - literal[at] >= least
     return at[good], hashes[good], kind, value
 
 
-def windows(texts: DataFrame, window: int = WINDOW, least: int = LEAST_LITERALS, passes: np.ndarray | None = None, bits: int = FILTER_BITS) -> DataFrame:
+def windows(texts: DataFrame, window: int = WINDOW, least: int = LEAST_LITERALS, passes: np.ndarray | None = None, bits: int = FILTER_BITS, quoted: bool = False, verbatim: bool = False) -> DataFrame:
     """(id, row, hash, pos, slots): template windows of every whole text (id, row, text), those only that the filter ``passes``.
 
     pos: number of the window's first word; slots: values of its placeholders, in order, null if it has none.
@@ -98,7 +105,7 @@ def windows(texts: DataFrame, window: int = WINDOW, least: int = LEAST_LITERALS,
         owner, hashes, pos, slots = [], [], [], []
         known = None if packed is None else np.unpackbits(packed)
         for lo, words in words_of(batch.column("text")):
-            at, h, kind, value = window_hashes(words, window, least)
+            at, h, kind, value = window_hashes(words, window, least, quoted, verbatim)
             if known is not None:
                 hit = np.flatnonzero(known[(h >> np.uint64(64 - bits)).astype(np.int64)])
                 at, h = at[hit], h[hit]
@@ -128,45 +135,84 @@ def window_filter(items: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return out
 
 
-def agrees(pairs: Column) -> Column:
-    """Whether an array of (item value, document value) maps each item value to one document value."""
-    return F.size(F.array_distinct(pairs)) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["item"])))
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), text_or_empty().alias("text")).withColumn("row", row_hash("text"))
 
 
+ITEM = ["of_item", "of_item_row"]
+TEXT = ["id", "row"]
+
+
+def item_windows(items: DataFrame, window: int, least: int) -> DataFrame:
+    """(of_item, of_item_row, item_hash, item_pos, item_slots, verbatim): the windows of the items (id, row, text).
+
+    A first word with a capital letter has its window in both readings. Items none of whose windows has enough literals get
+    all their windows as they stand; they count only where all of those are met.
+    """
+    named = [F.col("id").alias("of_item"), F.col("row").alias("of_item_row"), F.col("hash").alias("item_hash"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")]
+    both = windows(items, window, least).union(windows(items, window, least, quoted=True).where("pos = 0")).distinct().select(*named, F.lit(False).alias("verbatim"))
+    known = both.select(F.col("of_item").alias("id"), F.col("of_item_row").alias("row")).distinct()
+    bare = items.alias("i").join(known.alias("k"), F.col("i.id").eqNullSafe(F.col("k.id")) & (F.col("i.row") == F.col("k.row")), "left_anti")
+    return both.union(windows(bare, window, 0, verbatim=True).select(*named, F.lit(True).alias("verbatim")))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST_LITERALS, coverage: float = COVERAGE) -> DataFrame:
-    """(id, row, item_id, share) of each text of ``docs`` (id, row, text) and item whose template it holds with consistent slots."""
+    """(id, row, item_id, share) of each text of ``docs`` (id, row, text) and item whose template it holds with consistent slots.
+
+    A text must hold ``coverage`` of an item's windows, so it holds one of any ``floor((1 - coverage) * n) + 1`` of them: those
+    of each item that the fewest items have meet the texts, and a beginning that many items share pairs none off. Only the
+    pairs so met are held against all windows. Where along one alignment a value of the item stands for two values of the
+    text, only the windows with the item's own values count.
+    """
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").alias("id"), F.col("text").cast("string").alias("text"))
     items = items.distinct().withColumn("row", row_hash("text"))
-    asked = windows(items, window, least)
-    found = windows(docs, window, least, window_filter(asked))
-    size = asked.groupBy("id", "row").agg(F.count("*").alias("n_windows")).select(F.col("id").alias("item_id"), F.col("row").alias("item_row"), "n_windows")
-    asked = asked.select(F.col("id").alias("of_item"), F.col("row").alias("of_item_row"), F.col("hash").alias("item_hash"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
+    asked = written(item_windows(items, window, least), "items")
+    passes = window_filter(asked.select(F.col("item_hash").alias("hash")))
+    found = windows(docs, window, least, passes)
+    if not asked.where("verbatim").isEmpty():
+        found = found.union(windows(docs, window, 0, passes, verbatim=True))
+    found = written(found, "found")
+    size = asked.groupBy(*ITEM).agg(F.count_distinct("item_pos").alias("n_windows"), F.max("verbatim").alias("all_of_it"))
+    spread = asked.groupBy("item_hash").agg(F.count("*").alias("n_items")).withColumnRenamed("item_hash", "of_hash")
+    least_spread = asked.join(spread, asked["item_hash"] == spread["of_hash"]).groupBy(*ITEM, "item_pos").agg(F.max("n_items").alias("n_items"), F.collect_set("item_hash").alias("hashes"))
+    place = F.row_number().over(W.partitionBy(*ITEM).orderBy("n_items", "item_pos"))  # of one item's windows
+    rarest = least_spread.withColumn("place", place)
+    sized = size.select(F.col("of_item").alias("s_item"), F.col("of_item_row").alias("s_row"), "n_windows")
+    rarest = rarest.join(sized, F.col("of_item").eqNullSafe(F.col("s_item")) & (F.col("of_item_row") == F.col("s_row")))
+    rarest = rarest.where(F.col("place") <= F.floor((1 - coverage) * F.col("n_windows") + 1e-9) + 1).select(*ITEM, F.explode("hashes").alias("of_hash"))
+    pairs = found.select("id", "row", "hash").join(rarest, F.col("hash") == F.col("of_hash")).select(*TEXT, *ITEM).distinct()
+    every = pairs.alias("p").join(asked.alias("a"), F.col("p.of_item").eqNullSafe(F.col("a.of_item")) & (F.col("p.of_item_row") == F.col("a.of_item_row")))
+    every = every.select(F.col("id").alias("of_id"), F.col("row").alias("of_row"), F.col("p.of_item").alias("of_item"), F.col("p.of_item_row").alias("of_item_row"), "item_hash", "item_pos", "item_slots")
     pair = F.transform(F.arrays_zip("item_slots", "slots"), lambda z: F.struct(z["item_slots"].alias("item"), z["slots"].alias("doc")))
-    met = found.join(asked, F.col("hash") == F.col("item_hash")).select(
-        "id", "row", "of_item", "of_item_row", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), F.when(F.col("slots").isNotNull(), pair).alias("pairs")
-    )
-    aligned = met.groupBy("id", "row", "of_item", "of_item_row", "shift").agg(F.collect_set("item_pos").alias("at"), F.flatten(F.collect_list("pairs")).alias("pairs"))
-    aligned = aligned.where(agrees(F.col("pairs")))
-    covered = aligned.groupBy("id", "row", "of_item", "of_item_row").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n"))
-    share = covered.join(size, F.col("of_item").eqNullSafe(F.col("item_id")) & (F.col("of_item_row") == F.col("item_row")))
-    return share.where(F.col("n") >= coverage * F.col("n_windows")).select("id", "row", "item_id", (F.col("n") / F.col("n_windows")).alias("share"))
+    met = found.join(every, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("row") == F.col("of_row")) & (F.col("hash") == F.col("item_hash")))
+    met = met.select(*TEXT, *ITEM, "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), F.coalesce(pair, F.array().cast("array<struct<item:bigint,doc:bigint>>")).alias("pairs"))
+    met = written(met, "met")
+    line = [*TEXT, *ITEM, "shift"]
+    values = met.select(*line, F.explode("pairs").alias("pair")).groupBy(*line, F.col("pair.item").alias("item")).agg((F.min("pair.doc") < F.max("pair.doc")).alias("two"))
+    values = values.groupBy(*line).agg(F.max("two").alias("two"))
+    both = met.alias("m").join(values.alias("v"), [F.col(f"m.{c}").eqNullSafe(F.col(f"v.{c}")) for c in line], "left").select("m.*", "two")
+    good = both.where(~F.coalesce("two", F.lit(False)) | F.forall("pairs", lambda p: p["item"] == p["doc"]))
+    covered = good.groupBy(*TEXT, *ITEM).agg(F.count_distinct("item_pos").alias("n"))
+    sized = size.select(F.col("of_item").alias("item_id"), F.col("of_item_row").alias("item_row"), "n_windows", "all_of_it")
+    share = covered.join(sized, F.col("of_item").eqNullSafe(F.col("item_id")) & (F.col("of_item_row") == F.col("item_row")))
+    enough = F.when(F.col("all_of_it"), F.col("n") == F.col("n_windows")).otherwise(F.col("n") >= coverage * F.col("n_windows"))
+    return share.where(enough).select("id", "row", "item_id", (F.col("n") / F.col("n_windows")).alias("share"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """(doc_id, contaminated, items) for every row of ``docs``: items are the ids whose template the text holds, sorted.
 
-    Null texts hold nothing. Items that are null, or too short for one window, match nothing; a null item_id counts as an
-    item but is not listed. Repeated rows get a row each.
+    Null and empty texts hold nothing; texts of any length are read whole, in pieces. Items that are null, or too short for
+    one window, match nothing: so few words are no evidence. A null item_id counts as an item but is not listed; repeated
+    items are one, ids of any type do. Repeated rows get a row each. An empty table gives an empty one, an empty benchmark
+    no matches. There are no ties to settle: all of a text's items are listed. Other columns are not read.
     """
     base = keyed(docs)
+    kind = benchmark.schema["item_id"].dataType.simpleString()
     found = matches(base, benchmark, **options).groupBy("id", "row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     found = found.select(F.col("id").alias("of_id"), F.col("row").alias("of_row"), "items")
     both = base.select("id", "row").join(found, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("row") == F.col("of_row")), "left")
-    return both.select(F.col("id").alias("doc_id"), F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))
+    return both.select(F.col("id").alias("doc_id"), F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast(f"array<{kind}>")).alias("items"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
