@@ -64,7 +64,7 @@ def test_grounding(spark):
     got = {r["id"]: r for r in grounding.audit(answers, evidence, "id").collect()}
     assert (got[1]["checked"], got[1]["grounded"], got[1]["ungrounded"], got[1]["ratio"]) == (2, 1, ["999"], 0.5)
     assert got[2]["ratio"] == 1.0 and got[3]["checked"] == 0
-    assert [(x["source"], x["n"]) for x in got[1]["by_source"]] == [("document", 1)]
+    assert [(x["source"], x["n"]) for x in got[1]["by_source"]] == [("tool", 1)]  # found in both: the tool is credited
 
 
 def test_messy_csv(spark, tmp_path):

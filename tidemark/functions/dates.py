@@ -85,6 +85,7 @@ def parse_inline_date(text: Column) -> Column:
 
 # Month names as Turkish bulletins write them.
 MONTHS = {"ocak": 1, "şubat": 2, "mart": 3, "nisan": 4, "mayıs": 5, "haziran": 6, "temmuz": 7, "ağustos": 8, "eylül": 9, "ekim": 10, "kasım": 11, "aralık": 12}
+TURKISH = str.maketrans("İI", "iı")
 
 
 def parse_month_name_date(text: Column) -> Column:

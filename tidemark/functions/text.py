@@ -70,11 +70,13 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def clean_input(text: Column, most: int = MAX_INPUT) -> Column:
-    """At most ``most`` characters, rid of control tokens and of the tags that mark foreign text."""
-    out = F.substring(text, 1, most)
+def clean_input(text: Column, most: int | None = MAX_INPUT) -> Column:
+    """The first ``most`` characters (all if None, as for tables of whole texts), rid of control tokens and of the tags that mark foreign text."""
+    out = text if most is None else F.substring(text, 1, most)
     out = F.regexp_replace(out, "(?i)" + "|".join("\\Q" + t + "\\E" for t in CONTROL_TOKENS), "")
-    return F.trim(F.regexp_replace(out, r"(?i)<\s*/?\s*(" + "|".join(STRUCTURAL_TAGS) + r")\b[^>]*>", ""))
+    for name in STRUCTURAL_TAGS:  # opening or closing, with blanks or attributes
+        out = F.regexp_replace(out, rf"(?i)<\s*(?:/\s*)?{name}(?:\s[^>]*|/)?>", "")
+    return F.trim(out)
 
 
 def injection_phrases(text: Column) -> Column:

@@ -68,7 +68,7 @@ def monthly(obs: DataFrame, meta: DataFrame, quarterly: str = "sparse") -> DataF
     if fault:
         kind = "mixed_frequency" if fault["n"] > 1 else "unsupported_frequency" if fault["odd"] else "missing_policy"
         raise ContractError(kind, f"{fault['series_id']} {fault['dims']}")
-    rows = rows.where("accumulation = 'none'")
+    rows = rows.where("coalesce(accumulation, 'none') = 'none'")  # a series of unknown accumulation is taken as it stands
     days = rows.where("freq in ('D', 'W')").withColumn("method", alignment_method(F.col("nature"), F.col("alignment_override"), F.col("accumulation")))
     quarters = rows.where("freq = 'Q'")
     parts = [to_month_end(days), native_month(rows.where("freq = 'M'")), native_month(quarters, "quarter_end_sparse") if quarterly == "sparse" else quarter_fill(quarters)]

@@ -32,11 +32,11 @@ def ranked(sums: DataFrame) -> DataFrame:
 
 def indices(sums: DataFrame) -> DataFrame:
     """(n_entities, total, cr3_pct, cr5_pct, hhi, level): the shares of the top three and five, and the sum of squared shares."""
-    r = ranked(sums)
-    out = r.agg(
-        F.count("*").alias("n_entities"), F.sum("value").alias("total"), F.sum(F.when(F.col("rank") <= 3, F.col("share_pct"))).alias("cr3_pct"), F.sum(F.when(F.col("rank") <= 5, F.col("share_pct"))).alias("cr5_pct"),
-        F.sum(F.col("share_pct") * F.col("share_pct")).alias("hhi"),
-    )
+    top = lambda k: sums.orderBy(F.desc("value"), "entity").limit(k).agg(F.sum("value")).scalar()
+    out = sums.agg(F.count("*").alias("n_entities"), F.sum("value").alias("total"), F.sum(F.col("value") * F.col("value")).alias("squares"))
+    out = out.select(
+        "n_entities", "total", (top(3) / F.col("total") * 100).alias("cr3_pct"), (top(5) / F.col("total") * 100).alias("cr5_pct"), (F.col("squares") / F.col("total") / F.col("total") * 10_000).alias("hhi")
+    )
     return out.withColumn("level", F.when(F.col("hhi") > 2500, "high").when(F.col("hhi") >= 1500, "moderate").otherwise("low"))
 
 

@@ -93,6 +93,19 @@ def geo_quality(obs: DataFrame, keys: dict[str, str], good: str, bad: str) -> Da
     return out.withColumn("bad_ratio", F.try_divide(F.col("bad"), F.col("good") + F.col("bad")))
 
 
+def with_change(table: DataFrame, changes: DataFrame, keys: tuple[str, ...] = ("series_id", "dims", "date"), columns: tuple[str, ...] = ("mom_pct", "yoy_pct")) -> DataFrame:
+    """A gold table's rows, each with its own periodic changes; nulls where it has none. Keys join as they stand, nulls included."""
+    c = changes.select(*[F.col(k).alias(f"_{k}") for k in keys], *[x for x in columns if x in changes.columns])
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return table.join(c, on, "left").drop(*[f"_{k}" for k in keys])
+
+
+def lineage_of(slices: DataFrame, table: str, transformation: str = "slice") -> DataFrame:
+    """Lineage rows of a table whose columns stand as rows (gold_column, series_id, key, value, unit): no spec has to fit the driver."""
+    rule = F.when(F.col("key").isNotNull(), F.when(F.col("value").isNull(), F.concat("key", F.lit(" is null"))).otherwise(F.concat("key", F.lit(" = "), "value")))
+    return slices.select(F.lit(table).alias("gold_table"), "gold_column", F.col("series_id").alias("source_series"), rule.alias("source_filter"), F.lit(transformation).alias("transformation"), "unit")
+
+
 def periodic_change(aligned: DataFrame, meta: DataFrame) -> DataFrame:
     """Gap-aware changes of the reviewed series."""
     return change.periodic(reviewed_only(aligned, meta))

@@ -5,24 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# How numbers and dates are written, and how far a quoted number may lie from its source.
-NUMBER = r"-?\d{1,3}(?:[.,]\d{3})+(?!\d)(?:[.,]\d+)?|-?\d+(?:[.,]\d+)?"
-DATE = r"\b\d{4}-\d{1,2}(?:-\d{1,2})?\b|\b\d{1,2}[./]\d{1,2}[./]\d{4}\b"
-RULE_LINE = r"(?m)^\s*\|?[\s:\-|]+\|?\s*$"
+#: How far a quoted number may lie from its source, as a share and absolutely.
 RELATIVE, ABSOLUTE = 0.01, 0.01
+#: Kinds of evidence in the order in which they are credited; others come after them, by name.
+SOURCES = ("tool", "result", "document")
+
+
+def _number_pattern() -> str:
+    """A number's grammar: a sign, digits in groups of three or without groups, and a fraction. Dots and commas part either."""
+    mark, sign = "[.,]", "-?"
+    grouped = rf"[0-9]{{1,3}}(?:{mark}[0-9]{{3}})+(?![0-9])"
+    return "|".join(f"{sign}{whole}(?:{mark}[0-9]+)?" for whole in (grouped, "[0-9]+"))
+
+
+def _date_pattern() -> str:
+    """Year, month and perhaps day with hyphens, or day, month and year with dots or slashes, no digit beside them."""
+    one_or_two, year = "[0-9]{1,2}", "[0-9]{4}"
+    iso = f"{year}-{one_or_two}(?:-{one_or_two})?"
+    local = f"{one_or_two}[./]{one_or_two}[./]{year}"
+    return rf"\b(?:{iso}|{local})\b"
+
+
+NUMBER, DATE = _number_pattern(), _date_pattern()
+
+
+def without_rules(text: Column) -> Column:
+    """``text`` without the lines that only rule a table: bars, colons, hyphens and blanks, with at least one of the marks."""
+    lines = F.filter(F.split(text, "\n"), lambda line: (F.translate(line, "|:- \t\r", "") != "") | (F.trim(line) == ""))
+    return F.array_join(lines, "\n")
 
 
 def readings(raw: Column) -> Column:
-    """The values that a number's text can stand for: with one kind of sign, both as a decimal and as a thousands sign where that fits."""
-    t = F.regexp_replace(F.trim(raw), "^-+", "")
-    dot, comma = F.contains(t, F.lit(".")), F.contains(t, F.lit(","))
-    last = F.regexp_extract(t, r"([.,])[^.,]*$", 1)
-    grouped = t.rlike(r"^\d{1,3}(?:[.,]\d{3})+$")
-    no = lambda c: F.replace(t, F.lit(c), F.lit(""))
-    both = F.when(last == ".", no(",")).otherwise(F.replace(no("."), F.lit(","), F.lit(".")))
-    decimal = F.when(~t.rlike(r"[.,].*[.,]"), F.replace(t, F.lit(","), F.lit(".")))
-    thousands = F.when(grouped & (dot | comma), F.regexp_replace(t, "[.,]", ""))
-    texts = F.when(dot & comma, F.array(both)).otherwise(F.array(decimal, thousands))
+    """The values that a number's text can stand for.
+
+    With both marks, the last one parts the fraction. With one kind of mark that stands once, it may part the fraction, or
+    thousands if three digits follow each and at most three stand before; with several of one kind only thousands fit.
+    """
+    bare = F.ltrim(F.trim(raw), F.lit("-"))
+    marks = F.translate(bare, "0123456789", "")
+    head = F.split(bare, "[.,]")
+    in_threes = F.forall(F.slice(head, 2, F.greatest(F.size(head), F.lit(1))), lambda g: F.length(g) == 3) & F.length(head[0]).between(1, 3) & (F.size(head) > 1)
+    digits = F.array_join(head, "")
+    as_fraction = F.concat(F.array_join(F.slice(head, 1, F.greatest(F.size(head) - 1, F.lit(0))), ""), F.lit("."), F.element_at(head, -1))
+    texts = (
+        F.when(F.length(marks) == 0, F.array(bare))
+        .when(F.contains(marks, F.lit(".")) & F.contains(marks, F.lit(",")), F.array(as_fraction))
+        .when(F.length(marks) == 1, F.array(as_fraction, F.when(in_threes, digits)))
+        .otherwise(F.array(F.when(in_threes, digits)))
+    )
     return F.array_compact(F.transform(texts, lambda x: x.try_cast("double")))
 
 
@@ -32,7 +62,7 @@ def answer_numbers(text: Column) -> Column:
     The match is atomic, so a number with a letter or underscore beside it is passed over whole; a hyphen after a digit is
     no minus sign.
     """
-    t = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), RULE_LINE, ""), DATE, " ")
+    t = F.regexp_replace(without_rules(F.coalesce(text, F.lit(""))), DATE, " ")
     whole = rf"(?<![\p{{L}}_\d])(?<![\p{{L}}_]-)((?>{NUMBER}))(?![\p{{L}}_])"
     skipped = lambda x: x.rlike(r"^-?0*(\d|1[0-2])$") | x.rlike(r"^-?(19\d\d|20\d\d|2100)$")
     return F.array_distinct(F.filter(F.regexp_extract_all(t, F.lit(whole), 1), lambda x: ~skipped(x)))
@@ -47,11 +77,11 @@ def near(value: Column, candidate: Column) -> Column:
     return F.abs(value - candidate) <= F.greatest(F.lit(ABSOLUTE), RELATIVE * F.abs(candidate))
 
 
-def audit(answers: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
+def audit(answers: DataFrame, evidence: DataFrame, key: str, sources: tuple[str, ...] = SOURCES) -> DataFrame:
     """(key, checked, grounded, ungrounded, ratio, by_source): the numbers of each answer (key, text) against its evidence (key, source, text).
 
     A number is grounded if a reading of it lies within tolerance of a reading in the evidence; it counts for the first
-    source, in the order of their names, that holds it. Answers without numbers have ratio 1. Numbers meet their evidence
+    of ``sources`` that holds it, else for the first other one by name. Answers without numbers have ratio 1. Numbers meet their evidence
     by key and by the power of two that they lie in, or next to, so no answer's numbers meet all of its evidence's.
     """
     asked = answers.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list(answer_numbers(F.col("text"))))).alias("raws"))
@@ -61,7 +91,9 @@ def audit(answers: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
     pool = evidence.select(F.col(key).alias("_key"), "source", F.explode(evidence_numbers(F.col("text"))).alias("c")).distinct()
     pool = pool.withColumn("_band", band(F.col("c")))
     met = each.join(pool, (F.col(key) == F.col("_key")) & (F.col("band") == F.col("_band")) & near(F.col("v"), F.col("c")))
-    found = met.groupBy(key, "raw").agg(F.min("source").alias("source"))
+    place = F.array_position(F.array(*[F.lit(x) for x in sources]), F.col("source"))
+    rank = F.struct(F.when(place > 0, place).otherwise(len(sources) + 1).alias("place"), "source")
+    found = met.groupBy(key, "raw").agg(F.min(rank)["source"].alias("source"))
     sums = found.groupBy(F.col(key).alias("_found")).agg(F.collect_set("raw").alias("good"))
     split = found.groupBy(F.col(key).alias("_split"), "source").agg(F.count("*").alias("n"))
     split = split.groupBy("_split").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("by_source"))

@@ -145,10 +145,10 @@ def api_silver(records: DataFrame, catalog: DataFrame, source: str, existing: Da
     c = catalog.select(F.col("code").alias("_code"), TX.frequency(F.col("freq_text")).alias("freq"), "unit")
     rows = records.where("date is not null").join(c, F.col("code") == F.col("_code"))
     out = rows.select(
-        TX.series_id(source, F.col("code")).alias("series_id"), F.lit(source).alias("source"), T.period_end(F.col("date"), F.col("freq")).alias("date"), T.period_start(F.col("date"), F.col("freq")).alias("period_start"), T.period_end(F.col("date"), F.col("freq")).alias("period_end"),
+        F.col("date").alias("_read"), TX.series_id(source, F.col("code")).alias("series_id"), F.lit(source).alias("source"), T.period_end(F.col("date"), F.col("freq")).alias("date"), T.period_start(F.col("date"), F.col("freq")).alias("period_start"), T.period_end(F.col("date"), F.col("freq")).alias("period_end"),
         "value", "freq", "unit", code_dims(F.col("code")).alias("dims"), F.concat("code", F.lit(".json")).alias("source_file"),
     )
-    out = sinks.keep_last(out, ["series_id", "date"], "period_end")
+    out = sinks.keep_last(out, ["series_id", "date"], "_read").drop("_read")  # of a period's readings the one dated last
     return out if existing is None else sinks.merge_last(existing.select(*OBS), out.select(*OBS), ["series_id", "date"])
 
 

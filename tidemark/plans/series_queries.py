@@ -248,11 +248,16 @@ def geo_quality(spark, d):
     return rounded(gold.geo_quality(X.geo_rows(spark, d), {"province": "province"}, "GEO:good", "GEO:bad"), 2, bad_ratio=6)
 
 
-_CHANGED = f"""c AS (SELECT dims, date, value, (value - m) / NULLIF(abs(m), 0) AS p FROM (SELECT *, CASE WHEN {_MDIFF.format(n=1)} = 1 THEN lag(value) OVER w END AS m FROM flow_m WINDOW w AS (PARTITION BY series_id, dims ORDER BY date)) AS t WHERE date < DATE '2001-08-01')"""
+_CHANGED = f"""c AS (SELECT dims, date, value, (value - m) / NULLIF(abs(m), 0) AS p FROM (SELECT *, CASE WHEN {_MDIFF.format(n=1)} = 1 THEN lag(value) OVER w END AS m FROM flow_m WINDOW w AS (PARTITION BY series_id, dims ORDER BY date)) AS t WHERE date < (SELECT max(date) FROM flow_m))"""
+
+
+def _open_month(spark, d):
+    """The end of the last month that has orders: it may not be whole, so it is left out."""
+    return X.table(spark, d, "orders").agg(F.last_day(F.to_date(F.max("o_orderdate")))).scalar()
 
 
 def _changed(spark, d):
-    return change.periodic(X.flow_m(spark, d)).where(F.col("date") < F.lit("2001-08-01").cast("date")).select("dims", "date", "value", "mom_pct")
+    return change.periodic(X.flow_m(spark, d)).where(F.col("date") < _open_month(spark, d)).select("dims", "date", "value", "mom_pct")
 
 
 @query(
@@ -280,12 +285,12 @@ def anomaly_zscore(spark, d):
 
 
 def _two(spark, d):
-    orders = X.table(spark, d, "orders").withColumn("date", F.last_day(F.to_date("o_orderdate"))).where("date < date'2001-08-01'").groupBy("date").agg(F.count("*").cast("double").alias("n"), F.avg("o_totalprice").alias("ticket"), F.sum("o_totalprice").alias("revenue"))
+    orders = X.table(spark, d, "orders").withColumn("date", F.last_day(F.to_date("o_orderdate"))).where(F.col("date") < _open_month(spark, d)).groupBy("date").agg(F.count("*").cast("double").alias("n"), F.avg("o_totalprice").alias("ticket"), F.sum("o_totalprice").alias("revenue"))
     items = X.table(spark, d, "lineitem").withColumn("date", F.last_day(F.to_date("l_shipdate"))).groupBy("date").agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
     return orders, items
 
 
-_TWO = """o AS (SELECT last_day(CAST(o_orderdate AS DATE)) AS date, CAST(count(*) AS DOUBLE) AS n, avg(o_totalprice) AS ticket, sum(o_totalprice) AS revenue FROM orders WHERE last_day(CAST(o_orderdate AS DATE)) < DATE '2001-08-01' GROUP BY 1),
+_TWO = """o AS (SELECT last_day(CAST(o_orderdate AS DATE)) AS date, CAST(count(*) AS DOUBLE) AS n, avg(o_totalprice) AS ticket, sum(o_totalprice) AS revenue FROM orders WHERE last_day(CAST(o_orderdate AS DATE)) < (SELECT last_day(CAST(max(o_orderdate) AS DATE)) FROM orders) GROUP BY 1),
  i AS (SELECT last_day(CAST(l_shipdate AS DATE)) AS date, avg(l_extendedprice / l_quantity) AS price FROM lineitem GROUP BY 1), p AS (SELECT o.date, o.revenue AS a, i.price AS b, n, ticket FROM o JOIN i ON o.date = i.date)"""
 
 
@@ -358,10 +363,10 @@ def deflate_summary(spark, d):
 
 
 def _whole_months(spark, d):
-    return X.flow_m(spark, d).where(F.col("date") < F.lit("2001-08-01").cast("date"))
+    return X.flow_m(spark, d).where(F.col("date") < _open_month(spark, d))
 
 
-_SMOOTH = """s AS (SELECT dims, date, value, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY dims) AS n, sum(value) OVER (PARTITION BY dims ORDER BY date ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3 AS smooth FROM flow_m WHERE date < DATE '2001-08-01' WINDOW w AS (PARTITION BY dims ORDER BY date))"""
+_SMOOTH = """s AS (SELECT dims, date, value, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY dims) AS n, sum(value) OVER (PARTITION BY dims ORDER BY date ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3 AS smooth FROM flow_m WHERE date < (SELECT max(date) FROM flow_m) WINDOW w AS (PARTITION BY dims ORDER BY date))"""
 _TURNS = f"""{_SMOOTH}, x AS (SELECT *, max(smooth) OVER v AS hi, min(smooth) OVER v AS lo FROM s WINDOW v AS (PARTITION BY dims ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
  e AS (SELECT *, CASE WHEN smooth = hi THEN 'peak' ELSE 'trough' END AS kind FROM x WHERE i >= 2 AND i < n - 2 AND (smooth = hi OR smooth = lo)),
  g AS (SELECT *, sum(t) OVER (PARTITION BY dims ORDER BY i) AS run FROM (SELECT *, CASE WHEN lag(kind) OVER (PARTITION BY dims ORDER BY i) IS DISTINCT FROM kind THEN 1 ELSE 0 END AS t FROM e)),

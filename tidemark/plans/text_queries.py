@@ -163,9 +163,9 @@ def injection_flags(spark, d):
     return rows.select("conv_id", "turn", TX.injection_phrases(F.concat(F.coalesce("text", F.lit("")), F.lit(" You are now. "), "role")).alias("phrases"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') AS collapsed, trim(regexp_replace(substring(text, 1, 2000), '(?i)<\\|im_start\\|>|<\\|im_end\\|>|\\[INST\\]|\\[/INST\\]|<system>|</system>|<\\|system\\|>', '', 'g'), ' ') AS cleaned FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') AS collapsed, trim(regexp_replace(text, '(?i)<\\|im_start\\|>|<\\|im_end\\|>|\\[INST\\]|\\[/INST\\]|<system>|</system>|<\\|system\\|>', '', 'g'), ' ') AS cleaned FROM documents")
 def text_clean(spark, d):
-    return X.table(spark, d, "documents").select("doc_id", TX.collapse(F.col("text")).alias("collapsed"), TX.clean_input(F.col("text")).alias("cleaned"))
+    return X.table(spark, d, "documents").select("doc_id", TX.collapse(F.col("text")).alias("collapsed"), TX.clean_input(F.col("text"), most=None).alias("cleaned"))
 
 
 @query("SELECT doc_id, list_sort(list_distinct([x for x in regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') if length(x) > 1])) AS tokens FROM documents")
@@ -204,13 +204,14 @@ def dimension_choice(spark, d):
 
 @query("SELECT 'gold_revenue' AS gold_table, replace(lower(s_name), '#', '_') AS gold_column, 'ORDERS:by_supplier' AS source_series, 'supplier = ' || s_name AS source_filter, 'slice' AS transformation, 'usd' AS unit FROM supplier")
 def lineage_rows(spark, d):
-    names = [r["s_name"] for r in X.table(spark, d, "supplier").select("s_name").distinct().orderBy("s_name").collect()]  # a spec names its columns
-    return gold.lineage(spark, "gold_revenue", {n.lower().replace("#", "_"): gold.Slice("ORDERS:by_supplier", "supplier", n, "usd") for n in names})
+    s = X.table(spark, d, "supplier")
+    slices = s.select(F.replace(F.lower("s_name"), F.lit("#"), F.lit("_")).alias("gold_column"), F.lit("ORDERS:by_supplier").alias("series_id"), F.lit("supplier").alias("key"), F.col("s_name").alias("value"), F.lit("usd").alias("unit"))
+    return gold.lineage_of(slices, "gold_revenue")
 
 
 @query()
 def grounding_audit(spark, d):
-    said = X.table(spark, d, "conversations").where("conv_id is not null")
+    said = X.table(spark, d, "conversations")
     answers = said.where("role = 'assistant'").select("conv_id", "text")
     evidence = said.where("role <> 'assistant'").select("conv_id", F.col("role").alias("source"), "text")
     return rounded(grounding.audit(answers, evidence, "conv_id"))
@@ -261,20 +262,16 @@ def ragged_csv(spark, d):
     return rounded(read.groupBy(F.col("cells")["status"].alias("file_status")).agg(F.count("*").alias("n_rows"), F.sum(total).alias("total")), 2)
 
 
-@query(X.sql("SELECT 'TP.' || json_extract_string(dims, '$.region') AS code, date, round(value, 2) AS value FROM (SELECT dims, CAST(date_trunc('month', date) AS DATE) AS date, value FROM flow_m WHERE json_extract_string(dims, '$.region') <> 'MIDDLE EAST')", "flow_m"))
+@query(X.sql("SELECT 'TP.' || replace(json_extract_string(dims, '$.region'), ' ', '.') AS code, date, round(value, 2) AS value FROM (SELECT dims, CAST(date_trunc('month', date) AS DATE) AS date, value FROM flow_m)", "flow_m"))
 def json_series(spark, d):
     path = folder(spark, "series")
-    rows = X.flow_m(spark, d).withColumn("region", D.get(F.col("dims"), "region")).where("region <> 'MIDDLE EAST'")
-    record = F.to_json(F.map_from_arrays(F.array(F.lit("Tarih"), F.concat(F.lit("TP_"), "region")), F.array(F.date_format("date", "yyyy-M"), F.format_string("%.2f", "value"))))
-    files = rows.groupBy("region").agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ","), F.lit("]")).alias("value"))
-    for r in files.collect():  # one file for each of a few regions
-        spark.createDataFrame([(r["value"],)], "value string").coalesce(1).write.text(f"{path}/{r['region']}")
-    out = None
-    for r in files.select("region").collect():
-        text = readers.series_json(spark, f"{path}/{r['region']}/part-*")
-        one = text.select(F.lit("TP." + r["region"]).alias("code"), "date", "value")
-        out = one if out is None else out.unionByName(one)
-    return rounded(out, 2)
+    code = F.concat(F.lit("TP."), F.replace(D.get(F.col("dims"), "region"), F.lit(" "), F.lit(".")))
+    rows = X.flow_m(spark, d).withColumn("code", code)
+    record = F.to_json(F.map_from_arrays(F.array(F.lit("Tarih"), F.replace("code", F.lit("."), F.lit("_"))), F.array(F.date_format("date", "yyyy-M"), F.format_string("%.2f", "value"))))
+    # Files of bounded size, a year of a series each, written by the executors; each is an array of records under its series' name.
+    files = rows.groupBy("code", F.year("date").alias("y")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ","), F.lit("]")).alias("value"))
+    files.write.partitionBy("code", "y").text(path)
+    return rounded(readers.series_json(spark, path, folder_key="code").select("code", "date", "value"), 2)
 
 
 @query(
@@ -312,7 +309,7 @@ def stream_ingest_dedupe(spark, d):
     stream = _events(spark, d).select("event_id", "ts", "user_id", "event_type")
     twice = stream.unionByName(stream)  # overlapping pages: every event arrives twice
     sink = folder(spark, "sink")
-    jobs.run_to_end(jobs.first_by_key(twice, ["event_id"], "ts", "30 days"), sink, folder(spark, "progress"))
+    jobs.run_to_end(jobs.first_by_key(twice, ["event_id"], "ts"), sink, folder(spark, "progress"))
     return spark.read.parquet(sink).select("event_id", "user_id", "event_type")
 
 
@@ -320,7 +317,7 @@ def stream_ingest_dedupe(spark, d):
 def stream_daily_align(spark, d):
     stream = _events(spark, d)
     sink = folder(spark, "days")
-    jobs.align_to_end(jobs.daily_sums(stream, "ts", ["event_type"], "value", "40 days"), sink, folder(spark, "progress"))
+    jobs.align_to_end(jobs.daily_sums(stream, "ts", ["event_type"], "value"), sink, folder(spark, "progress"))
     return rounded(jobs.monthly_from_updates(spark, sink, ["event_type"]))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -128,14 +129,17 @@ def page_images(pages: DataFrame) -> DataFrame:
 def bulletin_tables(pages: DataFrame, date: str | None = None) -> DataFrame:
     """(page_id, row_index, item, variable, value_raw, value, report_date, date_mismatch): cells of a page's table, the first row naming the columns.
 
-    The date is the first written-out one on the page; date_mismatch tells whether it differs from ``date``.
+    The date is the first written-out one on the page, wherever it stands; date_mismatch tells whether it differs from ``date``.
     """
+    written_out = re.compile(r"\d{1,2}\s+[^\W\d_]+\s+\d{4}")
 
     def rows(page_id, url, p):
-        text, table = " ".join(p.text), [r for r in p.rows if r]
+        table = [r for r in p.rows if r]
+        said = (m.group() for m in written_out.finditer(" ".join(p.text)))
+        day = next((x for x in said if x.split()[1].translate(T.TURKISH).lower() in T.MONTHS), None)
         for i, row in enumerate(table[1:]):
             for name, cell in list(zip(table[0], row))[1:]:
-                yield page_id, i, row[0], name, cell, text[:4000]
+                yield page_id, i, row[0], name, cell, day
 
     cells = _map(pages, rows, "page_id long, row_index long, item string, variable string, value_raw string, page string")
     out = cells.withColumns({"report_date": T.parse_month_name_date(F.col("page")), "value": N.tr_number(F.col("value_raw"))}).drop("page")

@@ -17,12 +17,13 @@ VALUE_KEYS = ["value", "deger", "değer", "close", "kapanis", "kapanış"]
 DELIMITERS = [";", ",", "\t", "|"]
 
 
-def series_json(spark: SparkSession, path: str) -> DataFrame:
-    """(code, date_text, value_text, value, date) of files with one series each, an array of records; the code is the file's name.
+def series_json(spark: SparkSession, path: str, folder_key: str | None = None) -> DataFrame:
+    """(code, date_text, value_text, value, date) of files with one series each, an array of records; the code is the file's name, or its folder's ``folder_key=``.
 
     The value stands under the code with dots as underscores, else under the first key that is none of the known others.
     """
-    text = spark.read.text(path, wholetext=True).select("value", F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1).alias("code"))
+    code = F.col(folder_key).cast("string") if folder_key else F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1)
+    text = spark.read.text(path, wholetext=True).select("value", code.alias("code"))
     rows = text.select("code", F.explode(F.from_json("value", "array<map<string,string>>")).alias("r"))
     own = F.try_element_at("r", F.replace("code", F.lit("."), F.lit("_")))
     other = F.try_element_at("r", F.get(F.filter(F.map_keys("r"), lambda k: ~k.isin(NOT_VALUES)), F.lit(0)))
@@ -144,11 +145,10 @@ def flatten_json(docs: DataFrame, key: str, json: str, root: str = "Json", depth
     """
     level = docs.select(F.col(key), F.lit(root).alias("field"), F.try_parse_json(F.col(json)).alias("v")).where("v is not null")
     for _ in range(depth):
-        level.createOrReplaceTempView("_nested")
-        level = level.sparkSession.sql(f"SELECT n.`{key}`, n.field AS path, n.v AS whole, e.pos, e.key AS k, e.value AS part FROM _nested n, LATERAL variant_explode_outer(n.v) e")
+        parts = level.sparkSession.tvf.variant_explode_outer(F.col("v").outer())
+        level = level.lateralJoin(parts).select(F.col(key), F.col("field").alias("path"), F.col("v").alias("whole"), "pos", F.col("key").alias("k") if key != "key" else parts["key"].alias("k"), F.col("value").alias("part"))
         leaf = F.col("pos").isNull()
         level = level.select(key, F.when(leaf, F.col("path")).otherwise(_join_path(F.col("path"), F.col("k"), F.col("pos"))).alias("field"), F.when(leaf, F.col("whole")).otherwise(F.col("part")).alias("v"))
-    docs.sparkSession.catalog.dropTempView("_nested")
     raw = F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v"))
     leaves = level.select(key, "field", raw.alias("value_raw")).where("value_raw is null or value_raw not in ('{}', '[]')")
     return leaves.withColumn("value", N.source_number(F.col("value_raw")))

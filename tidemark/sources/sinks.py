@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 
 
 def keep_last(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The row of each key with the largest ``order``, as one aggregation."""
+    """The row of each key with the largest ``order``, as one aggregation; of equal ones the one with the largest digest, so that reruns agree."""
     rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_row")).select(*keys, "_row.*").select(*rows.columns)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, F.xxhash64(*rest), F.to_json(F.struct(*rest)))).alias("_row")).select(*keys, "_row.*").select(*rows.columns)
 
 
-def merge_last(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Both tables' rows, ``new`` ones in place of existing ones with their key."""
-    both = existing.withColumn("_seq", F.lit(0)).unionByName(new.withColumn("_seq", F.lit(1)), allowMissingColumns=True)
-    return keep_last(both, keys, "_seq").drop("_seq")
+def merge_last(existing: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Both tables' rows, ``new`` ones in place of existing ones with their key; of several new ones that with the largest ``order``."""
+    known = lambda df: F.col(order) if order and order in df.columns else F.lit(None)
+    seq = lambda df, n: df.withColumn("_seq", F.struct(F.lit(n).alias("table"), known(df).cast("string").alias("at")))
+    return keep_last(seq(existing, 0).unionByName(seq(new, 1), allowMissingColumns=True), keys, "_seq").drop("_seq")
 
 
 def replace_series(existing: DataFrame, new: DataFrame, key: str = "series_id") -> DataFrame:

@@ -23,8 +23,14 @@ def run_to_end(stream: DataFrame, sink: str, checkpoint: str, mode: str = "appen
     q.awaitTermination()
 
 
-def first_by_key(stream: DataFrame, keys: list[str], time: str, lateness: str) -> DataFrame:
-    """The first arrival of each key; keys are forgotten once the watermark has passed them by ``lateness``."""
+def first_by_key(stream: DataFrame, keys: list[str], time: str, lateness: str | None = None) -> DataFrame:
+    """The first arrival of each key; keys are forgotten once the watermark has passed them by ``lateness``, never without one.
+
+    A live stream needs a lateness, which bounds the state; rows later than that are dropped. A finished table whose files
+    come in no order of time must not have one.
+    """
+    if lateness is None:
+        return stream.dropDuplicates(keys)
     return stream.withWatermark(time, lateness).dropDuplicatesWithinWatermark(keys)
 
 
@@ -44,9 +50,9 @@ def newest(spark: SparkSession, sink: str, keys: list[str], order: str) -> DataF
     return best.drop("_at", "batch")
 
 
-def daily_sums(stream: DataFrame, time: str, keys: list[str], value: str, lateness: str) -> DataFrame:
-    """(keys, date, value, n) by day, updated as rows arrive; days older than the watermark are final."""
-    days = stream.withWatermark(time, lateness).groupBy(F.window(time, "1 day"), *keys).agg(F.sum(value).alias("value"), F.count("*").alias("n"))
+def daily_sums(stream: DataFrame, time: str, keys: list[str], value: str, lateness: str | None = None) -> DataFrame:
+    """(keys, date, value, n) by day, updated as rows arrive; with a ``lateness`` days older than the watermark are final and later rows dropped."""
+    days = (stream if lateness is None else stream.withWatermark(time, lateness)).groupBy(F.window(time, "1 day"), *keys).agg(F.sum(value).alias("value"), F.count("*").alias("n"))
     return days.select(*keys, F.to_date("window.start").alias("date"), "value", "n")
 
 
