@@ -209,13 +209,18 @@ def _compare(keyed: DataFrame, radius: int, bucket_rows: int, n_pivots: int) ->
 def links_within(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS, n_pivots: int = N_PIVOTS) -> DataFrame:
     """(u, v) links over the distinct ``fp`` of ``fps`` whose components are those of all pairs within ``radius`` bits."""
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    keyed, links = cell_rows(fps, radius, n_pivots), None
+    cells = cell_rows(fps, radius, n_pivots)
+    # Distances crowd about their mean, so a middle cell may hold a tenth of all rows: crowded cells are told by their counts
+    # and never meet in a task. There are at most (64 / CELL + 1) ** CELL_PIVOTS cells.
+    crowded = F.broadcast(written(cells.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows).select("key"), "crowded"))
+    full = written(cells.join(crowded, "key", "left_semi").select(F.col("fp").alias("u"), "mask").distinct(), "full")
+    keyed, links = cells.join(crowded, "key", "left_anti").select("mask", "key", "fp"), None
     while True:
         keyed = keyed.repartition(shuffle_parts(fps.sparkSession), "mask", "key").sortWithinPartitions("mask", "key")
         found = written(_compare(keyed, radius, bucket_rows, n_pivots), "pairs")
         here = found.where("mask is null").select("u", "v")
+        full = found.where("mask is not null").select("u", "mask") if links is not None else full
         links = here if links is None else links.union(here)
-        full = found.where("mask is not null")
         used = [r["mask"] for r in full.select("mask").distinct().collect()]  # masks, of which a level has few hundred
         if not used:
             return links
@@ -265,7 +270,7 @@ def components_of(fps: DataFrame, radius: int = RADIUS, **options) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, **options) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text).
+    """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text). Long texts are read in pieces; other columns are not read; an empty table gives an empty one.
 
     component_id is the smallest non-null doc_id of the component, null if it has none; null and empty texts have
     fingerprint zero and link like others. Repeated rows appear as often as they came.
