@@ -53,3 +53,45 @@ def test_odd_rows(spark, odd, none, sf):
     assert len(out) == odd.count() and all(r["keep"] for r in out)
     assert quality.kept(odd, labels).columns == odd.columns and quality.kept(odd, labels).count() == odd.count()
     assert quality.resample(none, labels).count() == 0 and quality.resample(odd, labels.limit(0)).count() == odd.count()
+
+
+def test_log_weights_as_plain_python(spark, sf, texts):
+    """Counts of both models and every document's log weight, recomputed word by word."""
+    import math
+    from collections import Counter
+
+    from plain import ngram_hash, word_hash, words
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    known = {}
+
+    def buckets(text):
+        h = [known.setdefault(w, word_hash(w)) for w in words(text)]
+        return [x % 1000 for x in h] + [ngram_hash(h[k : k + 2]) % 1000 for k in range(len(h) - 1)]
+
+    of = {i: Counter(buckets(t)) for i, t in texts.items()}
+    raw, target = Counter(), Counter()
+    for i, c in of.items():
+        raw.update(c)
+        if i % 3 == 0:
+            target.update(c)
+    got_raw, got_target = quality.bucket_counts(docs, 2, 1000), quality.bucket_counts(docs.where("doc_id % 3 = 0"), 2, 1000)
+    assert all(got_raw[b] == raw[b] and got_target[b] == target[b] for b in range(1000))
+    n, m = sum(raw.values()), sum(target.values())
+    p_raw = [(raw[b] + 1) / (n + 1000) for b in range(1000)]
+    ratio = [math.log((target[b] + quality.PRIOR * 1000 * p_raw[b]) / (m + quality.PRIOR * 1000)) - math.log(p_raw[b]) for b in range(1000)]
+    out = quality.with_weights(quality.noised(docs, 1).drop("whole"), quality.log_ratio(got_target, got_raw), 2, 1, ["doc_id"])
+    for r in out.collect():
+        assert math.isclose(r["log_weight"], sum(c * ratio[b] for b, c in of[r["doc_id"]].items()), rel_tol=1e-9, abs_tol=1e-6)
+
+
+def test_a_long_text_in_pieces_weighs_as_a_whole(spark):
+    text = " ".join(f"w{k % 4999}" for k in range(600_000))  # over three pieces
+    ratio = quality.log_ratio(quality.np.arange(1.0, 101.0), quality.np.arange(100.0, 0.0, -1.0))
+    from tidemark.llm.common import Words
+
+    data = quality.np.frombuffer(text.encode(), quality.np.uint8)
+    whole = Words(data, quality.np.array([0, len(data)]), True)
+    want = ratio[quality.features(whole, 2, 100)[1]].sum()
+    out = quality.with_weights(quality.noised(spark.createDataFrame([(1, text)], "doc_id long, text string"), 1).drop("whole"), ratio, 2, 1, ["doc_id"]).first()
+    assert abs(out["log_weight"] - want) < 1e-6 * abs(want) + 1e-6

@@ -58,3 +58,27 @@ def test_odd_rows(spark, odd, none):
     assert toxicity.graded(odd, None).where("expected_severity > 0").count() == 0
     messy = spark.createDataFrame([(None, 1, 1), (1, 1, None), (2, 0, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
     assert toxicity.fit(docs, messy) is None
+
+
+def test_exceedances_as_plain_python(spark, sf, texts):
+    """The score of every document from its words and their beginnings, one by one, under the fitted weights."""
+    import math
+
+    from plain import word_hash, words
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    weight = dict(zip(model.selected.hashes.tolist(), model.weights.tolist()))
+    known = {}
+
+    def features(w):
+        return {word_hash(w)} | {word_hash(w[:n]) ^ n for n in toxicity.PREFIXES if len(w) > n}
+
+    for r in toxicity.graded(docs, model).collect():
+        mine = set()
+        for w in set(words(texts[r["doc_id"]])):
+            mine |= known.setdefault(w, features(w))
+        score = sum(weight.get(h, 0.0) for h in mine)
+        want = [1 / (1 + math.exp(c - score)) for c in model.cuts]
+        assert all(math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9) for a, b in zip(r["exceed"], want))
+        assert math.isclose(r["expected_severity"], sum(want), rel_tol=1e-9) and r["toxic"] == (want[0] >= 0.5)
