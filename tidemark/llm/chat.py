@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The vocabulary file, which every executor must find at this path; ``tokenizer`` or TIDEMARK_TOKENIZER names another.
+TOKENIZER = os.environ.get("TIDEMARK_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Tokens after which a pack is closed, before the next conversation; one conversation always stays whole.
 PACK_TOKENS = 65_536
 #: Characters of conversations that a task packs, between two cuts of the sorted order.
@@ -158,6 +160,8 @@ def packed(turns: DataFrame, tokenizer: str = TOKENIZER, pack_tokens: int = PACK
     Conversations are sorted by their turns' hashes over the whole table, so that those with equal beginnings stand
     together, and packed in that order. A tree ends, and is carried on in the next pack with the path that both need, when
     a pack is full or a partition ends: shared turns stand once in a pack, and no tree has to fit into one task.
+    Repeated turns all stand, by role and text; a null conv_id is one conversation, held in one task like any other, however
+    long. Columns of other names are not read; an empty table gives no packs.
     Columns: input_ids, position_ids (of a node's tokens, counted from its root), loss_spans (of assistants' texts),
     nodes (parent, start, end, and the intervals that it attends to, its own last), leaves (conv_id and its last node).
     """

@@ -237,7 +237,9 @@ def scored(docs: DataFrame, seed: int = 2, block_bytes: int = BLOCK_BYTES, part_
     Training documents are those whose crc32(doc_id as text) mod 5 is not 1; a null doc_id trains too. A-Z are lowered,
     words are split at ASCII white space, and an end follows each text; a null text is empty, which leaves its end.
     n_known: tokens seen in training; base_score: log10 of add-half unigram probabilities; score: log10 of the model's.
-    Without training documents both are those of one unseen token type. Repeated rows count, and are scored, each.
+    Without training documents both are those of one unseen token type. Repeated rows count, and are scored, each; they
+    are dealt to one block, as is a text of any length, whose tokens (some 60 bytes for a word) a task holds at once. There
+    are no ties. Other columns are not read; an empty table gives an empty one.
     """
     base = docs.select("doc_id", text_or_empty().alias("text"))
     base = base.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False)))

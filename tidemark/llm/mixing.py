@@ -122,7 +122,8 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_copies: in
 
     copies: how often the mix takes the document; taken: its words in the mix. A null text has size 0 and is not taken; a
     null source is a source, the last one. Sources without words have target 0. Equal rows are interchangeable. The same
-    rows and seed give the same mix, however they are partitioned. max_copies is at least ``share``, or nothing could fit.
+    rows and seed give the same mix, however they are partitioned; documents that draw the same number stand by doc_id. Texts
+    are only counted, however long. Columns but ``carry`` are not read; an empty table gives an empty one. max_copies is at least ``share``, or nothing could fit.
     """
     if max_copies < share:
         raise ValueError("sources cannot hold the mix: max_copies is below share")

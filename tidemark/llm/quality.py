@@ -156,7 +156,8 @@ def resample(
     k: how many to keep; without it, as many as have a log weight above the cut that best parts the labelled rows.
     A null or empty text has log weight 0. Equal rows draw the same noise and share a decision; ties at the k-th key all
     stay, so more than k rows can. Without labelled good rows the target is the raw corpus, all weights are 0, and with
-    no k all rows stay. Rows with a null doc_id are weighed like any other and are never labelled.
+    no k all rows stay. Rows with a null doc_id are weighed like any other and are never labelled. Long
+    texts are weighed in pieces. Other columns are not read; an empty table gives an empty one.
     """
     _, scored, least = fitted(noised(docs, seed).drop("whole"), labels, k, n_gram, n_buckets, max_labelled, seed)
     return scored.withColumn("keep", F.col("sample_key") >= least)
