@@ -152,3 +152,30 @@ def test_search_checks_vectors_and_catalog_names(spark):
         catalog.catalog_table(spark, [catalog.Entry("a", "x", None, ""), catalog.Entry("a", "y", None, "")])
     df = catalog.described(rows, {"id": "the key"}, {"id": "count"})
     assert df.schema["id"].metadata == {"comment": "the key", "unit": "count"}
+
+
+def test_equal_orders_settle_alike(spark):
+    """Of rows with equal keys and orders one stays, the same one wherever the rows stand."""
+    from tidemark.sources import sinks
+
+    rows = [(k % 3, 7, f"v{k}") for k in range(30)]
+    kept = [{r["k"]: r["v"] for r in sinks.keep_last(spark.createDataFrame(x, "k int, at int, v string").repartition(n), ["k"], "at").collect()} for n, x in ((1, rows), (5, rows[::-1]))]
+    assert kept[0] == kept[1] and len(kept[0]) == 3
+    old, new = spark.createDataFrame([(1, "old"), (2, "old")], "k int, v string"), spark.createDataFrame([(2, "new", 1), (2, "newer", 2)], "k int, v string, seq int")
+    assert {r["k"]: r["v"] for r in sinks.merge_last(old, new, ["k"], "seq").collect()} == {1: "old", 2: "newer"}
+
+
+def test_rows_later_than_the_lateness_are_dropped_and_only_with_one(spark, tmp_path):
+    import time
+
+    from tidemark.streaming import jobs
+
+    path = str(tmp_path / "in")
+    for day in ("2001-06-01", "2001-06-02", "2001-01-01"):  # the last file is five months late; a batch drops by the watermark of the one before
+        spark.createDataFrame([("a", 1.0)], "k string, v double").selectExpr("k", "v", f"timestamp'{day} 12:00:00' AS ts").coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    schema = spark.read.parquet(path).schema
+    for lateness, want in ((None, 3), ("10 days", 2)):
+        sink = str(tmp_path / f"sink-{lateness}")
+        jobs.align_to_end(jobs.daily_sums(jobs.file_stream(spark, path, schema, files_per_batch=1), "ts", ["k"], "v", lateness), sink, str(tmp_path / f"progress-{lateness}"))
+        assert spark.read.parquet(sink).select("date").distinct().count() == want
