@@ -105,13 +105,13 @@ def test_a_group_is_one_text(spark):
     assert found.count() == 5 and found.where("size(chunks) > 60").count() == 0
 
 
-def shared_windows(rows, n=51):
-    """Ids of the rows that hold a window of ``n`` words, over five of them different, which stands elsewhere too."""
+def shared_windows(rows, n=51, different=6):
+    """Ids of the rows that hold a window of ``n`` words, so many of them different, which stands elsewhere too."""
     where = {}
     for i, t in rows:
         w = t.split()
         for k in range(len(w) - n + 1):
-            if len(set(w[k : k + n])) > 5:
+            if len(set(w[k : k + n])) >= different:
                 where.setdefault(" ".join(w[k : k + n]), []).append(i)
     return {i for ids in where.values() if len(ids) > 1 for i in ids}
 
@@ -137,7 +137,7 @@ def test_words_decide_what_a_passage_is_in_any_script(spark):
 
 
 def test_whole_table_as_all_windows(spark, sf, texts):
-    """Every text with a window of 51 words that stands elsewhere is found, but for windows of one phrase over and over."""
+    """Every text with a window of 51 words that stands elsewhere is found, but for windows of one phrase over and over, which may be; what is found holds such a window."""
     want = shared_windows(texts.items())
     got = {r["doc_id"] for r in chunks.dedup(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")).where("dedup.repeated").collect()}
-    assert len(want & got) >= 0.99 * len(want) and len(got - shared_windows(texts.items(), 40)) <= 0.01 * len(texts)
+    assert len(want & got) >= 0.99 * len(want) and len(got - shared_windows(texts.items(), 40, different=1)) <= 0.01 * len(texts)
