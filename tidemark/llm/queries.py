@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chunks, html_text, language_model, mixing, piecewise, quality, simhash, templates, toxicity
+from . import align_tokens, chat, chunks, exact, hard_negatives, html_text, language_model, mixing, piecewise, quality, simhash, templates, toxicity
 
 _SAID = "</s>[INST] ok [/INST]"
 
@@ -83,6 +83,47 @@ def op8_prefix_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.packed(turns.unionByName(extra)))
 
 
+@query
+def op11_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.marked(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_bloom_exact_dedup"] = """
+WITH d AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS x, length(coalesce(text, '')) AS n FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY x) AS group_size, row_number() OVER w = 1 AS kept, sha256(x) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY x ORDER BY n DESC, doc_id NULLS LAST)"""
+
+
+@query
+def op12_covering_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens.aligned(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_anchor_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op13_anchor_tree_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, v.vec_id, v.label, CAST(list_inner_product(a.v, v.v) AS BIGINT) AS score
+  FROM v AS a JOIN v ON a.vec_id % 100 = 0 AND a.vec_id <> v.vec_id
+),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = anchor_label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE label <> anchor_label AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10"""
+
+
 _CONTROL = "|".join(f"{re.escape(c[0])}\\\\*{re.escape(c[1:])}" for c in chat.CONTROL)
 #: Roles hold no backslash or line feed. A control string takes one character more when it is escaped.
 ORACLES["op8_prefix_tree_chat"] = f"""
