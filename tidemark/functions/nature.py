@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import METHODS
+from ..schema import ACCUMULATIONS, METHODS
 
 # What the nature of a series implies.
 METHOD_OF = {"stock": "last", "flow": "sum", "rate": "mean", "price": "mean"}
@@ -38,21 +40,68 @@ def display_policy(policy: Column, nature: Column) -> Column:
     return F.coalesce(F.nullif(policy, F.lit("")), implied)
 
 
-def classified(series: DataFrame, rules: DataFrame) -> DataFrame:
-    """``series`` with ``nature`` and ``alignment_override`` from the first rule that fits, else unclassified.
+#: Rules that are sent to all tasks for a look-up; more of them are joined without.
+BROADCAST_RULES = 100_000
+#: What a rule may ask of a series, besides its source.
+ASKED = ("category", "series_id", "id_suffix", "accumulates")
+
+
+@dataclass(frozen=True)
+class RuleIndex:
+    """Rules compiled into look-ups: one for each set of things that rules ask, keyed by their values.
 
-    rules: priority, source, category, series_id, id_suffix, accumulates (null fits all), nature, override. The rules are
-    code-sized; each series takes the fitting one with the smallest priority.
+    A suffix is asked by its length, so that it is a key like any other: every look-up is an equi-join, and no series meets
+    a rule that does not fit it.
     """
-    r = rules.select([F.col(c).alias(f"rule_{c}") for c in rules.columns])
-    fits = (
-        (F.col("source") == F.col("rule_source"))
-        & (F.col("rule_category").isNull() | (F.col("category") == F.col("rule_category")))
-        & (F.col("rule_series_id").isNull() | (F.col("series_id") == F.col("rule_series_id")))
-        & (F.col("rule_id_suffix").isNull() | F.col("series_id").endswith(F.col("rule_id_suffix")))
-        & (F.col("rule_accumulates").isNull() | ((F.coalesce("accumulation", F.lit("none")) != "none") == F.col("rule_accumulates")))
-    )
-    best = series.select("series_id", "source", "category", "accumulation").distinct().join(r, fits)
-    best = best.groupBy(F.col("series_id").alias("ruled_id")).agg(F.min_by(F.struct("rule_nature", "rule_override"), "rule_priority").alias("rule"))
-    out = series.drop("nature", "alignment_override").join(best, F.col("series_id") == F.col("ruled_id"), "left")
-    return out.withColumns({"nature": F.coalesce("rule.rule_nature", F.lit("unclassified")), "alignment_override": F.col("rule.rule_override")}).drop("ruled_id", "rule")
+
+    rules: DataFrame
+    shapes: list[tuple[tuple[str, ...], int]]
+    small: bool
+
+    @classmethod
+    def of(cls, rules: DataFrame) -> "RuleIndex":
+        """rules: priority, source, category, series_id, id_suffix, accumulates (null asks nothing), nature, override."""
+        shape = [F.col(c).isNotNull().alias(c) for c in ASKED]
+        found = rules.groupBy(*shape, F.coalesce(F.length("id_suffix"), F.lit(0)).alias("length")).agg(F.count("*").alias("n")).collect()  # a row for each shape
+        return cls(rules, sorted((tuple(c for c in ASKED if r[c]), r["length"]) for r in found), sum(r["n"] for r in found) <= BROADCAST_RULES)
+
+    def look_up(self, series: DataFrame) -> DataFrame:
+        """``series`` (series_id, source, category, accumulation) with ``rule``: (priority, nature, override) of the fitting rule with the smallest priority, or null.
+
+        Equal priorities go by nature, then override.
+        """
+        out, found = series, []
+        for k, (asked, length) in enumerate(self.shapes):
+            fits = F.lit(True)
+            for c in ASKED:
+                fits = fits & (F.col(c).isNotNull() if c in asked else F.col(c).isNull())
+            if "id_suffix" in asked:
+                fits = fits & (F.length("id_suffix") == length)
+            own = {"category": F.trim("category"), "series_id": F.col("series_id"), "id_suffix": F.right("series_id", F.lit(length)), "accumulates": F.coalesce("accumulation", F.lit("none")) != "none"}
+            keys = ["source", *asked]
+            best = self.rules.where(fits).groupBy(*keys).agg(F.min(F.struct("priority", "nature", "override")).alias(f"_rule{k}"))
+            best = best.select(*[F.col(c).alias(f"_{k}_{c}") for c in keys], f"_rule{k}")
+            asking = {c: own[c] if c != "source" else F.col("source") for c in keys}
+            out = out.withColumns({f"_ask{k}_{c}": v for c, v in asking.items()})
+            on = [F.col(f"_ask{k}_{c}") == F.col(f"_{k}_{c}") for c in keys]
+            out = out.join(F.broadcast(best) if self.small else best, on, "left").drop(*[f"_{k}_{c}" for c in keys], *[f"_ask{k}_{c}" for c in keys])
+            found.append(f"_rule{k}")
+        none = F.lit(None).cast("struct<priority:int,nature:string,override:string>")
+        rule = F.array_min(F.filter(F.array(*found), lambda r: r.isNotNull())) if found else none
+        return out.withColumn("rule", rule).drop(*found)
+
+
+def classified(series: DataFrame, rules: DataFrame | RuleIndex) -> DataFrame:
+    """``series`` with ``nature`` and ``alignment_override`` from the fitting rule with the smallest priority, else unclassified."""
+    index = rules if isinstance(rules, RuleIndex) else RuleIndex.of(rules)
+    out = index.look_up(series.drop("nature", "alignment_override"))
+    return out.withColumns({"nature": F.coalesce("rule.nature", F.lit("unclassified")), "alignment_override": F.col("rule.override")}).drop("rule")
+
+
+def with_accumulation(series: DataFrame, registry: DataFrame) -> DataFrame:
+    """``series`` with ``accumulation`` and ``is_cumulative`` from a registry (series_id, accumulation); what is not in it does not accumulate."""
+    known = registry.groupBy(F.col("series_id").alias("_id")).agg(F.max("accumulation").alias("_kind"), F.count_distinct("accumulation").alias("_n"))
+    kind = F.when(F.col("_n") == 1, F.col("_kind")).otherwise(F.raise_error(F.concat(F.lit("the registry has several accumulations of "), F.col("_id"))).cast("string"))
+    kind = F.when(F.col("_id").isNotNull(), F.when(F.col("_kind").isin(*ACCUMULATIONS), kind).otherwise(F.raise_error(F.concat(F.lit("unknown accumulation "), F.col("_kind"))).cast("string"))).otherwise("none")
+    out = series.drop("accumulation", "is_cumulative").join(known, F.col("series_id") == F.col("_id"), "left").withColumn("accumulation", kind)
+    return out.withColumn("is_cumulative", F.col("accumulation") != "none").drop("_id", "_kind", "_n")

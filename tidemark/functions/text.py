@@ -74,9 +74,23 @@ def clean_input(text: Column, most: int | None = MAX_INPUT) -> Column:
     """The first ``most`` characters (all if None, as for tables of whole texts), rid of control tokens and of the tags that mark foreign text."""
     out = text if most is None else F.substring(text, 1, most)
     out = F.regexp_replace(out, "(?i)" + "|".join("\\Q" + t + "\\E" for t in CONTROL_TOKENS), "")
-    for name in STRUCTURAL_TAGS:  # opening or closing, with blanks or attributes
-        out = F.regexp_replace(out, rf"(?i)<\s*(?:/\s*)?{name}(?:\s[^>]*|/)?>", "")
-    return F.trim(out)
+    return F.trim(without_tags(out, STRUCTURAL_TAGS))
+
+
+def without_tags(text: Column, names: list[str]) -> Column:
+    """``text`` without tags of these names, opening or closing, with blanks or attributes, in any case.
+
+    What stands between a ``<`` and the next ``>`` is a tag; its first word, slashes aside, is its name.
+    """
+
+    def rest(part: Column) -> Column:
+        end = F.locate(">", part)
+        name = F.get(F.split(F.trim(F.regexp_replace(F.translate(F.left(part, end - 1), "/", " "), r"\s+", " ")), " "), F.lit(0))
+        tag = (end > 0) & F.lower(name).isin(*[n.lower() for n in names])
+        return F.when(tag, F.substr(part, end + 1)).otherwise(F.concat(F.lit("<"), part))
+
+    parts = F.split(text, "<")
+    return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), rest), ""))
 
 
 def injection_phrases(text: Column) -> Column:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import dot_tail_share, inline_number
+from .ranges import by_range, numbered
 
 
 def at_month(df: DataFrame, month: str | None, date: str = "date") -> DataFrame:
@@ -23,16 +23,20 @@ def entity_sums(df: DataFrame, entity: Column, metric: str) -> DataFrame:
 
 
 def ranked(sums: DataFrame) -> DataFrame:
-    """(entity, value, share_pct, rank, cumulative_pct) by falling value; one row for each entity."""
-    total = F.sum("value").over(W.partitionBy())
-    order = W.orderBy(F.desc("value"), "entity")
-    out = sums.withColumns({"share_pct": F.col("value") / total * 100, "rank": F.row_number().over(order)})
-    return out.withColumn("cumulative_pct", F.sum("share_pct").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    """(entity, value, share_pct, rank, cumulative_pct) by falling value; entities come in ranges, each ranked in its own task."""
+    order = [F.desc("value"), "entity"]
+    parts = by_range(sums.select("entity", "value"), order)
+    out = numbered(parts, order, number="rank", sums={"upto": "value"})
+    total = parts.agg(F.sum("value")).scalar()
+    return out.select("entity", "value", (F.col("value") / total * 100).alias("share_pct"), F.col("rank").cast("int").alias("rank"), (F.col("upto") / total * 100).alias("cumulative_pct"))
 
 
 def indices(sums: DataFrame) -> DataFrame:
     """(n_entities, total, cr3_pct, cr5_pct, hhi, level): the shares of the top three and five, and the sum of squared shares."""
-    top = lambda k: sums.orderBy(F.desc("value"), "entity").limit(k).agg(F.sum("value")).scalar()
+    most = sums.orderBy(F.desc("value"), "entity").limit(5).agg(F.sort_array(F.collect_list("value"), False).alias("vs"))  # five rows
+    first = lambda k: F.aggregate(F.slice("vs", 1, k), F.lit(0.0), lambda a, x: a + x)
+    most = most.select(F.struct(*[first(k).alias(f"top_{k}") for k in (3, 5)])).scalar()
+    top = lambda k: most[f"top_{k}"]
     out = sums.agg(F.count("*").alias("n_entities"), F.sum("value").alias("total"), F.sum(F.col("value") * F.col("value")).alias("squares"))
     out = out.select(
         "n_entities", "total", (top(3) / F.col("total") * 100).alias("cr3_pct"), (top(5) / F.col("total") * 100).alias("cr5_pct"), (F.col("squares") / F.col("total") / F.col("total") * 10_000).alias("hhi")

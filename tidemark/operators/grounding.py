@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,22 +13,73 @@ RELATIVE, ABSOLUTE = 0.01, 0.01
 SOURCES = ("tool", "result", "document")
 
 
-def _number_pattern() -> str:
-    """A number's grammar: a sign, digits in groups of three or without groups, and a fraction. Dots and commas part either."""
-    mark, sign = "[.,]", "-?"
-    grouped = rf"[0-9]{{1,3}}(?:{mark}[0-9]{{3}})+(?![0-9])"
-    return "|".join(f"{sign}{whole}(?:{mark}[0-9]+)?" for whole in (grouped, "[0-9]+"))
+#: Characters that a run of numbers is made of.
+RUN = "[0-9.,]+"
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _letter(c: Column) -> Column:
+    return c.rlike(r"^[\p{L}_]$")
+
+
+def without_dates(text: Column) -> Column:
+    """``text`` with a blank in place of each date: year and month, perhaps day, with hyphens; day, month and year with dots or slashes.
+
+    The text is cut where digits begin and end, and the lengths of the digit runs and what stands between them tell a date.
+    A letter, digit or underscore beside it makes it a part of a name.
+    """
 
+    def starts(pieces: Column, i: Column) -> Column:
+        """How many pieces from i on have the form of a date that begins with its year: 0, 3 or 5; -5 for one that ends with it."""
+        at = lambda k: F.coalesce(F.get(pieces, i + k), F.lit(""))
+        digits = lambda k, *n: at(k).rlike("^[0-9]") & F.length(at(k)).isin(*n)
+        apart = lambda k: ~_letter(F.left(at(k), F.lit(1)))
+        free = F.when(i > 0, ~_letter(F.right(at(-1), F.lit(1)))).otherwise(True)
+        month = digits(0, 4) & (at(1) == "-") & digits(2, 1, 2)
+        day = month & (at(3) == "-") & digits(4, 1, 2) & apart(5)
+        local = digits(0, 1, 2) & at(1).isin(".", "/") & digits(2, 1, 2) & at(3).isin(".", "/") & digits(4, 4) & apart(5)
+        return F.when(free & day, 5).when(free & month & apart(3), 3).when(free & local, -5).otherwise(0)
 
-def _date_pattern() -> str:
-    """Year, month and perhaps day with hyphens, or day, month and year with dots or slashes, no digit beside them."""
-    one_or_two, year = "[0-9]{1,2}", "[0-9]{4}"
-    iso = f"{year}-{one_or_two}(?:-{one_or_two})?"
-    local = f"{one_or_two}[./]{one_or_two}[./]{year}"
-    return rf"\b(?:{iso}|{local})\b"
+    def settled(forms: Column) -> Column:
+        """How many pieces from each on are a date: a year that ends one date begins no other, and what lies inside one doesn't either."""
+        at = lambda i: F.coalesce(F.get(forms, i), F.lit(0))
+        first = lambda i: F.when((at(i) > 0) & (at(i - 4) != -5), at(i)).otherwise(0)
+        return F.transform(forms, lambda n, i: F.when(n != -5, first(i)).when(F.greatest(*[first(i - k) - k for k in range(1, 5)]) > 0, 0).otherwise(5))
 
+    def blanked(pieces: Column, sizes: Column) -> Column:
+        inside = lambda i: F.coalesce(*[F.when(F.get(sizes, i - k) > k, F.lit(k)) for k in range(5)])  # noqa: E731  how far into a date
+        return F.array_join(F.transform(pieces, lambda p, i: F.coalesce(F.when(inside(i) > 0, "").when(inside(i) == 0, " "), p)), "")
 
-NUMBER, DATE = _number_pattern(), _date_pattern()
+    cut = F.split(text, "(?<=[0-9])(?![0-9])|(?<![0-9])(?=[0-9])")
+    return _let(cut, lambda pieces: _let(F.transform(pieces, lambda _, i: starts(pieces, i)), lambda forms: _let(settled(forms), lambda sizes: blanked(pieces, sizes))))
+
+
+def numbers_of(run: Column) -> Column:
+    """The numbers of a run of digits and marks, in order.
+
+    Groups of digits follow each other. One to three digits and then groups of three are one number with thousands; one more
+    group after them, or after a first group that no thousands follow, is its fraction. Then, or at a doubled mark, a new number begins.
+    """
+    parts = F.transform(F.split(run, "(?=[.,])"), lambda x: F.struct(F.when(x.rlike("^[.,]"), F.left(x, F.lit(1))).otherwise("").alias("mark"), F.translate(x, ".,", "").alias("digits")))
+    begin = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit("none").alias("phase"))
+
+    def step(state: Column, part: Column) -> Column:
+        digits, phase, now = part["digits"], state["phase"], state["now"]
+        three = F.length(digits) == 3
+        thousands = three & ((phase == "thousands") | ((phase == "whole") & (F.length(now) <= 3)))
+        joins = (digits != "") & phase.isin("whole", "thousands")
+        ended = F.when((now != "") & ~joins, F.array_append(state["done"], now)).otherwise(state["done"])
+        return F.struct(
+            ended.alias("done"),
+            F.when(joins, F.concat(now, part["mark"], digits)).otherwise(digits).alias("now"),
+            F.when(digits == "", "none").when(thousands, "thousands").when(joins, "ended").otherwise("whole").alias("phase"),
+        )
+
+    return F.aggregate(parts, begin, step, lambda s: F.when(s["now"] != "", F.array_append(s["done"], s["now"])).otherwise(s["done"]))
 
 
 def without_rules(text: Column) -> Column:
@@ -59,18 +112,28 @@ def readings(raw: Column) -> Column:
 def answer_numbers(text: Column) -> Column:
     """The numbers of an answer that are to be checked, each once, in order: no dates, table rules, parts of names, years or integers up to 12.
 
-    The match is atomic, so a number with a letter or underscore beside it is passed over whole; a hyphen after a digit is
-    no minus sign.
+    A number with a letter or underscore beside it is part of a name; a hyphen after a digit is no minus sign.
     """
-    t = F.regexp_replace(without_rules(F.coalesce(text, F.lit(""))), DATE, " ")
-    whole = rf"(?<![\p{{L}}_\d])(?<![\p{{L}}_]-)((?>{NUMBER}))(?![\p{{L}}_])"
+    t = without_dates(without_rules(F.coalesce(text, F.lit(""))))
+
+    def told(runs: Column, between: Column, run: Column, i: Column) -> Column:
+        before, after = F.get(between, i), F.left(F.get(between, i + 1), F.lit(1))
+        signed = before.endswith("-")
+        last = F.right(F.when(signed, F.left(before, F.length(before) - 1)).otherwise(before), F.lit(1))
+        digit_before = signed & (last == "") & (i > 0) & F.coalesce(F.get(runs, i - 1), F.lit("")).rlike("[0-9]$")
+        opens, closes = run.rlike("^[0-9]"), run.rlike("[0-9]$")
+        named = lambda found: F.transform(found, lambda n, k: F.when((k == 0) & opens & _letter(last), F.lit(None)).when((k == F.size(found) - 1) & closes & _letter(after), F.lit(None)).otherwise(F.when((k == 0) & opens & signed & ~digit_before, F.concat(F.lit("-"), n)).otherwise(n)))
+        return F.array_compact(_let(numbers_of(run), named))
+
     skipped = lambda x: x.rlike(r"^-?0*(\d|1[0-2])$") | x.rlike(r"^-?(19\d\d|20\d\d|2100)$")
-    return F.array_distinct(F.filter(F.regexp_extract_all(t, F.lit(whole), 1), lambda x: ~skipped(x)))
+    found = _let(t, lambda t: _let(F.regexp_extract_all(t, F.lit(f"({RUN})"), 1), lambda runs: _let(F.split(t, RUN), lambda between: F.flatten(F.transform(runs, lambda run, i: told(runs, between, run, i))))))
+    return F.array_distinct(F.filter(found, lambda x: ~skipped(x)))
 
 
 def evidence_numbers(text: Column) -> Column:
     """All values that the numbers of an evidence text can stand for."""
-    return F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({NUMBER})"), 1), readings)))
+    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({RUN})"), 1)
+    return F.array_distinct(F.flatten(F.transform(F.flatten(F.transform(runs, numbers_of)), readings)))
 
 
 def near(value: Column, candidate: Column) -> Column:
@@ -81,8 +144,8 @@ def audit(answers: DataFrame, evidence: DataFrame, key: str, sources: tuple[str,
     """(key, checked, grounded, ungrounded, ratio, by_source): the numbers of each answer (key, text) against its evidence (key, source, text).
 
     A number is grounded if a reading of it lies within tolerance of a reading in the evidence; it counts for the first
-    of ``sources`` that holds it, else for the first other one by name. Answers without numbers have ratio 1. Numbers meet their evidence
-    by key and by the power of two that they lie in, or next to, so no answer's numbers meet all of its evidence's.
+    of ``sources`` that holds it, else for the first other one by name. Answers without numbers have ratio 1; those without a key meet the
+    evidence without one. Numbers meet their evidence by key and by the power of two that they lie in, or next to, so no answer's numbers meet all of its evidence's.
     """
     asked = answers.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list(answer_numbers(F.col("text"))))).alias("raws"))
     each = asked.select(key, F.explode("raws").alias("raw")).select(key, "raw", F.explode(readings(F.col("raw"))).alias("v"))
@@ -90,14 +153,14 @@ def audit(answers: DataFrame, evidence: DataFrame, key: str, sources: tuple[str,
     each = each.select(key, "raw", "v", F.explode(F.sequence(band(F.col("v")) - 1, band(F.col("v")) + 1)).alias("band"))
     pool = evidence.select(F.col(key).alias("_key"), "source", F.explode(evidence_numbers(F.col("text"))).alias("c")).distinct()
     pool = pool.withColumn("_band", band(F.col("c")))
-    met = each.join(pool, (F.col(key) == F.col("_key")) & (F.col("band") == F.col("_band")) & near(F.col("v"), F.col("c")))
+    met = each.join(pool, F.col(key).eqNullSafe(F.col("_key")) & (F.col("band") == F.col("_band")) & near(F.col("v"), F.col("c")))
     place = F.array_position(F.array(*[F.lit(x) for x in sources]), F.col("source"))
     rank = F.struct(F.when(place > 0, place).otherwise(len(sources) + 1).alias("place"), "source")
     found = met.groupBy(key, "raw").agg(F.min(rank)["source"].alias("source"))
     sums = found.groupBy(F.col(key).alias("_found")).agg(F.collect_set("raw").alias("good"))
     split = found.groupBy(F.col(key).alias("_split"), "source").agg(F.count("*").alias("n"))
     split = split.groupBy("_split").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("by_source"))
-    out = asked.join(sums, F.col(key) == F.col("_found"), "left").join(split, F.col(key) == F.col("_split"), "left")
+    out = asked.join(sums, F.col(key).eqNullSafe(F.col("_found")), "left").join(split, F.col(key).eqNullSafe(F.col("_split")), "left")
     good = F.coalesce("good", F.array().cast("array<string>"))
     return out.select(
         key, F.size("raws").alias("checked"), F.size(good).alias("grounded"), F.array_sort(F.array_except("raws", good)).alias("ungrounded"),

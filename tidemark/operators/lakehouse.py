@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,15 +12,17 @@ from ..functions import dates as T
 from ..functions import dims as D
 from ..functions import numbers as N
 from ..functions import text as TX
+from ..functions.codes import code_dims
 from ..schema import ContractError
 from ..sources import readers, sinks
+from ..sources.publication import BUCKETS, Log, Snapshot
 from ..sources.scratch import written
 from . import align, change, contracts
 from .search import semantic_text
 
 OBS = ["series_id", "source", "date", "period_start", "period_end", "value", "freq", "unit", "dims", "source_file"]
 
-# Provinces in the order of their plate codes, what stands for abroad, and what a source's codes say of its series.
+# Provinces in the order of their plate codes, and what stands for abroad.
 PROVINCES = (
     "Adana Adıyaman Afyonkarahisar Ağrı Amasya Ankara Antalya Artvin Aydın Balıkesir Bilecik Bingöl Bitlis Bolu Burdur Bursa Çanakkale Çankırı Çorum Denizli Diyarbakır Edirne Elazığ Erzincan "
     "Erzurum Eskişehir Gaziantep Giresun Gümüşhane Hakkari Hatay Isparta Mersin İstanbul İzmir Kars Kastamonu Kayseri Kırklareli Kırşehir Kocaeli Konya Kütahya Malatya Manisa Kahramanmaraş Mardin "
@@ -27,28 +30,17 @@ PROVINCES = (
     "Ardahan Iğdır Yalova Karabük Kilis Osmaniye Düzce"
 ).split()
 ABROAD = "YURT DIŞI"
-CODE_RULES = [
-    (r"^TP\.KFE\.", {"market": "housing", "indicator": "price_index"}),
-    (r"AKONUTSAT", {"market": "housing", "indicator": "sales_volume"}),
-    (r"AKONUTSAT1", {"sales_type": "total"}),
-    (r"AKONUTSAT2", {"sales_type": "mortgaged"}),
-    (r"AKONUTSAT3", {"sales_type": "first_hand"}),
-    (r"AKONUTSAT4", {"sales_type": "second_hand"}),
-    (r"AKONUTSAT.*TOPLAM$", {"province": "Türkiye", "plate_code": "TR"}),
-    (r"AKONUTSAT.*100$", {"province": "İstanbul", "plate_code": "34"}),
-    (r"AKONUTSAT.*510$", {"province": "Ankara", "plate_code": "06"}),
-    (r"AKONUTSAT.*310$", {"province": "İzmir", "plate_code": "35"}),
-    (r"^TP\.BK\.|^TP\.YKKE\.TR$", {"market": "housing", "indicator": "rent"}),
-    (r"USD", {"currency": "USD"}),
-    (r"EUR", {"currency": "EUR"}),
-    (r"TRY|YTL", {"currency": "TRY"}),
-    (r"GBP", {"currency": "GBP"}),
-    (r"CHF", {"currency": "CHF"}),
-    (r"JPY", {"currency": "JPY"}),
-    (r"ALTIN|GUMUS|GOLD|^TP\.MK\.", {"commodity_group": "precious_metals"}),
-    (r"GUMUS", {"commodity": "silver"}),
-    (r"ALTIN|GOLD|^TP\.MK\.", {"commodity": "gold"}),
-]
+# Units of the regional tables (a null metric: all of the table), and of monthly categories whose headers name none.
+TABLE_UNITS = [
+    (1, None, "bin TL"), (2, None, "bin TL"), (3, None, "bin TL"), (4, None, "bin TL"), (5, None, "%"), (7, None, "bin TL"),
+    (6, "SubeSayisi", "adet"), (6, "SubeyeDusenNufus", "kişi"), (6, "KisiBasiNakdiKredi", "TL"), (6, "KisiBasiTakiptekiAlacak", "TL"), (6, "KisiBasiTasarrufMevduati", "TL"), (6, "KisiBasiToplamMevduat", "TL"),
+]
+CATEGORY_UNITS = {"Diğer Bilgiler": "adet", "Rasyolar": "%", "Yurt Dışı Şube Rasyoları": "%"}
+
+
+def table_units(spark: SparkSession) -> DataFrame:
+    """The shipped units of the regional tables, for ``regional_silver``."""
+    return spark.createDataFrame(TABLE_UNITS, "table_no int, metric string, unit string")
 
 
 def provinces(spark: SparkSession) -> DataFrame:
@@ -80,12 +72,6 @@ def geo_dims(obs: DataFrame, places: DataFrame) -> DataFrame:
     return rows.withColumn("dims", D.canonical(F.to_json(F.map_concat(own, rest)))).drop("_m", "_city", "_c", "_p", "_code")
 
 
-def code_dims(code: Column, rules: list[tuple[str, dict[str, str]]] = CODE_RULES) -> Column:
-    """Dims that a series' code implies; of rules that set a key the first one that fits wins."""
-    keys = sorted({k for _, values in rules for k in values})
-    return D.build(**{k: F.coalesce(*[F.when(code.rlike(pattern), F.lit(values[k])) for pattern, values in rules if k in values], F.lit(None).cast("string")) for k in keys})
-
-
 def id_metadata(series_id: Column) -> dict[str, Column]:
     """code, name, category and description that an id ``SOURCE:category:...:item`` tells."""
     parts = F.split(series_id, ":")
@@ -107,7 +93,7 @@ def weekly_silver(rows: DataFrame, source: str, unit: str) -> DataFrame:
     )
 
 
-def monthly_silver(rows: DataFrame, source: str, units: dict[str, str]) -> DataFrame:
+def monthly_silver(rows: DataFrame, source: str, units: dict[str, str] = CATEGORY_UNITS) -> DataFrame:
     """Observations of a monthly bulletin (year, month, category, row_index, item, variable, value_raw, value, source_file).
 
     Header rows go; lettered items stand under the item before them. The unit of a category is the one that its own header
@@ -185,6 +171,53 @@ def load_series(obs: DataFrame, meta: DataFrame, layers: dict[str, DataFrame], c
     return out, "pending_review" if pending else "loaded"
 
 
+#: The tables of a published lakehouse, and the columns that each is in buckets by.
+LAYERS = {"facts": ["series_id"], "series": ["series_id"], "aligned": ["series_id"], "embeddings": ["series_id"]}
+
+
+def create_lakehouse(log: Log, facts: DataFrame, series: DataFrame, aligned: DataFrame, embeddings: DataFrame, buckets: int = BUCKETS) -> Snapshot:
+    """Publish the first set of a lakehouse's four tables."""
+    with log.begin("created") as load:
+        for table, rows in {"facts": facts, "series": series, "aligned": aligned, "embeddings": embeddings}.items():
+            load.write(table, rows, LAYERS[table], buckets)
+    return load.published
+
+
+def load_published(log: Log, obs: DataFrame, meta: DataFrame, context: str = "batch", embed: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Load any number of series into all four tables of a published lakehouse at once; returns (series_id, status, n_obs, first_date, last_date, last_value).
+
+    Each series' old rows go from every table. The facts are canonical: dims sorted, NaN null, of a key's readings the one
+    dated last in its period. An unclassified series stops a ``batch``; ``live`` it is stored as pending review with no
+    aligned rows, also where it had some before. ``embed`` gives (series_id, semantic_text, embedding) for (metadata, facts),
+    hashed words unless given. Contracts run on what was staged; after any failure readers go on with the old set.
+    """
+    if context not in ("batch", "live"):
+        raise ContractError("bad_context", context)
+    meta = written(meta, "new_series")
+    obs = obs.withColumns({"dims": D.canonical(F.col("dims")), "date": F.col("period_end"), "value": F.when(~F.isnan("value"), F.col("value"))})
+    obs = written(sinks.keep_last(obs.withColumn("_read", F.struct("period_end", "source_file")), ["series_id", "date", "dims"], "_read").drop("_read"), "new_facts")
+    pending = F.coalesce(F.col("nature"), F.lit("unclassified")) == "unclassified"
+    if context == "batch" and (row := meta.where(pending).agg(F.min("series_id").alias("id"), F.count("*").alias("n")).first())["n"]:
+        raise ContractError("unclassified", f"a batch load needs classified series; {row['n']} are not, {row['id']} among them")
+    if gap := contracts.coverage_gaps(obs, meta).first():
+        raise ContractError("coverage", f"{gap['series_id']} is in {gap['side']}")
+    ready = meta.where(~pending)
+    with log.begin(f"{context} load") as load:
+        load.replace("facts", obs, meta)
+        load.audit("facts", contracts.observation_violations)
+        load.replace("series", meta)
+        load.audit("series", contracts.series_violations)
+        load.replace("aligned", align.monthly(obs.join(ready.select("series_id"), "series_id", "left_semi"), ready), meta)
+        load.audit("aligned", lambda rows: contracts.aligned_violations(rows, load.changed("series")))
+        load.replace("embeddings", (embed or _hashed)(meta, obs), meta)
+    summary = obs.groupBy("series_id").agg(F.count("*").alias("n_obs"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.max_by("value", F.when(F.col("value").isNotNull(), F.col("date"))).alias("last_value"))
+    return meta.select("series_id", F.when(pending, "pending_review").otherwise("loaded").alias("status")).join(summary, "series_id", "left")
+
+
+def _hashed(meta: DataFrame, obs: DataFrame) -> DataFrame:
+    return embed_catalog(meta, obs).select("series_id", "semantic_text", "embedding")
+
+
 def bank_silver(weekly: DataFrame, monthly: DataFrame, regional: DataFrame, accumulating: DataFrame) -> DataFrame:
     """All bank observations, with the period values of the accumulating series (series_id, accumulation) beside them."""
     return weekly.unionByName(change.with_periodic(monthly, accumulating)).unionByName(regional)

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import ContractError
+from ..sources.scratch import written
+from .ranges import SMALL_GROUP, grouped_medians, hot_groups, medians, with_groups
 
 #: Scales the median absolute deviation to a standard deviation, and what stands for a deviation of 0.
 MAD_SCALE, LEAST_MAD = 0.6745, 1e-9
@@ -18,24 +20,26 @@ def pearson(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
-def anomalies(rows: DataFrame, keys: list[str], metric: str = "mom_pct", method: str = "robust", z: float = 2.0, most: int = 20) -> DataFrame:
+def anomalies(rows: DataFrame, keys: list[str], metric: str = "mom_pct", method: str = "robust", z: float = 2.0, most: int = 20, small: int = SMALL_GROUP) -> DataFrame:
     """Rows whose ``z_score`` is at least ``z`` away from 0, the ``most`` extreme ones of each key, with ``rank``.
 
     method: ``robust`` scales the distance to the median by the median absolute deviation; ``zscore`` that to the mean by
-    the sample deviation, without which a key has none. Keys with fewer than two values have none.
+    the sample deviation, without which a key has none. Keys with fewer than two values have none. A key with a large share
+    of all rows, and over ``small`` of them, is never held in one task.
     """
     if method not in ("robust", "zscore"):
         raise ContractError("bad_method", method)
     v = rows.where(F.col(metric).isNotNull())
     if method == "robust":
-        middle = v.groupBy(*keys).agg(F.median(metric).alias("_mid"), F.count("*").alias("_n"))
-        v = v.join(middle, keys)
-        spread = v.groupBy(*keys).agg(F.median(F.abs(F.col(metric) - F.col("_mid"))).alias("_mad"))
-        v = v.join(spread, keys)
+        v = written(v, "metric")
+        middle, hot = grouped_medians(v, keys, metric, "_mid", small)
+        v = written(with_groups(v, middle, keys, hot).withColumn("_far", F.abs(F.col(metric) - F.col("_mid"))), "centred")
+        spread = medians(v, keys, "_far", "_mad", hot).join(v.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
+        v = with_groups(v, spread, keys, hot).drop("_far")
         score = MAD_SCALE * (F.col(metric) - F.col("_mid")) / F.when(F.col("_mad") == 0, LEAST_MAD).otherwise(F.col("_mad"))
     else:
         middle = v.groupBy(*keys).agg(F.avg(metric).alias("_mid"), F.stddev_samp(metric).alias("_mad"), F.count("*").alias("_n"))
-        v = v.join(middle, keys)
+        v = with_groups(v, middle, keys, hot_groups(v, keys, small))
         score = F.try_divide(F.col(metric) - F.col("_mid"), F.col("_mad"))
     v = v.where("_n >= 2").withColumn("z_score", score).where(F.abs("z_score") >= z)
     order = W.partitionBy(*keys).orderBy(F.desc(F.abs("z_score")), "date")

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as T
 from ..functions import numbers as N
+from ..operators.ranges import hot_groups, numbered, with_groups
 from ..schema import ContractError
+from .scratch import written
 
 # The fields of a source's records that are not its value, and the names that users give to dates and values.
 NOT_VALUES = ["Tarih", "UNIXTIME", "YEARWEEK"]
@@ -88,8 +90,14 @@ def discover(spark: SparkSession, sources: dict[str, tuple[str | None, str | Non
 
 def ragged_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, line) of text files, blank lines left out; a file's lines are numbered within it."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\r?\n").alias("lines"))
-    return whole.select("file", F.posexplode("lines").alias("line_no", "line")).where(F.trim("line") != "")
+    return _placed_lines(spark, path).select("file", "line_no", "line")
+
+
+def _placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, split, line_no, line): a file's lines from 0, blank ones counted and left out. Splits of a file are read apart, and each adds the lines before it."""
+    read = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("line"))
+    lines = numbered(written(read, "lines"), ["at"], ["file"], "split", "line_no")
+    return lines.select("file", "split", (F.col("line_no") - 1).cast("int").alias("line_no"), "line").where(F.trim("line") != "")
 
 
 def ragged_csv(spark: SparkSession, path: str, head: int = 15) -> DataFrame:
@@ -99,19 +107,21 @@ def ragged_csv(spark: SparkSession, path: str, head: int = 15) -> DataFrame:
     ``head`` rows of that width the one with most filled cells that are not numbers is the header. Repeated or empty names
     get their position.
     """
-    lines = ragged_lines(spark, path)
+    lines = _placed_lines(spark, path)
     tries = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(d).alias("delimiter")) for i, d in enumerate(DELIMITERS)])
-    split = lines.select("file", "line_no", "line", F.explode(tries).alias("t")).select("file", "line_no", "t.rank", "t.delimiter", F.expr("split(line, concat('\\\\Q', t.delimiter, '\\\\E'))").alias("cells"))
+    split = lines.select("file", "split", "line_no", "line", F.explode(tries).alias("t")).select("file", "split", "line_no", "t.rank", "t.delimiter", F.expr("split(line, concat('\\\\Q', t.delimiter, '\\\\E'))").alias("cells"))
     widths = split.groupBy("file", "rank", "delimiter").agg(F.max(F.size("cells")).alias("width"))
     best = widths.groupBy("file").agg(F.max_by(F.struct("delimiter", "width"), F.struct("width", (-F.col("rank")).alias("early"))).alias("b")).select("file", "b.delimiter", "b.width")
-    rows = split.join(best, ["file", "delimiter"]).where(F.size("cells") == F.col("width")).select("file", "line_no", F.transform("cells", lambda c: F.trim(F.regexp_replace(c, '^\\s*"|"\\s*$', ""))).alias("cells"))
-    rows = rows.withColumn("row_no", F.row_number().over(W.partitionBy("file").orderBy("line_no")))
+    best = written(best, "delimiters")
+    hot = hot_groups(lines, ["file"])
+    rows = with_groups(split.drop("rank"), best.withColumnRenamed("delimiter", "_own"), ["file"], hot).where((F.col("delimiter") == F.col("_own")) & (F.size("cells") == F.col("width"))).select("file", "split", "line_no", F.transform("cells", lambda c: F.trim(F.regexp_replace(c, '^\\s*"|"\\s*$', ""))).alias("cells"))
+    rows = numbered(written(rows, "rows"), ["line_no"], ["file"], "split", "row_no")
     label = F.size(F.filter("cells", lambda c: (c != "") & ~N.is_numeric_cell(c)))
     header = rows.where(F.col("row_no") <= head).withColumn("score", label)
     header = header.groupBy("file").agg(F.max_by(F.struct("row_no", "cells"), F.struct("score", (-F.col("row_no")).alias("early"))).alias("h"))
     named = F.transform("h.cells", lambda c, i: F.when((c == "") | (F.array_position(F.col("h.cells"), c) != i + 1), F.concat(F.lit("column_"), (i + 1).cast("string"))).otherwise(c))
     header = header.select("file", F.col("h.row_no").alias("header_no"), named.alias("names"))
-    out = rows.join(header, "file").where("row_no > header_no")
+    out = with_groups(rows, written(header, "headers"), ["file"], hot).where("row_no > header_no")
     return out.select("file", (F.col("row_no") - F.col("header_no")).alias("row_no"), F.map_from_arrays("names", "cells").alias("cells"))
 
 

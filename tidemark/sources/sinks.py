@@ -10,15 +10,20 @@ from pyspark.sql import functions as F
 
 
 def keep_last(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The row of each key with the largest ``order``, as one aggregation; of equal ones the one with the largest digest, so that reruns agree."""
+    """The row of each key with the largest ``order`` (null the smallest), as one aggregation; of equal ones the one with the largest digest, so that reruns agree."""
     rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, F.xxhash64(*rest), F.to_json(F.struct(*rest)))).alias("_row")).select(*keys, "_row.*").select(*rows.columns)
+    at = F.struct(order, F.xxhash64(*rest), F.xxhash64(F.lit(1), *rest))  # two digests: rows equal in both are equal rows
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), at).alias("_row")).select(*keys, "_row.*").select(*rows.columns)
 
 
 def merge_last(existing: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """Both tables' rows, ``new`` ones in place of existing ones with their key; of several new ones that with the largest ``order``."""
-    known = lambda df: F.col(order) if order and order in df.columns else F.lit(None)
-    seq = lambda df, n: df.withColumn("_seq", F.struct(F.lit(n).alias("table"), known(df).cast("string").alias("at")))
+    """Both tables' rows, ``new`` ones in place of existing ones with their key; of several new ones that with the largest ``order``.
+
+    Orders compare by their own type, so 10 comes after 9; a null one comes before all others.
+    """
+    kind = next((df.schema[order].dataType for df in (new, existing) if order and order in df.columns), None)
+    known = lambda df: F.col(order).cast(kind) if order and order in df.columns else F.lit(None).cast(kind or "int")
+    seq = lambda df, n: df.withColumn("_seq", F.struct(F.lit(n).alias("table"), known(df).alias("at")))
     return keep_last(seq(existing, 0).unionByName(seq(new, 1), allowMissingColumns=True), keys, "_seq").drop("_seq")
 
 
@@ -55,7 +60,10 @@ def overwrite_partitions(df: DataFrame, path: str, by: list[str]) -> None:
 
 
 def upsert_both(spark: SparkSession, facts: str, series: str, new_facts: DataFrame, new_series: DataFrame, root: str) -> tuple[str, str]:
-    """Replace series in the fact and the metadata table: both are staged as new versions and returned together, so a failure leaves the old pair."""
+    """Replace series in the fact and the metadata table: both are staged as new versions and returned together, so a failure leaves the old pair.
+
+    A ``publication.Log`` does the same for any number of tables, and shows them to all readers at once.
+    """
     staged_facts = write_table(replace_series(spark.read.parquet(facts), new_facts), f"{root}/facts")
     staged_series = write_table(replace_series(spark.read.parquet(series), new_series), f"{root}/series")
     return staged_facts, staged_series
