@@ -8,8 +8,8 @@ from ..functions import dims as D
 from ..functions import nature as NA
 from ..operators import align, change, gold, health, lakehouse
 from ..operators import search as S
-from ..sources import catalog, readers
-from ..sources.scratch import written
+from ..sources import catalog, readers, sinks
+from ..sources.scratch import folder, written
 from . import fixtures as X
 from .registry import query
 from .series_queries import _CHANGE, _MDIFF, rounded
@@ -185,3 +185,20 @@ def id_metadata(spark, d):
     made = lakehouse.id_metadata(F.concat_ws(":", F.lit("PART"), "p_brand", F.concat(F.lit("size_"), F.col("p_size").cast("string"), F.lit("_periodic"))))
     out = p.select("p_partkey", "p_brand", "p_size", *[c.alias(n) for n, c in made.items()])
     return out.select("p_partkey", F.concat_ws(":", "p_brand", "p_size").alias("code"), "name", "category", "description")
+
+
+@query(
+    X.sql(
+        """SELECT k.column_name, k.comment, k.unit, CASE k.column_name WHEN 'series_id' THEN (SELECT count(series_id) FROM flow_m) WHEN 'value' THEN (SELECT count(value) FROM flow_m) ELSE (SELECT count(dims) FROM flow_m) END AS n_values
+ FROM (VALUES ('series_id', 'the series', NULL), ('value', 'monthly revenue', 'usd'), ('dims', NULL, 'json')) AS k(column_name, comment, unit)""",
+        "flow_m",
+    )
+)
+def column_comments(spark, d):
+    """Comments and units of a written table's columns, as its readers find them, and how many values stand under each."""
+    rows = catalog.described(X.flow_m(spark, d), {"series_id": "the series", "value": "monthly revenue"}, {"value": "usd", "dims": "json"})
+    read = spark.read.parquet(sinks.write_table(rows, folder(spark, "described")))
+    told = [(f.name, f.metadata.get("comment"), f.metadata.get("unit")) for f in read.schema if f.metadata]
+    counts = read.agg(*[F.count(c).alias(c) for c, _, _ in told]).unpivot([], [c for c, _, _ in told], "name", "n_values")
+    listed = spark.createDataFrame(told, "column_name string, comment string, unit string")
+    return listed.join(counts, F.col("column_name") == F.col("name")).drop("name")

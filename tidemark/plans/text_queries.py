@@ -229,12 +229,23 @@ def grounding_numbers(spark, d):
     return grounding.audit(answers, evidence, "o_orderkey").select("o_orderkey", "checked", "grounded", "ratio")
 
 
-@query()
+_PLAIN = lambda x: f"trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace({x}, '&quot;', '"'), '&#x27;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+
+
+@query(
+    f"""WITH b AS (SELECT page_id, url, {_PLAIN("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title, contains(html, '<script') AS scripts,
+ {_PLAIN("regexp_replace(regexp_replace(html, '(?s)<head>.*?</head>|<nav>.*?</nav>|<footer>.*?(</footer>|$)|<style>.*?</style>|<script>.*?</script>|<!--.*?-->', ' ', 'g'), '</?[a-zA-Z!][^>]*>', ' ', 'g')")} AS text FROM pages)
+ SELECT page_id, url, title, text, scripts AND length(text) < {html.SHELL_CHARS} AS is_shell FROM b"""
+)
 def html_text(spark, d):
     return html.page_text(X.table(spark, d, "pages"))
 
 
-@query()
+@query(
+    f"""WITH m AS (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS h, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS l FROM pages),
+ x AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*') || unnest(h) AS target, unnest(l) AS label, unnest(range(len(h))) AS position FROM m)
+ SELECT page_id, position, target, label, {' OR '.join(f"lower(split_part(target, '?', 1)) LIKE '%{x}'" for x in html.DOCUMENTS)} AS is_document FROM x"""
+)
 def html_links(spark, d):
     return html.page_links(X.table(spark, d, "pages"))
 
