@@ -229,12 +229,19 @@ def grounding_numbers(spark, d):
     return grounding.audit(answers, evidence, "o_orderkey").select("o_orderkey", "checked", "grounded", "ratio")
 
 
-_PLAIN = lambda x: f"trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace({x}, '&quot;', '"'), '&#x27;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+_REFERENCES = {"&quot;": "chr(34)", "&#x27;": "chr(39)", "&copy;": "'©'", "&middot;": "'·'", "&lt;": "'<'", "&gt;": "'>'", "&amp;": "'&'"}
+
+
+def _plain_sql(x: str) -> str:
+    """SQL of a text with its character references read and its white space as single blanks."""
+    for name, char in _REFERENCES.items():
+        x = f"replace({x}, '{name}', {char})"
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 
 
 @query(
-    f"""WITH b AS (SELECT page_id, url, {_PLAIN("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title, contains(html, '<script') AS scripts,
- {_PLAIN("regexp_replace(regexp_replace(html, '(?s)<head>.*?</head>|<nav>.*?</nav>|<footer>.*?(</footer>|$)|<style>.*?</style>|<script>.*?</script>|<!--.*?-->', ' ', 'g'), '</?[a-zA-Z!][^>]*>', ' ', 'g')")} AS text FROM pages)
+    f"""WITH b AS (SELECT page_id, url, {_plain_sql("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title, contains(html, '<script') AS scripts,
+ {_plain_sql("regexp_replace(regexp_replace(html, '(?s)<head>.*?</head>|<nav>.*?</nav>|<footer>.*?(</footer>|$)|<style>.*?</style>|<script>.*?</script>|<!--.*?-->', ' ', 'g'), '</?[a-zA-Z!][^>]*>', ' ', 'g')")} AS text FROM pages)
  SELECT page_id, url, title, text, scripts AND length(text) < {html.SHELL_CHARS} AS is_shell FROM b"""
 )
 def html_text(spark, d):
