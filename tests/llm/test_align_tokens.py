@@ -89,3 +89,12 @@ def test_odd_rows(spark, odd, none):
     assert at.aligned(none).count() == 0
     named = at.aligned(spark.createDataFrame([("a", "some text"), ("b", "")], "doc_id string, text string")).collect()
     assert {(r["doc_id"], r["n_groups"] > 0, r["groups_sha256"] == "") for r in named} == {("a", True, False), ("b", False, True)}
+
+
+def test_the_quick_coder_is_the_vocabulary(texts):
+    rng = random.Random(5)
+    side, _ = at.sides(at.VOCABULARIES)
+    assert side.quick is not None
+    odd = ["".join(chr(rng.choice([rng.randrange(0x20, 0x250), rng.randrange(0x250, 0xD800), rng.randrange(0xE000, 0x20000), 32, 32, 10, 39])) for _ in range(60)) for _ in range(400)]
+    many = [t for t in texts.values() if t][:60] + SPECIAL + odd + [" " * 5000, "\n" * 3000 + "x"]
+    assert [e.ids for e in side.coder.encode_batch_fast([" " + t for t in many], add_special_tokens=False)] == side.encode(many)

@@ -9,6 +9,7 @@ documents send each of their pairs once and get the counts of the whole corpus b
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -32,6 +33,8 @@ BATCH_BYTES = 1 << 19
 BLOCK_BYTES = 1 << 22
 #: Ids of either side are under this.
 SIDE = 1 << 16
+# Fixed value: how byte-level vocabularies of this kind cut words.
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 # A single space between two characters that are not white space (nor the mark that stands for a space among pieces): the
 # byte-level pattern starts a new word there, and no piece has a space after another character, so neither joins over it.
@@ -49,8 +52,15 @@ class Side:
     """One tokenizer: ids of texts, and the bytes of ids."""
 
     def __init__(self, table: list[bytes]):
-        self.bytes = table
         self.lengths = np.array([len(x) for x in table], np.int64)
+        self.flat = np.frombuffer(b"".join(table), np.uint8)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        """The bytes of tokens in a row."""
+        sizes = self.lengths[ids]
+        ends = np.cumsum(sizes)
+        return self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[ids] - ends + sizes, sizes)].tobytes()
 
 
 class ByteLevel(Side):
@@ -59,15 +69,28 @@ class ByteLevel(Side):
 
         self.coder = Tokenizer.from_file(path)
         self.coder.encode_special_tokens = True
+        self.quick = None
         decode = byte_of_char()
         names = sorted((i, t) for t, i in self.coder.get_vocab().items())
         table = [b""] * (names[-1][0] + 1)
         for i, name in names:
             table[i] = bytes(decode[c] for c in name) if all(c in decode for c in name) else name.encode()
         super().__init__(table)
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)
+        merged = [x if isinstance(x, str) else " ".join(x) for x in model["model"]["merges"]]
+        ids = [model["model"]["vocab"][x.replace(" ", "")] for x in merged]
+        if ids == sorted(ids) and model["pre_tokenizer"].get("use_regex") and not model["normalizer"] and not model["pre_tokenizer"]["add_prefix_space"]:
+            # Ids are in the order of the merges, so they can serve as ranks: the same vocabulary, four times as fast.
+            import tiktoken
+
+            ranks = {table[i]: i for i in {*ids, *(model["model"]["vocab"][c] for c in decode)}}
+            self.quick = tiktoken.Encoding("quick", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.coder.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        if self.quick is None:
+            return [x.ids for x in self.coder.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        return [self.quick.encode_ordinary(" " + t) for t in texts]
 
 
 class Pieces(Side):
@@ -127,10 +150,10 @@ class Aligned:
     first_mark: np.ndarray
 
 
-def align(parts: list[tuple[list[int], list[int]]], a_side: Side, b_side: Side) -> Aligned:
+def align(parts: list[tuple[np.ndarray, np.ndarray]], a_side: Side, b_side: Side) -> Aligned:
     """Links and groups of parts, given both sides' ids, whose bytes are equal."""
     sizes = np.array([[len(x), len(y)] for x, y in parts], np.int64).reshape(-1, 2)
-    a, b = (np.fromiter((i for p in parts for i in p[k]), np.int64, sizes[:, k].sum()) for k in (0, 1))
+    a, b = (np.concatenate([np.empty(0, np.int32), *(p[k] for p in parts)]).astype(np.int64) for k in (0, 1))
     doc_a, doc_b = (np.repeat(np.arange(len(parts)), sizes[:, k]) for k in (0, 1))
     end_a, end_b = np.cumsum(a_side.lengths[a]), np.cumsum(b_side.lengths[b])
     start_a, start_b = end_a - a_side.lengths[a], end_b - b_side.lengths[b]
@@ -142,12 +165,16 @@ def align(parts: list[tuple[list[int], list[int]]], a_side: Side, b_side: Side)
     new = start_a[covers_b] != start_b  # equal starts were met from the other side
     link_a, link_b = np.r_[np.arange(len(a)), covers_b[new]], np.r_[covers_a, np.flatnonzero(new)]
 
-    both = end_a[np.isin(end_a, end_b, assume_unique=True)]
-    group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
-    groups = np.bincount(doc_a[np.isin(end_a, both, assume_unique=True)], minlength=len(parts))
-    last_a, last_b = np.r_[group_a[1:] != group_a[:-1], True][: len(a)], np.r_[group_b[1:] != group_b[:-1], True][: len(b)]
+    total = int(end_a[-1]) if len(a) else 0
+    ends = np.zeros(total + 1, np.int8)  # 1 where A ends a token, 2 where B does
+    ends[end_a] = 1
+    ends[end_b] += 2
+    last_a, last_b = ends[end_a] == 3, ends[end_b] == 3
+    group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+    groups = np.bincount(doc_a[last_a], minlength=len(parts))
     ids, mark = np.empty(len(a) + len(b), np.int64), np.empty(len(a) + len(b), np.uint8)
-    at_a, at_b = np.arange(len(a)) + np.searchsorted(group_b, group_a), np.arange(len(b)) + np.searchsorted(group_a, group_b, side="right")
+    upto_a, upto_b = np.flatnonzero(last_a) + 1, np.r_[0, np.flatnonzero(last_b) + 1]  # tokens in and before each group, and before it
+    at_a, at_b = np.arange(len(a)) + upto_b[group_a], np.arange(len(b)) + upto_a[group_b]
     ids[at_a], ids[at_b] = a, b
     mark[at_a], mark[at_b] = np.where(last_a, ord("|"), ord(",")), np.where(last_b, ord(";"), ord(","))
     digits, width = _decimals()
@@ -178,9 +205,9 @@ def aligned_rows(ids: list, texts: Iterator[str], folder: str, batch_bytes: int
 
     def flush() -> Iterator[Row]:
         strings = [t for _, t, _ in held]
-        coded = list(zip(a_side.encode(strings), b_side.encode(strings)))
+        coded = [(np.array(x, np.int32), np.array(y, np.int32)) for x, y in zip(a_side.encode(strings), b_side.encode(strings))]
         want = [(" " + t).encode() for t in strings]
-        same = [all(b"".join(map(s.bytes.__getitem__, c)) == w for s, c in zip((a_side, b_side), both)) for both, w in zip(coded, want)]
+        same = [all(s.joined(c) == w for s, c in zip((a_side, b_side), both)) for both, w in zip(coded, want)]
         for (row, _, _), ok in zip(held, same):
             row.whole &= ok
         good = [k for k, (row, _, _) in enumerate(held) if row.whole]
