@@ -87,7 +87,7 @@ def test_a_quote_that_never_closes_leaks_no_markup():
 
 
 def test_broken_pages_take_linear_time():
-    for part in ("<div>x", '<a href="x ', '<a href="x> ', "<p>x", "<b>x", "</div>x", "<script>", "<!-- ", '<div class="a">x', "<ul><li>x", "<svg>", "<a b='>", "<", "&amp", "<a b=\"'>"):
+    for part in ("<div>x", '<a href="x ', '<a href="x> ', "<p>x", "<b>x", "</div>x", "<script>", "<!-- ", '<div class="a">x', "<ul><li>x", "<svg>", "<a b='>", "<", "&amp", "<a b=\"'>", '<div class="sidebar"><h1>t</h1>xx ', '<div class="sidebar">x ', f'<p class="{"a " * 50}">x'):
         for n in (100_000, 400_000):  # a quadratic reader takes minutes for the second
             began = time.process_time()
             H.content(part * (n // len(part)), PRIOR)
@@ -106,3 +106,87 @@ def test_learned_names_decide_where_no_page_names_its_content(spark, sf):
         learned += H.content(bare, weights) == want
         plain += H.content(bare, PRIOR) == want
     assert learned >= 0.95 * len(rows) and plain <= 0.1 * len(rows)
+
+
+def test_every_name_of_an_element_counts():
+    many = " ".join(f"c{k}" for k in range(40))
+    for names in (f"advert {many}", f"{many} advert"):
+        assert H.content(f'<article>{PARTS}<div class="{names}">Buy now.</div></article>', PRIOR) == TEXT
+
+
+def test_only_what_browsers_show_as_blocks_parts_a_text():
+    for inner in ("foo <script>x()</script>bar baz", "foo <svg><path/></svg>bar baz", "foo <my-tag>bar</my-tag> baz", "foo <style>b{}</style><template>no</template>bar <time>baz</time>", "<label>foo</label> <slot>bar</slot> <wbr>baz"):
+        assert H.content(f"<article><p>{inner}</p><p>more</p></article>", PRIOR) == "foo bar baz\n\nmore", inner
+    assert H.content("<article>a<div>b</div>c<my-box><p>d</my-box>e</article>", PRIOR) == "a\n\nb\n\nc\n\nde"
+
+
+def test_wrappers_as_one_round_at_a_time():
+    """The element that holds most words is unwrapped as the rounds that the definition names would do it."""
+    import random
+
+    def by_rounds(page, weights):
+        about = page.kept_open()
+        if about:
+            return H.boxes(page, weights, about)
+        below = page.words_below()
+        while True:
+            box = H.boxes(page, weights, about)
+            left = sum(n for node, _, n, _ in page.events if n > 0 and box[node] < 0)
+            titled = {box[i] for i in range(len(page.tag)) if page.tag[i] == "h1"}
+            found = {b for b in set(box) - {-1} if 2 * below[b] > below[0] and page.tag[b] not in ("nav", "footer") and (b in titled or 10 * left < below[0])}
+            if not found:
+                return box
+            about = about | found
+
+    rng = random.Random(6)
+    for _ in range(400):
+        html, open_ = "", []
+        for _ in range(rng.randrange(1, 40)):
+            if open_ and rng.random() < 0.35:
+                html += f"</{open_.pop()}>"
+            elif rng.random() < 0.5:
+                tag, name = rng.choice(["div", "div", "aside", "nav", "footer", "p", "form"]), rng.choice(["sidebar", "x", "ad", "page"])
+                open_.append(tag)
+                html += f'<{tag} class="{name}">'
+            else:
+                html += rng.choice(["<h1>t</h1>", "w " * rng.randrange(1, 12), "w ", "v v v v v v v v v v v v "])
+        page = H.Page(html)
+        assert H.page_boxes(page, PRIOR) == by_rounds(page, PRIOR), html
+
+
+def test_content_is_the_best_stretch_of_recomputed_scores(spark, sf):
+    """Scores of words, tags and boxes of unlabelled pages, added up for every stretch."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    weights = H.fit(pages)
+    checked = 0
+    for r in pages.limit(40).collect():
+        page = H.Page(re.sub(r"</?article>", "", r["html"]))
+        box, features, items = H.page_boxes(page, weights), page.word_features(), []
+        for (node, block, n, text), feature in zip(page.events, features):
+            if box[node] >= 0:
+                old = next((i for i in items if i[0] == box[node]), None)
+                if old is None:
+                    items.append(old := [box[node], 0.0, None, ""])
+                old[1] = max(-H.BRIDGE, old[1] - H.MOST * max(0, n))
+            else:
+                a, b = weights.counts.get(feature if n >= 0 else f"cost:{text}", (0.0, 0.0))
+                p, q = H.pseudo(feature if n >= 0 else f"cost:{text}")
+                per = max(-H.MOST, min(H.MOST, H.math.log((a + p) / (b + q)))) if n >= 0 else -0.1 - (b + q) / (a + b + p + q)
+                items.append([None, per * n if n >= 0 else per, block if n >= 0 else None, text])
+        if len(items) > 400:
+            continue
+        best, at = 1e-12, (0, 0)
+        for i in range(len(items)):
+            total = 0.0
+            for j in range(i, len(items)):
+                total += items[j][1]
+                if total > best + 1e-9:
+                    best, at = total, (i, j + 1)
+        blocks = {}
+        for _, _, block, text in items[at[0] : at[1]]:
+            if block is not None:
+                blocks.setdefault(block, []).append(text)
+        joined = [" ".join("".join(x).split()) for x in blocks.values()]
+        assert H.content(re.sub(r"</?article>", "", r["html"]), weights) == "\n\n".join(x for x in joined if x)
+        checked += 1
+    assert checked >= 20

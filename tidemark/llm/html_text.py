@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, row_hash
+from .common import forget, map_arrow, row_hash, written
 
 #: About so many labelled pages are counted, and so many features kept at most, the most frequent ones.
 MAX_LABELLED = 2000
@@ -34,9 +34,10 @@ MOST, BOX, BRIDGE = 3.0, -0.7, 4.0
 # Element names.
 RAW = frozenset("script style noscript template iframe svg title textarea object video audio canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark math meter mfrac mi mn mo mrow msub msup nobr output q rp rt ruby s samp small span strike "
-    "strong sub sup time tt u var wbr".split()
+#: What browsers show as blocks or parts of tables. All else, unknown elements too, stands in a line and parts no block.
+BLOCKS = frozenset(
+    "address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html "
+    "legend li listing main menu nav ol optgroup option p plaintext pre search section summary table tbody td tfoot th thead tr ul xmp".split()
 )
 BOXES = frozenset("nav header footer aside form button select dialog menu".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -123,7 +124,7 @@ def marks(name: str, attributes: str) -> list[str]:
         if kind == "hidden" or (kind == "aria-hidden" and value.lower() == "true") or (kind == "style" and _NONE_SHOWN.search(value)):
             out.append("hidden")
         elif kind in ("class", "id", "role"):
-            out += [f"name:{x.lower()}" for x in _CAMEL.sub("-", value).split()[:16]]
+            out += [f"name:{x.lower()}" for x in _CAMEL.sub("-", value).split()]
     return out
 
 
@@ -199,8 +200,6 @@ class Page:
             close = page.closing(name, end + 1)
             if close >= 0:
                 gt = page.find(">", close)
-                if name not in INLINE:
-                    self.block += 1
                 return len(html) if gt < 0 else gt + 1
             return len(html) if name in ("script", "style") else end + 1
         self._open_element(name, attributes)
@@ -220,7 +219,7 @@ class Page:
                 self._items.pop()
 
     def _close(self, name: str) -> None:
-        if name not in INLINE:
+        if name in BLOCKS:
             self.block += 1
         if self._open[name] > 0:
             depth = len(self._stack) - 1
@@ -236,7 +235,7 @@ class Page:
         return depth
 
     def _open_element(self, name: str, attributes: str) -> None:
-        if name not in INLINE:
+        if name in BLOCKS:
             self.block += 1
         if name == "br":
             self.events.append((self._stack[-1], self.block, 0, " "))
@@ -263,7 +262,7 @@ class Page:
         self.events.append((node, self.block, -1, name))
         self._stack.append(node)
         self._open[name] += 1
-        if name not in INLINE:
+        if name in BLOCKS:
             self._blocks.append(node)
         if name in ("li", "ul", "ol"):
             self._items.append(node)
@@ -353,17 +352,33 @@ def page_boxes(page: Page, weights: dict[str, float]) -> list[int]:
     box = boxes(page, weights, about)
     if about:
         return box
-    below = page.words_below()
-    total = below[0]
-    titles = {i for i in range(len(page.tag)) if page.tag[i] == "h1"}
-    while True:
-        left = sum(n for node, _, n, _ in page.events if n > 0 and box[node] < 0)
-        titled = {box[i] for i in titles}
-        wrappers = {b for b in set(box) - {-1} if 2 * below[b] > total and page.tag[b] not in ("nav", "footer") and (b in titled or 10 * left < total)}
-        if not wrappers:
-            return box
-        about |= wrappers
-        box = boxes(page, weights, about)
+    # Only one element of any depth holds most words, so wrappers lie on one path; each is told by the words left outside it.
+    below, titles = page.words_below(), [tag == "h1" for tag in page.tag]
+    total, n = below[0], len(page.parent)
+    for node in range(n - 1, 0, -1):
+        titles[page.parent[node]] |= titles[node]
+    depth = [0] * n  # of the deepest element with most words that a node is in, from 1
+    path = [0]
+    for node in range(1, n):
+        up = page.parent[node]
+        depth[node] = depth[up]
+        if up == path[-1] and 2 * below[node] > total:
+            path.append(node)
+            depth[node] += 1
+    aside = boxes(page, weights, set(path))
+    left = [0] * len(path)
+    for node, _, words, _ in page.events:
+        if words > 0 and aside[node] < 0:
+            left[depth[node]] += words
+    outside = 0
+    for k in range(1, len(path)):
+        outside += left[k - 1]
+        node = path[k]
+        if page.names[node] and min(weights[x] for x in page.names[node]) < BOX:
+            if page.tag[node] in ("nav", "footer") or not (titles[node] or 10 * outside < total):
+                break
+            about.add(node)
+    return boxes(page, weights, about)
 
 
 def content(html: str, weights: dict[str, float]) -> str:
@@ -456,9 +471,11 @@ def fit(pages: DataFrame, max_labelled: int = MAX_LABELLED, max_features: int =
     labelled = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]")).select("html")
     n = labelled.count()
     share = min(1.0, max_labelled / n) if n else 1.0
-    drawn = labelled.where(F.pmod(row_hash("html", seed=seed), F.lit(1 << 20)) < int(share * (1 << 20)))
+    drawn = written(labelled.where(F.pmod(row_hash("html", seed=seed), F.lit(1 << 20)) < int(share * (1 << 20))), "labelled")
     counts = _counted(drawn, mark_counts, max_features)
-    return Weights(counts | _counted(drawn, lambda html: word_counts(html, Weights(counts)), max_features))
+    words = _counted(drawn, lambda html: word_counts(html, Weights(counts)), max_features)
+    forget(drawn)
+    return Weights(counts | words)
 
 
 def extracted(pages: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
