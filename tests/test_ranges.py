@@ -109,6 +109,14 @@ def test_accumulation_registry(spark):
         nature.with_accumulation(df, spark.createDataFrame([("X:1", "ytd"), ("X:1", "none")], "series_id string, accumulation string")).collect()
 
 
+def test_attributes_with_a_default(spark):
+    from tidemark.operators import lookup
+
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4), ("c", 5)], "series_id string, v int")
+    table = spark.createDataFrame([("a", "stock"), ("a", "flow"), ("b", None), (None, "rate"), ("d", "x")], "series_id string, nature string")
+    assert sorted((r["v"], r["nature"]) for r in lookup.with_attribute(rows, table, "nature", "unclassified").collect()) == [(1, "flow"), (2, "flow"), (3, "unclassified"), (4, "unclassified"), (5, "unclassified")]
+
+
 def test_code_dims(spark):
     want = {
         "TP.KFE.TR41": '{"geo_level":"NUTS2","indicator":"price_index","market":"housing","region_code":"TR41","region_name":"Bursa, Eskişehir, Bilecik"}',

@@ -22,10 +22,12 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
 
 
-def _tally(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """(rule, n_rows): rows that break each rule, all rules in one pass."""
-    counts = df.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in rules.items()])
-    return counts.unpivot([], list(rules), "rule", "n_rows")
+def _tally(df: DataFrame, rules: dict[str, Column], keys: list[str], repeated: str) -> DataFrame:
+    """(rule, n_rows): rows that break each rule, and under ``repeated`` those beyond the first of their key. ``df`` is computed once: counts are taken by key and then added up."""
+    by_key = df.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(f"_{k}") for k, c in rules.items()])
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    counts = by_key.agg(*[total(f"_{k}").alias(k) for k in rules], total(F.col("_n") - 1).alias(repeated))
+    return counts.unpivot([], [*rules, repeated], "rule", "n_rows")
 
 
 def blank(c: str) -> Column:
@@ -46,8 +48,7 @@ def observation_violations(obs: DataFrame) -> DataFrame:
     }
     if {"period_start", "period_end"} <= set(obs.columns):
         rules["bad_period"] = (F.col("period_start") > F.col("period_end")) | (F.col("date") != F.col("period_end"))
-    repeated = duplicate_keys(obs, KEY).agg(F.coalesce(F.sum("n_rows") - F.count("*"), F.lit(0)).alias("n_rows"))
-    return _tally(obs, rules).unionByName(repeated.select(F.lit("duplicate_key").alias("rule"), "n_rows"))
+    return _tally(obs, rules, KEY, "duplicate_key")
 
 
 def series_violations(meta: DataFrame) -> DataFrame:
@@ -60,8 +61,7 @@ def series_violations(meta: DataFrame) -> DataFrame:
         "bad_override": F.col("alignment_override").isNotNull() & ~F.col("alignment_override").isin(*METHODS),
         "cumulative_mismatch": ~F.col("is_cumulative").eqNullSafe(F.col("accumulation") != "none"),
     }
-    repeated = duplicate_keys(meta, ["series_id"]).agg(F.coalesce(F.sum("n_rows") - F.count("*"), F.lit(0)).alias("n_rows"))
-    return _tally(meta, rules).unionByName(repeated.select(F.lit("duplicate_series").alias("rule"), "n_rows"))
+    return _tally(meta, rules, ["series_id"], "duplicate_series")
 
 
 def coverage_gaps(obs: DataFrame, meta: DataFrame) -> DataFrame:
@@ -73,10 +73,8 @@ def coverage_gaps(obs: DataFrame, meta: DataFrame) -> DataFrame:
 def aligned_violations(aligned: DataFrame, meta: DataFrame) -> DataFrame:
     """(rule, n_rows) for aligned rows: all monthly, unique, and no accumulating series among them."""
     rules = {"not_monthly": ~F.coalesce(F.col("aligned_freq") == "M", F.lit(False)), "not_month_end": F.col("date") != F.last_day("date")}
-    repeated = duplicate_keys(aligned, KEY).agg(F.coalesce(F.sum("n_rows") - F.count("*"), F.lit(0)).alias("n_rows"))
     leaking = aligned.join(meta.where("accumulation <> 'none'").select("series_id").distinct(), "series_id", "left_semi").agg(F.count("*").alias("n_rows"))
-    out = _tally(aligned, rules).unionByName(repeated.select(F.lit("duplicate_key").alias("rule"), "n_rows"))
-    return out.unionByName(leaking.select(F.lit("cumulative_leak").alias("rule"), "n_rows"))
+    return _tally(aligned, rules, KEY, "duplicate_key").unionByName(leaking.select(F.lit("cumulative_leak").alias("rule"), "n_rows"))
 
 
 def inconsistent_series(obs: DataFrame) -> DataFrame:

@@ -52,6 +52,15 @@ def in_dimension(obs: DataFrame, key: str, choices: DataFrame) -> DataFrame:
     return met.where(D.get(F.col("dims"), key).eqNullSafe(F.col("choice"))).drop("_id", "choice")
 
 
+def with_attribute(rows: DataFrame, table: DataFrame, column: str, default: str, key: str = "series_id") -> DataFrame:
+    """``rows`` with ``column`` of the row of ``table`` that has their key, or ``default`` where there is none, or a null.
+
+    Of several rows with a key the smallest value stands, so that rows neither multiply nor depend on an order; a null key has the default.
+    """
+    known = table.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(column).alias("_value"))
+    return rows.drop(column).join(known, F.col(key) == F.col("_key"), "left").withColumn(column, F.coalesce("_value", F.lit(default))).drop("_key", "_value")
+
+
 def read_only(sql: str) -> str:
     """``sql`` if it holds none of the words that write; raises else."""
     if m := re.search(r"\b(" + "|".join(WRITES) + r")\b", sql, re.I):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dims as D
+from ..sources.scratch import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,14 +19,20 @@ def _placed_orders(spark: SparkSession, d: str) -> DataFrame:
     return out.join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).withColumn("day", F.to_date("o_orderdate"))
 
 
+def daily_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Orders summed by day, nation and segment, written: what series of several frequencies and dims are added up from."""
+    rows = _placed_orders(spark, d).groupBy("day", "r_name", "n_name", "c_mktsegment").agg(F.sum("o_totalprice").alias("o_totalprice"))
+    return written(rows, "daily_orders")
+
+
 def _series(rows: DataFrame, series_id: str, source: str, date: Column, value: Column, freq: str, unit: str, **dims: str) -> DataFrame:
     out = rows.groupBy(date.alias("date"), *dims.values()).agg(value.alias("value"))
     return out.select(F.lit(series_id).alias("series_id"), F.lit(source).alias("source"), "date", "value", F.lit(freq).alias("freq"), F.lit(unit).alias("unit"), D.build(**{k: F.col(c) for k, c in dims.items()}).alias("dims"))
 
 
-def flow_d(spark, d):
-    """Daily revenue by region."""
-    return _series(_placed_orders(spark, d), "ORDERS:revenue", "ORDERS", F.col("day"), F.sum("o_totalprice"), "D", "usd", region="r_name")
+def flow_d(spark, d, orders=None):
+    """Daily revenue by region; ``orders``: ``daily_orders``, if there are any."""
+    return _series(_placed_orders(spark, d) if orders is None else orders, "ORDERS:revenue", "ORDERS", F.col("day"), F.sum("o_totalprice"), "D", "usd", region="r_name")
 
 
 def price_d(spark, d):
@@ -34,14 +41,14 @@ def price_d(spark, d):
     return _series(rows, "LINEITEM:unit_price", "LINEITEM", F.to_date("l_shipdate"), F.avg(F.col("l_extendedprice") / F.col("l_quantity")), "D", "usd", flag="l_returnflag")
 
 
-def flow_m(spark, d):
+def flow_m(spark, d, orders=None):
     """Monthly revenue by region."""
-    return _series(_placed_orders(spark, d), "ORDERS:revenue_m", "ORDERS", F.last_day("day"), F.sum("o_totalprice"), "M", "usd", region="r_name")
+    return _series(_placed_orders(spark, d) if orders is None else orders, "ORDERS:revenue_m", "ORDERS", F.last_day("day"), F.sum("o_totalprice"), "M", "usd", region="r_name")
 
 
-def gap_m(spark, d):
+def gap_m(spark, d, orders=None):
     """Monthly revenue by nation and segment, with gaps."""
-    return _series(_placed_orders(spark, d), "ORDERS:sparse_m", "ORDERS", F.last_day("day"), F.sum("o_totalprice"), "M", "usd", nation="n_name", segment="c_mktsegment")
+    return _series(_placed_orders(spark, d) if orders is None else orders, "ORDERS:sparse_m", "ORDERS", F.last_day("day"), F.sum("o_totalprice"), "M", "usd", nation="n_name", segment="c_mktsegment")
 
 
 def year_y(spark, d):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import codes, registry as R
 from ..functions import dims as D
 from ..functions import nature as NA
-from ..operators import align, gold_graph, health, lakehouse, lineage
+from ..operators import align, gold_graph, health, lakehouse, lineage, lookup
 from ..sources.publication import Log
 from ..sources.scratch import folder, written
 from . import fixtures as X
@@ -60,6 +60,20 @@ def accumulation_of_series(spark, d):
     return NA.with_accumulation(s, R.accumulation_registry(spark))
 
 
+@query(
+    X.sql(
+        """WITH r AS (SELECT series_id, value FROM flow_d UNION ALL SELECT series_id, value FROM price_d UNION ALL SELECT series_id || '_new', value FROM geo_rows)
+ SELECT series_id, CASE series_id WHEN 'ORDERS:revenue' THEN 'flow' WHEN 'LINEITEM:unit_price' THEN 'price' ELSE 'unclassified' END AS nature, count(*) AS n, round(sum(value), 2) AS total FROM r GROUP BY 1""",
+        "flow_d", "price_d", "geo_rows",
+    )
+)
+def attribute_default(spark, d):
+    """Observations with the nature that the metadata gives their series, unclassified where it knows none."""
+    rows = X.flow_d(spark, d).unionByName(X.price_d(spark, d)).unionByName(X.geo_rows(spark, d).withColumn("series_id", F.concat("series_id", F.lit("_new"))))
+    out = lookup.with_attribute(rows, X.metadata(spark).unionByName(X.metadata(spark)), "nature", "unclassified")
+    return rounded(out.groupBy("series_id", "nature").agg(F.count("*").alias("n"), F.sum("value").alias("total")), 2)
+
+
 _PLACES = {**codes.SALES_PLACES, "999": None}
 _SALES = list(codes.SALES_TYPES.values())
 

@@ -89,7 +89,8 @@ def align_weekly_last(spark, d):
 
 
 def _all_rows(spark, d):
-    return X.flow_d(spark, d).unionByName(X.price_d(spark, d)).unionByName(X.stock_w(spark, d)).unionByName(X.flow_m(spark, d)).unionByName(X.gap_m(spark, d)).unionByName(X.geo_rows(spark, d)).unionByName(X.ytd_m(spark, d))
+    orders = X.daily_orders(spark, d)
+    return X.flow_d(spark, d, orders).unionByName(X.price_d(spark, d)).unionByName(X.stock_w(spark, d)).unionByName(X.flow_m(spark, d, orders)).unionByName(X.gap_m(spark, d, orders)).unionByName(X.geo_rows(spark, d)).unionByName(X.ytd_m(spark, d))
 
 
 _ALL = ("flow_d", "price_d", "stock_w", "flow_m", "gap_m", "geo_rows", "ytd_m")
