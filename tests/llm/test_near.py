@@ -2,9 +2,11 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tidemark.llm import near, stages
 from tidemark.llm.common import words_of
+from tidemark.llm.components import connected_components
 
 
 def sets_of(texts):
@@ -48,6 +50,59 @@ def test_stage_as_all_pairs(spark, sf):
         assert {r["doc_id"] for r in kept.collect()} == want
 
 
+def word_bits(text):
+    """The majority bits of a text's distinct words, one at a time."""
+    ((_, words),) = words_of(pa.array([text]))
+    hashes = {int(h) for h in words.ngrams(1)[1]}
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_pivot_search_pairs_without_the_join(spark, monkeypatch):
+    """With no bands to suspect texts and no join after it, the search alone joins what is similar and within its radius."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(4000)}" for _ in range(90)]
+        texts += [" ".join(words), *(changed(rng, words, n) for n in (1, 1, 2, 9)[: rng.randrange(5)])]
+    bits, s = [word_bits(t) for t in texts], sets_of(texts)
+    root = list(range(len(texts)))
+    beyond = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(s[i] & s[j]) >= 4 * len(s[i] | s[j]):
+                if (bits[i] ^ bits[j]).bit_count() <= near.RADIUS:
+                    a, b = root[i], root[j]
+                    root = [min(a, b) if r in (a, b) else r for r in root]
+                else:
+                    beyond += 1
+    assert beyond and len(set(root)) < len(root) - 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = {r["doc_id"] for r in near.one_of_each(docs).collect()}
+    assert whole == first_of_each(range(len(texts)), texts)  # the join adds those beyond the radius
+    sketches = near.sketches
+    monkeypatch.setattr(near, "sketches", lambda *a: sketches(*a).withColumn("bands", F.array(F.col("row"))))
+    monkeypatch.setattr(near, "similar_roots", lambda members, sets, links, centres: connected_components(links))
+    assert {r["doc_id"] for r in near.one_of_each(docs).collect()} == set(root) >= whole
+
+
+def test_equal_fingerprints_of_different_texts(spark):
+    """Texts of the same words in another order have one fingerprint: only those that the check finds similar are joined."""
+    words = [f"v{k}" for k in range(120)]
+    texts = [" ".join(words), " ".join(words[::-1]), " ".join(words[100:] + words[:100]), " ".join(words[7:] + words[:7][::-1]), " ".join(words[::-1][3:] + words[::-1][:3])]
+    assert len({word_bits(t) for t in texts}) == 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in near.one_of_each(docs).collect()} == first_of_each(range(5), texts) == {0, 1}
+
+
+def test_long_texts_in_pieces(spark):
+    """A text's fingerprint and set do not depend on how it is cut."""
+    text = " ".join(f"word{k * k % 7919}" for k in range(400_000))
+    (shingles, words), = near.row_sets(pa.array([text]), near.SHINGLE, 1)
+    assert len(text) > 2 << 20 and len(words[1]) == len(set(text.split()))
+    assert int(near.majorities(*words)[0]) == int(near.majorities(np.array([0, len(words[1])]), words[1][::-1].copy())[0])
+    assert len(shingles[1]) == len(set(zip(*[text.split()[k:] for k in range(5)])))
+
+
 def test_many_pairs_and_any_order(spark, monkeypatch):
     """The result is the same where pairs are too many to be sent along, and whatever the sketch says of frequencies."""
     rng = random.Random(8)

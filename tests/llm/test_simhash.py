@@ -44,6 +44,43 @@ def test_components_as_brute_force(spark, rows):
     assert got == brute(arr)
 
 
+@pytest.mark.parametrize("rows", [512, 4])
+def test_real_pairs_span_the_components(spark, rows):
+    rng = random.Random(6)
+    fps = set()
+    for _ in range(20):
+        x = rng.getrandbits(64)
+        for _ in range(rng.choice([1, 2, 4, 30])):  # chains: most of a group lies beyond the radius
+            fps.add(x)
+            for _ in range(rng.randint(1, 6)):
+                x ^= 1 << rng.randrange(64)
+    arr = np.array(sorted(fps), np.uint64)
+    pairs = [(i, int(j)) for i in range(len(arr)) for j in np.flatnonzero(np.bitwise_count(arr ^ arr[i]) <= 5) if j < i]
+    df = spark.createDataFrame([(int(x),) for x in arr.view(np.int64)], "fp long")
+    place = {int(x): k for k, x in enumerate(arr.view(np.int64))}
+    for forests in (1, 3):
+        got = {(place[r["u"]], place[r["v"]]) for r in simhash.links_within(df, 5, bucket_rows=rows, forests=forests).collect()}
+        assert all((arr[i] ^ arr[j]).item().bit_count() <= 5 for i, j in got)
+        assert united(got, range(len(arr))) == united(pairs, range(len(arr)))
+
+
+def test_lightest_forest_and_majorities():
+    rng = np.random.default_rng(4)
+    i, j, w = rng.integers(0, 60, 300), rng.integers(0, 60, 300), rng.integers(0, 6, 300)
+    tree = simhash.lightest_forest(60, i, j, w)
+    label, want = list(range(60)), []  # Kruskal's
+    for k in np.argsort(w, kind="stable"):
+        a, b = label[i[k]], label[j[k]]
+        if a != b:
+            label = [a if x == b else x for x in label]
+            want.append(k)
+    assert len(tree) == len(want) and w[tree].sum() == w[want].sum()
+    assert len(set(united(zip(i[tree].tolist(), j[tree].tolist()), range(60)).values())) == len(set(label))
+    h, bounds = rng.integers(0, 1 << 64, 30, dtype=np.uint64), np.array([0, 1, 5, 30])
+    want = [sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h[p:q]) > q - p) for p, q in zip(bounds, bounds[1:])]
+    assert simhash.majorities(bounds, h).tolist() == want and len(simhash.majorities(bounds[:1], h[:0])) == 0
+
+
 def test_fingerprints_are_spark_hash_majorities(spark, texts):
     text = next(t for t in texts.values() if 30 < len(t.split()) < 300)
     words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text).split()

@@ -1,10 +1,15 @@
-"""Near-duplicates at a Jaccard similarity of word shingles, for the pipeline.
+"""Near-duplicates at a Jaccard similarity of word shingles, for the pipeline: SimHash and pivot tables, then an exact check.
 
-Texts whose least hashes agree in one of ``BANDS`` bands of ``ROWS`` with some other text's are suspects. Suspects are joined by
-prefix filtering, which loses no similar pair: shingles stand in one order, the rarest first, and two sets at 0.8 share one of
-the first fifth of either. What texts have of their own is rare and comes first, so texts that merely share passages do not
-meet. Pairs that met are held against bounds on their sizes and on the places where they met, then against the exact
-similarity of the two whole sets.
+Pairs come from the operator of ``simhash``, by its cells, pivot tables and bit runs, over fingerprints of each text's distinct
+words: an edit changes five shingles but one word, so that most pairs at 0.8 differ by five bits or fewer. What the search
+pairs is held against the exact similarity of the two whole sets of shingles, and what is similar is joined.
+
+No radius holds every pair at 0.8, so an exact join over the groups of the search adds those that lie further apart. Texts
+whose least hashes agree in one of ``BANDS`` bands of ``ROWS`` with some other text's, or that the search paired, are suspects.
+Suspects are joined by prefix filtering, which loses no similar pair: shingles stand in one order, the rarest first, and two
+sets at 0.8 share one of the first fifth of either. What texts have of their own is rare and comes first, so texts that merely
+share passages do not meet. Pairs that met are held against bounds on their sizes and on the places where they met, then
+against the exact similarity.
 
 A shingle's bucket is not paired off at once: each round holds some of its rows (centres) against those that are not yet
 joined with them, and takes the centres out. A bucket is done when all its rows are joined or all its pairs are settled, so a
@@ -23,11 +28,15 @@ from pyspark.sql import functions as F
 
 from .common import Words, forget, map_arrow, mix, shuffle_parts, words_of, written
 from .components import connected_components
-from .simhash import first_rows
+from .simhash import first_rows, links_within, majorities
 
 #: Words of a shingle, and the similarity of near-duplicates as a fraction.
 SHINGLE = 5
 SIMILAR = (4, 5)
+#: Differing bits of two texts' fingerprints within which the pivot search pairs them.
+RADIUS = 5
+#: Times that pairs of the search span its groups: where one pair is not similar, another one may be.
+FORESTS = 4
 #: Bands and the least hashes of each: a pair at 0.8 meets in none of them once in 2,800 times.
 BANDS, ROWS = 20, 5
 #: Shingles that are sent on from a task at once.
@@ -63,18 +72,18 @@ def shingle_sets(words: Words, shingle: int = SHINGLE) -> tuple[np.ndarray, np.n
     return np.searchsorted(row[new], np.arange(words.rows + 1)), h[new]
 
 
-def row_sets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``shingle_sets`` of some rows after another; of a long text, which comes in pieces, the sets are united."""
-    held: list[np.ndarray] = []
+def row_sets(column: pa.Array, *lengths: int) -> Iterator[tuple[tuple[np.ndarray, np.ndarray], ...]]:
+    """``shingle_sets`` of some rows after another, for shingles of each of ``lengths``; of a long text, which comes in pieces, the sets are united."""
+    held: list[tuple[np.ndarray, ...]] = []
     for _, words in words_of(column):
         if words.lead or words.more:
-            held.append(words.ngrams(SHINGLE)[1])
+            held.append(tuple(np.unique(words.ngrams(n)[1]) for n in lengths))
             if not words.more:
-                h = np.unique(np.concatenate(held))
+                united = [np.unique(np.concatenate(h)) for h in zip(*held)]
                 held = []
-                yield (np.array([0, len(h)]), h) if len(h) else shingle_sets(words)
+                yield tuple((np.array([0, len(h)]), h) if len(h) else shingle_sets(words, n) for n, h in zip(lengths, united))
         else:
-            yield shingle_sets(words)
+            yield tuple(shingle_sets(words, n) for n in lengths)
 
 
 def set_digest(bounds: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -83,13 +92,14 @@ def set_digest(bounds: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep``, the digest ``fp`` of the text's shingle set and ``bands``, one key for each band."""
+    """The columns ``keep``, the digest ``fp`` of the text's shingle set, ``bits``, the SimHash of its distinct words, and ``bands``, one key for each band."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fp, bands = [], []
-        for bounds, hashes in row_sets(batch.column("text")):
+        fp, bits, bands = [], [], []
+        for (bounds, hashes), words in row_sets(batch.column("text"), SHINGLE, 1):
             rows = len(bounds) - 1
             fp.append(set_digest(bounds, hashes))
+            bits.append(majorities(*words))
             key = np.empty((rows, BANDS), np.uint64)
             for b in range(BANDS):
                 total = np.full(rows, b + 1, np.uint64)
@@ -99,13 +109,12 @@ def sketches(docs: DataFrame, keep: list[str]) -> DataFrame:
                     total = mix(total) + np.minimum.reduceat(x * _FACTORS[k - 1], bounds[:-1])
                 key[:, b] = mix(total)
             bands.append(key.reshape(-1))
-        fp = np.concatenate(fp) if fp else np.empty(0, np.uint64)
-        bands = np.concatenate(bands) if bands else np.empty(0, np.uint64)
+        fp, bits, bands = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in (fp, bits, bands))
         bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bands) + 1, BANDS, dtype=np.int32)), pa.array(bands.view(np.int64)))
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fp.view(np.int64)), bands], [*keep, "fp", "bands"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fp.view(np.int64)), pa.array(bits.view(np.int64)), bands], [*keep, "fp", "bits", "bands"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return map_arrow(docs.select(*dict.fromkeys([*keep, "text"])), run, f"{schema}, fp long, bands array<long>")
+    return map_arrow(docs.select(*dict.fromkeys([*keep, "text"])), run, f"{schema}, fp long, bits long, bands array<long>")
 
 
 def whole_sets(docs: DataFrame) -> DataFrame:
@@ -113,7 +122,7 @@ def whole_sets(docs: DataFrame) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = []
-        for bounds, hashes in row_sets(batch.column("text")):
+        for ((bounds, hashes),) in row_sets(batch.column("text"), SHINGLE):
             sets += [hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
         return pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sets, pa.binary())], ["of_fp", "shingles"])
 
@@ -217,9 +226,26 @@ def rare_shingles(sets: DataFrame) -> DataFrame:
     return sets.mapInArrow(run, "key long, fp long, n long, pos long")
 
 
-def similar_roots(members: DataFrame, sets: DataFrame, centres: int = CENTRES) -> DataFrame | None:
-    """(node, root) of the components of all similar pairs among ``sets``, given their ``rare_shingles``; None without any."""
-    live, links, roots, old = members, None, None, ()
+def pivot_pairs(each: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(u, v) of ``each`` (fp, bits; written), u < v: pairs of sets that join all whose fingerprints differ by ``radius`` bits or fewer, the closest first.
+
+    Sets of one fingerprint are paired with the next ``FORESTS`` of them, and the least one stands for them before others.
+    """
+    least = written(each.groupBy("bits").agg(F.min("fp").alias("least"), F.count("*").alias("n")), "fingerprints")
+    found = links_within(least.select(F.col("bits").alias("fp")), radius, forests=FORESTS).distinct()
+    left = least.select(F.col("bits").alias("u"), F.col("least").alias("a"))
+    right = least.select(F.col("bits").alias("v"), F.col("least").alias("b"))
+    apart = found.join(left, "u").join(right, "v")
+    equal = each.join(least.where("n > 1").select("bits"), "bits", "left_semi")
+    ahead = [F.lead("fp", k).over(W.partitionBy("bits").orderBy("fp")) for k in range(1, FORESTS + 1)]
+    equal = equal.select(F.col("fp").alias("a"), F.array(*ahead).alias("ahead")).select("a", F.explode("ahead").alias("b")).where("b is not null")
+    return apart.select("a", "b").union(equal).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
+def similar_roots(members: DataFrame, sets: DataFrame, links: DataFrame | None = None, centres: int = CENTRES) -> DataFrame | None:
+    """(node, root) of the components of all similar pairs among ``sets``, given their ``rare_shingles`` and the ``links`` known so far; None without any."""
+    live, old = members, ()
+    roots = None if links is None else connected_components(links)
     few, many = SIMILAR
     while True:
         if roots is None:
@@ -267,14 +293,17 @@ def one_of_each(docs: DataFrame, centres: int = CENTRES) -> DataFrame:
     base = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), whole.alias("whole")).withColumn("row", F.xxhash64("whole"))
     known = written(sketches(base, ["id", "row"]), "sketches")
     first = F.min(F.struct(F.col("id").isNull().alias("void"), "id", "row"))
-    each = written(known.groupBy("fp").agg(F.first("bands").alias("bands"), first.alias("one")), "distinct")  # copies are one row from here on
+    each = written(known.groupBy("fp").agg(F.first("bits").alias("bits"), F.first("bands").alias("bands"), first.alias("one")), "distinct")  # copies are one row from here on
+    close = written(pivot_pairs(each.select("fp", "bits")), "close")
     keys = each.select(F.explode("bands").alias("key"), "fp")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    suspects = keys.join(shared, "key", "left_semi").select("fp").distinct()
+    suspects = keys.join(shared, "key", "left_semi").select("fp")
+    suspects = suspects.union(close.select("u")).union(close.select("v")).distinct()
     one = each.join(suspects, "fp", "left_semi").select("fp", F.col("one.id").alias("one_id"), F.col("one.row").alias("one_row"))
     texts = base.join(one, F.col("id").eqNullSafe(F.col("one_id")) & (F.col("row") == F.col("one_row"))).select("fp", "text").dropDuplicates(["fp"])
     sets = written(whole_sets(texts), "sets")
-    joined = similar_roots(written(rare_shingles(sets), "members"), sets, centres)
+    links = written(_verified(close, sets), "similar")
+    joined = similar_roots(written(rare_shingles(sets), "members"), sets, None if links.isEmpty() else links, centres)
     distinct = each.select("fp")
     if joined is None:
         roots = distinct.select(F.col("fp").alias("known_fp"), F.col("fp").alias("root"))

@@ -63,6 +63,15 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
 
 
+def majorities(bounds: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The 64-bit majority of each row's hashes, ``hashes[bounds[k] : bounds[k + 1]]``, of which none is empty."""
+    count, out = np.diff(bounds), np.zeros(len(bounds) - 1, np.uint64)
+    for b in range(64):
+        ones = np.add.reduceat((hashes >> np.uint64(b)) & np.uint64(1), bounds[:-1])
+        out |= (2 * ones.astype(np.int64) > count).astype(np.uint64) << np.uint64(b)
+    return out
+
+
 def with_fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` and ``fp``, the fingerprint's 64 bits as a long."""
 
@@ -83,15 +92,44 @@ def pivot_table(fp: np.ndarray, refs: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fp[:, None] ^ refs[None, :]).astype(np.int8)
 
 
-def bucket_links(bucket: np.ndarray, fp: np.ndarray, refs: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``label``, by node, after the links (i, j): the smallest one of each group that they join."""
+    while True:
+        low = np.minimum(label[i], label[j])
+        before = label.copy()
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def lightest_forest(n: int, i: np.ndarray, j: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Places of the links (i, j) that join what all of them join among ``n`` nodes, as light as can be (Boruvka's rounds)."""
+    order = np.lexsort((j, i, weight))
+    i, j = i[order], j[order]
+    label, chosen = np.arange(n), np.zeros(len(i), bool)
+    while True:
+        apart = np.flatnonzero(label[i] != label[j])
+        if not len(apart):
+            return order[chosen]
+        best = np.full(n, len(i))  # the lightest link that leaves a group
+        np.minimum.at(best, label[i[apart]], apart)
+        np.minimum.at(best, label[j[apart]], apart)
+        best = np.unique(best[best < len(i)])
+        chosen[best] = True
+        label = _merged(label, i[best], j[best])
+
+
+def bucket_links(bucket: np.ndarray, fp: np.ndarray, refs: np.ndarray, radius: int, forests: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Links (u, v) that join, bucket by bucket, what ``radius`` joins there: a spanning set, not all pairs.
 
-    bucket: sorted; fp: distinct within a bucket.
+    bucket: sorted; fp: distinct within a bucket. Links lead to a group's first row. With ``forests`` they are pairs within
+    ``radius``: the closest that span the groups, then the closest others that span what they can, so many times.
     """
     table = pivot_table(fp, refs)
     order = np.lexsort((table[:, 0], bucket))  # by the first coordinate: what lies further on than the radius is never paired
     bucket, fp, table = bucket[order], fp[order], table[order]
-    label = np.arange(len(fp))
     left, right = [], []
     at, step = np.arange(len(fp)), 1
     while True:
@@ -110,14 +148,13 @@ def bucket_links(bucket: np.ndarray, fp: np.ndarray, refs: np.ndarray, radius: i
     if not left:
         return fp[:0], fp[:0]
     i, j = np.concatenate(left), np.concatenate(right)
-    while True:  # smallest member of each group that the links join
-        low = np.minimum(label[i], label[j])
-        before = label.copy()
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        label = label[label]
-        if (label == before).all():
-            break
+    if forests:
+        bits, taken = np.bitwise_count(fp[i] ^ fp[j]), np.zeros(len(i), bool)
+        for _ in range(forests):
+            rest = np.flatnonzero(~taken)
+            taken[rest[lightest_forest(len(fp), i[rest], j[rest], bits[rest])]] = True
+        return fp[i[taken]], fp[j[taken]]
+    label = _merged(np.arange(len(fp)), i, j)
     linked = np.flatnonzero(label != np.arange(len(fp)))
     return fp[linked], fp[label[linked]]
 
@@ -154,7 +191,7 @@ def finer_masks(mask: int, radius: int) -> list[int]:
     return [mask | run for run in bit_blocks(rest, radius + 1)]
 
 
-def _compare(keyed: DataFrame, radius: int, bucket_rows: int, n_pivots: int) -> DataFrame:
+def _compare(keyed: DataFrame, radius: int, bucket_rows: int, n_pivots: int, forests: int) -> DataFrame:
     """(u, v, mask): links of the full buckets with mask null; rows (fp, null, mask) of the buckets to refine."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +208,7 @@ def _compare(keyed: DataFrame, radius: int, bucket_rows: int, n_pivots: int) ->
             size = np.bincount(bucket)
             bounded = (m != 0) & (np.bitwise_count(~m) <= LEAST_BITS)
             small = (size[bucket] <= bucket_rows) | bounded
-            u, v = bucket_links(bucket[small], f[small], refs, radius)
+            u, v = bucket_links(bucket[small], f[small], refs, radius, forests)
             yield out(u, v, None)
             if not small.all():
                 yield out(f[~small], None, m[~small])
@@ -206,8 +243,11 @@ def _compare(keyed: DataFrame, radius: int, bucket_rows: int, n_pivots: int) ->
     return keyed.mapInArrow(run, "u long, v long, mask long")
 
 
-def links_within(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS, n_pivots: int = N_PIVOTS) -> DataFrame:
-    """(u, v) links over the distinct ``fp`` of ``fps`` whose components are those of all pairs within ``radius`` bits."""
+def links_within(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS, n_pivots: int = N_PIVOTS, forests: int = 0) -> DataFrame:
+    """(u, v) links over the distinct ``fp`` of ``fps`` whose components are those of all pairs within ``radius`` bits.
+
+    With ``forests`` the links themselves are such pairs, for a check that follows: see ``bucket_links``. Some may come twice.
+    """
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     cells = cell_rows(fps, radius, n_pivots)
     # Distances crowd about their mean, so a middle cell may hold a tenth of all rows: crowded cells are told by their counts
@@ -217,7 +257,7 @@ def links_within(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET
     keyed, links = cells.join(crowded, "key", "left_anti").select("mask", "key", "fp"), None
     while True:
         keyed = keyed.repartition(shuffle_parts(fps.sparkSession), "mask", "key").sortWithinPartitions("mask", "key")
-        found = written(_compare(keyed, radius, bucket_rows, n_pivots), "pairs")
+        found = written(_compare(keyed, radius, bucket_rows, n_pivots, forests), "pairs")
         here = found.where("mask is null").select("u", "v")
         full = found.where("mask is not null").select("u", "mask") if links is not None else full
         links = here if links is None else links.union(here)

@@ -18,7 +18,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more), the one with the smallest doc_id."""
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more), the one with the smallest doc_id.
+
+    SimHash and pivot tables pair most of them before the exact check; an exact join adds what lies beyond their radius.
+    """
     return near.one_of_each(docs)
 
 
