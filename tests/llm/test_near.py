@@ -94,6 +94,43 @@ def test_equal_fingerprints_of_different_texts(spark):
     assert {r["doc_id"] for r in near.one_of_each(docs).collect()} == first_of_each(range(5), texts) == {0, 1}
 
 
+def test_rounds_link_what_is_still_apart(spark, monkeypatch):
+    """What a round has joined takes no part in later ones: each round's links lead from one group to another, and all of them come together once."""
+    rng = random.Random(5)
+    sets, members = [], []
+    for key in range(3):
+        shingles = list(range(key << 20, (key << 20) + 100))
+        for n in range(40):  # a chain of sets in one bucket: its ends are not similar
+            sets.append(np.sort(np.array(shingles, np.uint64)))
+            shingles[(n * 7) % 100 : (n * 7) % 100 + 3] = [rng.randrange(1 << 40, 1 << 50) for _ in shingles[(n * 7) % 100 : (n * 7) % 100 + 3]]
+            members.append((key, len(members), len(sets[-1]), 0))
+    want = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if near.similar(sets[i].tobytes(), sets[j].tobytes()):
+                x, y = want[i], want[j]
+                want = [min(x, y) if r in (x, y) else r for r in want]
+    root, calls, stars = {}, [], []
+
+    def spy(links, **options):
+        rows = [tuple(r) for r in links.collect()]
+        calls.append([root.get(a, a) != root.get(b, b) for a, b in rows])
+        out = connected_components(links, **options)
+        now = {r["node"]: r["root"] for r in out.collect()}
+        for k in {*root, *now}:
+            root[k] = now.get(root.get(k, k), root.get(k, k))
+        stars.append(now)
+        return out
+
+    monkeypatch.setattr(near, "connected_components", spy)
+    rows = spark.createDataFrame(members, "key long, fp long, n long, pos long").coalesce(1)
+    held = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(sets)], "of_fp long, shingles binary").coalesce(1)
+    got = {r["node"]: r["root"] for r in near.similar_roots(rows, held, None, 1).collect()}
+    assert [got.get(k, k) for k in range(len(sets))] == want and len(set(want)) < 20
+    assert len(calls) > 2 and all(all(c) for c in calls[:-1])
+    assert len(calls[-1]) == sum(len(x) for x in stars[:-1])
+
+
 def test_long_texts_in_pieces(spark):
     """A text's fingerprint and set do not depend on how it is cut."""
     text = " ".join(f"word{k * k % 7919}" for k in range(400_000))

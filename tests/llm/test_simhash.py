@@ -109,6 +109,9 @@ def test_chains_and_stars(spark):
     linked = {x for a, b in pairs if a != b for x in (a, b)}
     assert got == {n: r for n, r in united(pairs, {x for p in pairs for x in p}).items() if n in linked}
     assert components.connected_components(df.limit(0)).count() == 0
+    for few in (1, 270, 10**6):  # rounds alone, rounds until so few links are left, one pass
+        assert {r["node"]: r["root"] for r in components.connected_components(df, few=few).collect()} == got
+        assert components.connected_components(df.limit(0), few=few).count() == 0
 
 
 def test_odd_rows(odd, none):

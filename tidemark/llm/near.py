@@ -46,8 +46,12 @@ FEW_PAIRS = 1 << 19
 #: Cells of the sketch by which shingles are ordered: 4 MB are sent to all tasks.
 CELL_BITS = 22
 CELLS, SEGMENT = 1 << CELL_BITS, 1 << 16
-#: Centres of a bucket in the first round; a round has four times as many as the one before, or sixteen times if that found no link.
+#: Centres of a bucket in the first round; a round has eight times as many as the one before, 16 times if that found no link, 64 times if no pair met.
 CENTRES = 4
+#: Links, of sixteen bytes each, that one pass joins.
+FEW_LINKS = 1 << 18
+#: Rows of a task that writes one of the small tables, where so many make fewer tasks than a shuffle has.
+PART_ROWS = 1 << 12
 
 _RNG = np.random.default_rng(509)
 _FACTORS = _RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -138,21 +142,28 @@ def similar(a: bytes, b: bytes, least: tuple[int, int] = SIMILAR) -> bool:
     return least[1] * both >= least[0] * (n + m - both)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The written ``pairs`` (u, v) that are similar. Up to ``FEW_PAIRS`` of them go to the sets, so that only sets that a pair names shuffle."""
-    left = sets.select(F.col("of_fp").alias("u"), F.col("shingles").alias("a"))
-    right = sets.select(F.col("of_fp").alias("v"), F.col("shingles").alias("b"))
-    if pairs.count() <= FEW_PAIRS:
+def compact(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of at most so many rows, in fewer partitions if ``PART_ROWS`` a partition allow it: no small table becomes hundreds of files."""
+    return df.coalesce(max(1, min(shuffle_parts(df.sparkSession), -(-rows // PART_ROWS))))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """The written ``pairs`` (u, v, any other columns), ``n`` in number, that are similar. Up to ``FEW_PAIRS`` of them go to the sets, so that only sets that a pair names shuffle."""
+    left = sets.select(F.col("of_fp").alias("u"), F.col("shingles").alias("left_set"))
+    right = sets.select(F.col("of_fp").alias("v"), F.col("shingles").alias("right_set"))
+    if n <= FEW_PAIRS:
         left = left.join(F.broadcast(pairs), "u")
         right = right.join(F.broadcast(pairs.select("v").distinct()), "v", "left_semi")
     else:
         left = left.join(pairs, "u")
+    names = pairs.columns
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        return batch.select(["u", "v"]).filter(pa.array([similar(x, y) for x, y in zip(a, b)], pa.bool_()))
+        a, b = batch.column("left_set").to_pylist(), batch.column("right_set").to_pylist()
+        return batch.select(names).filter(pa.array([similar(x, y) for x, y in zip(a, b)], pa.bool_()))
 
-    return map_arrow(left.join(right, "v").select("u", "v", "a", "b"), run, "u long, v long")
+    met = left.join(right, "v").select(*names, "left_set", "right_set")
+    return compact(map_arrow(met, run, ", ".join(f"{c} {kind}" for c, kind in pairs.dtypes)), n)
 
 
 def frequencies(sets: DataFrame) -> np.ndarray:
@@ -231,7 +242,7 @@ def pivot_pairs(each: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Sets of one fingerprint are paired with the next ``FORESTS`` of them, and the least one stands for them before others.
     """
-    least = written(each.groupBy("bits").agg(F.min("fp").alias("least"), F.count("*").alias("n")), "fingerprints")
+    least = written(compact(each.groupBy("bits").agg(F.min("fp").alias("least"), F.count("*").alias("n")), each.count()), "fingerprints")
     found = links_within(least.select(F.col("bits").alias("fp")), radius, forests=FORESTS).distinct()
     left = least.select(F.col("bits").alias("u"), F.col("least").alias("a"))
     right = least.select(F.col("bits").alias("v"), F.col("least").alias("b"))
@@ -243,44 +254,59 @@ def pivot_pairs(each: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def similar_roots(members: DataFrame, sets: DataFrame, links: DataFrame | None = None, centres: int = CENTRES) -> DataFrame | None:
-    """(node, root) of the components of all similar pairs among ``sets``, given their ``rare_shingles`` and the ``links`` known so far; None without any."""
-    live, old = members, ()
-    roots = None if links is None else connected_components(links)
+    """(node, root) of the components of all similar pairs among ``sets``, given their ``rare_shingles`` and the ``links`` known so far; None without any.
+
+    Rows carry the least set that theirs is known to be joined with, their label. A round links labels, not sets: what was
+    joined before takes no part again, and the rounds' links come together once, at the end.
+    """
     few, many = SIMILAR
+    live, found, old = members.withColumn("label", F.col("fp")), links, ()
+    stars: list[DataFrame] = []
+    size = members.count()
     while True:
-        if roots is None:
-            now = live.withColumn("label", F.col("fp"))
-        else:
-            now = live.join(roots, live["fp"] == roots["node"], "left").select("key", "fp", "n", "pos", F.coalesce("root", "fp").alias("label"))
-        open_keys = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        now = written(now.join(open_keys, "key", "left_semi"), "open")
+        if found is not None:
+            stars.append(connected_components(found, few=FEW_LINKS))
+            moved = stars[-1].select(F.col("node").alias("label"), "root")
+            live = live.join(moved, "label", "left").select("key", "fp", "n", "pos", F.coalesce("root", "label").alias("label"))
+        live = written(compact(live, size), "live")
         forget(*old)
-        if now.isEmpty():
+        open_keys = live.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+        now = written(compact(live.join(open_keys, "key", "left_semi"), size), "open")
+        forget(live)
+        size = now.count()
+        if not size:
             forget(now)
-            return roots
+            break
         part = F.pmod(F.xxhash64("fp"), F.lit(centres))
         # The rarest labels come first: a large group's members need no centre of their own. Among them those with the least of their own.
         # Counts and least members are taken by label before they meet, so that a large label is a few rows.
-        mine = now.groupBy("key", "label", part.alias("part")).agg(F.count("*").alias("here"), F.min(F.struct("pos", "fp", "n")).alias("m"))
-        mine = mine.withColumn("rows", F.sum("here").over(W.partitionBy("key", "label")))
-        least = F.min(F.struct("rows", "m.pos", "m.fp", "m.n", "label")).alias("c")
-        centre = mine.groupBy("key", "part").agg(least)
-        centre = written(centre.select("key", *[F.col(f"c.{c}").alias(f"centre_{c}") for c in ("fp", "n", "pos", "label")]), "centres")
+        mine = now.groupBy("key", "label", part.alias("part")).agg(F.count("*").alias("rows"), F.min(F.struct("pos", "fp", "n")).alias("m"))
+        centre = mine.groupBy("key", "part").agg(F.min(F.struct("rows", "m.pos", "m.fp", "m.n", "label")).alias("c"))
+        centre = centre.select("key", *[F.col(f"c.{c}").alias(f"centre_{c}") for c in ("fp", "n", "pos", "label")])
+        centre = written(compact(centre, size), "centres")
         alike = F.least("n", "centre_n") * many >= F.greatest("n", "centre_n") * few
         # Where two sets meet first, all that they share lies from there on.
         room = F.least(F.col("n") - F.col("pos"), F.col("centre_n") - F.col("centre_pos")) * (few + many) >= (F.col("n") + F.col("centre_n")) * few
         met = now.join(centre, "key").where((F.col("label") != F.col("centre_label")) & alike & room)
-        pairs = written(met.select(F.least("fp", "centre_fp").alias("u"), F.greatest("fp", "centre_fp").alias("v")).distinct(), "pairs")
-        found = written(_verified(pairs, sets), "similar")
-        forget(pairs)
-        grow = 16  # without links no pair gets settled by joining others
-        if not found.isEmpty():
-            grow = 4
-            links = found if links is None else links.union(found)
-            roots = connected_components(links)
-        old = (now, centre)
-        live = now.select("key", "fp", "n", "pos").join(centre.select("key", F.col("centre_fp").alias("fp")), ["key", "fp"], "left_anti")
+        ahead = F.col("fp") < F.col("centre_fp")
+        ends = [F.when(ahead, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("fp", "centre_fp", "u"), ("centre_fp", "fp", "v"), ("label", "centre_label", "a"), ("centre_label", "label", "b"))]
+        pairs = written(compact(met.select(*ends).distinct(), size), "pairs")  # a set has one label
+        n = pairs.count()
+        grow, found = 64, None  # without pairs there is little left to meet
+        if n:
+            labels = written(_verified(pairs, sets, n).select("a", "b"), "similar")
+            grow = 16  # without links no pair gets settled by joining others
+            if not labels.isEmpty():
+                grow, found = 8, labels
+        old = (now, centre, pairs)
+        live = now.join(centre.select("key", F.col("centre_fp").alias("fp")), ["key", "fp"], "left_anti")
         centres *= grow
+    if len(stars) < 2:
+        return stars[0] if stars else None
+    union = stars[0]
+    for s in stars[1:]:
+        union = union.union(s)
+    return connected_components(union, few=FEW_LINKS)
 
 
 def one_of_each(docs: DataFrame, centres: int = CENTRES) -> DataFrame:
@@ -293,8 +319,9 @@ def one_of_each(docs: DataFrame, centres: int = CENTRES) -> DataFrame:
     base = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), whole.alias("whole")).withColumn("row", F.xxhash64("whole"))
     known = written(sketches(base, ["id", "row"]), "sketches")
     first = F.min(F.struct(F.col("id").isNull().alias("void"), "id", "row"))
-    each = written(known.groupBy("fp").agg(F.first("bits").alias("bits"), F.first("bands").alias("bands"), first.alias("one")), "distinct")  # copies are one row from here on
-    close = written(pivot_pairs(each.select("fp", "bits")), "close")
+    each = known.groupBy("fp").agg(F.first("bits").alias("bits"), F.first("bands").alias("bands"), first.alias("one"))
+    each = written(compact(each, known.count()), "distinct")  # copies are one row from here on
+    close = written(compact(pivot_pairs(each.select("fp", "bits")), each.count()), "close")
     keys = each.select(F.explode("bands").alias("key"), "fp")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     suspects = keys.join(shared, "key", "left_semi").select("fp")
@@ -302,7 +329,8 @@ def one_of_each(docs: DataFrame, centres: int = CENTRES) -> DataFrame:
     one = each.join(suspects, "fp", "left_semi").select("fp", F.col("one.id").alias("one_id"), F.col("one.row").alias("one_row"))
     texts = base.join(one, F.col("id").eqNullSafe(F.col("one_id")) & (F.col("row") == F.col("one_row"))).select("fp", "text").dropDuplicates(["fp"])
     sets = written(whole_sets(texts), "sets")
-    links = written(_verified(close, sets), "similar")
+    links = written(_verified(close, sets, close.count()), "similar")
+    forget(close)
     joined = similar_roots(written(rare_shingles(sets), "members"), sets, None if links.isEmpty() else links, centres)
     distinct = each.select("fp")
     if joined is None:

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import map_arrow, shuffle_parts, text_bytes, written
-from .components import connected_components
+from .components import connected_components, merged
 
 RADIUS = 3
 #: Bytes of a text whose words stand in memory at once.
@@ -92,18 +92,6 @@ def pivot_table(fp: np.ndarray, refs: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fp[:, None] ^ refs[None, :]).astype(np.int8)
 
 
-def _merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """``label``, by node, after the links (i, j): the smallest one of each group that they join."""
-    while True:
-        low = np.minimum(label[i], label[j])
-        before = label.copy()
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
 def lightest_forest(n: int, i: np.ndarray, j: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Places of the links (i, j) that join what all of them join among ``n`` nodes, as light as can be (Boruvka's rounds)."""
     order = np.lexsort((j, i, weight))
@@ -118,7 +106,7 @@ def lightest_forest(n: int, i: np.ndarray, j: np.ndarray, weight: np.ndarray) ->
         np.minimum.at(best, label[j[apart]], apart)
         best = np.unique(best[best < len(i)])
         chosen[best] = True
-        label = _merged(label, i[best], j[best])
+        label = merged(label, i[best], j[best])
 
 
 def bucket_links(bucket: np.ndarray, fp: np.ndarray, refs: np.ndarray, radius: int, forests: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +142,7 @@ def bucket_links(bucket: np.ndarray, fp: np.ndarray, refs: np.ndarray, radius: i
             rest = np.flatnonzero(~taken)
             taken[rest[lightest_forest(len(fp), i[rest], j[rest], bits[rest])]] = True
         return fp[i[taken]], fp[j[taken]]
-    label = _merged(np.arange(len(fp)), i, j)
+    label = merged(np.arange(len(fp)), i, j)
     linked = np.flatnonzero(label != np.arange(len(fp)))
     return fp[linked], fp[label[linked]]
 
