@@ -2,7 +2,9 @@ import hashlib
 import os
 import random
 from collections import Counter
+from urllib.parse import urlparse
 
+import pyarrow.parquet as pq
 import pytest
 
 from tidemark.llm import align_tokens as at
@@ -71,6 +73,18 @@ def test_as_brute_force(spark, texts, batch, block):
     same(at.aligned(df, batch_bytes=batch, block_bytes=block).collect(), brute(rows))
 
 
+def test_readers_hold_one_block_at_a_time(spark, texts, monkeypatch):
+    # A task may read hundreds of blocks, and readers decode a row group's rows together.
+    files, written = {}, at.written
+    monkeypatch.setattr(at, "written", lambda df, name, **how: files.setdefault(name, written(df, name, **how)))
+    rows = [(i, t) for i, t in sorted(texts.items()) if len(t or "") < 3000][:90]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    same(at.aligned(df, block_bytes=2000).collect(), brute(rows))
+    tables = [pq.ParquetFile(urlparse(f).path).metadata for f in files["blocks"].inputFiles()]
+    assert sum(t.num_rows for t in tables) > 20
+    assert max(t.row_group(k).num_rows for t in tables for k in range(t.num_row_groups)) == 1
+
+
 def test_parts_join_to_the_whole(texts):
     rng = random.Random(2)
     a, b = at.sides(at.VOCABULARIES)

@@ -308,22 +308,24 @@ def aligned(docs: DataFrame, vocabularies: str = VOCABULARIES, batch_bytes: int
     so that memory stays bounded but for the text itself and its distinct pairs; a text without such a place is held whole.
     """
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    blocks = written(blocks_of(rows, vocabularies, batch_bytes, block_bytes), "blocks")
+    blocks = written(blocks_of(rows, vocabularies, batch_bytes, block_bytes), "blocks", group_rows=1)
     counts = written(pair_counts(blocks.select("pairs", "holders")), "counts")
-    asked = blocks.select("block", F.posexplode("pairs").alias("at", "pair"))
-    found = asked.join(counts, "pair").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "count", "best"))).alias("found"))
-    answered = blocks.drop("pairs", "holders").join(found, "block", "left")
+    asked = blocks.select(F.col("block").alias("asker"), F.posexplode("pairs").alias("at", "pair"))
+    found = asked.join(counts, "pair").select("asker", "at", "count", "best")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                flat = {c: batch.column(c)[k].values for c in batch.schema.names if c not in ("block", "found")}
-                first, place, times = (flat[c].to_numpy(zero_copy_only=False) for c in ("first", "place", "times"))
-                got = batch.column("found")[k].values
-                count, best = (got.field(c).to_numpy(zero_copy_only=False) if got is not None else np.empty(0, np.int64) for c in ("count", "best"))
-                sums = [np.r_[0, np.cumsum(x)] for x in (times * best[place].astype(np.int64), times * count[place])]
-                n_best, count_sum = (s[first[1:]] - s[first[:-1]] for s in sums)
-                yield pa.RecordBatch.from_arrays([*(flat[c] for c in _BLOCK_NAMES[1:6]), pa.array(n_best, pa.int64()), pa.array(count_sum, pa.int64()), flat["groups_sha256"]], [*_BLOCK_NAMES[1:6], "n_best", "count_sum", "groups_sha256"])
-
-    return answered.mapInArrow(run, f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+    def answer(block: pa.Table, found: pa.Table) -> pa.Table:
+        flat = {c: block.column(c).combine_chunks().flatten() for c in block.column_names if c != "block"}
+        first, place, times = (flat[c].to_numpy(zero_copy_only=False) for c in ("first", "place", "times"))
+        order = np.argsort(found.column("at").to_numpy())
+        count, best = (found.column(c).to_numpy()[order] for c in ("count", "best"))
+        sums = [np.r_[0, np.cumsum(x)] for x in (times * best[place].astype(np.int64), times * count[place])]
+        n_best, count_sum = (s[first[1:]] - s[first[:-1]] for s in sums)
+        return pa.table([*(flat[c] for c in _BLOCK_NAMES[1:6]), pa.array(n_best, pa.int64()), pa.array(count_sum, pa.int64()), flat["groups_sha256"]], [*_BLOCK_NAMES[1:6], "n_best", "count_sum", "groups_sha256"])
+
+    return (
+        blocks.drop("pairs", "holders")
+        .groupBy("block")
+        .cogroup(found.groupBy("asker"))
+        .applyInArrow(answer, f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+    )

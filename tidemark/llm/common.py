@@ -35,15 +35,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: the lineage ends there.
 
-    The table goes with ``forget``, or when the application ends.
+    The table goes with ``forget``, or when the application ends. Readers decode up to some thousand rows of a row group at
+    once, so tables of large rows say how many a group may hold.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.options(**{"parquet.block.row.count.limit": group_rows} if group_rows else {}).parquet(path)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     out = spark.read.schema(schema).parquet(path)
